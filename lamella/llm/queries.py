@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, rules
+from . import packing, quality, rules, simhash
 from .common import fold, table
 
 
@@ -16,6 +16,16 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(cut, packing.Limits(4096))
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = rules.ledger(table(spark, sf_dir, "documents"))
     base = rules.rejected(rules.BASE)
@@ -25,5 +35,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op10_quality_rules": op10_quality_rules}
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """The vocabulary file; it stays where the library keeps it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op4_simhash_near_dedup": op4_simhash_near_dedup, "op1_quality_classifier": op1_quality_classifier, "op10_quality_rules": op10_quality_rules}
 ORACLE: dict[str, str] = {}
