@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, rules, simhash
+from . import packing, quality, rules, simhash, suffix
 from .common import fold, table
 
 
@@ -16,6 +16,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.deduplicate(table(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path())
     return packing.pack(cut, packing.Limits(4096))
@@ -42,5 +47,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op4_simhash_near_dedup": op4_simhash_near_dedup, "op1_quality_classifier": op1_quality_classifier, "op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLE: dict[str, str] = {}
