@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, ngram, packing, quality, rules, simhash, suffix
+from . import langid, ngram, packing, pii, quality, rules, simhash, suffix
 from .common import fold, table
 
 
@@ -45,6 +45,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.detect(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = rules.ledger(table(spark, sf_dir, "documents"))
     base = rules.rejected(rules.BASE)
@@ -68,6 +73,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_lm_scoring": op5_lm_scoring,
     "op7_language_id": op7_language_id,
+    "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {}
