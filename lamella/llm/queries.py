@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, ngram, packing, pii, quality, rules, simhash, suffix
-from .common import fold, table
+from . import decontam, langid, ngram, packing, pii, quality, rules, simhash, suffix, warc
+from .common import fold, stored, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold("doc_id", 4) != 2))
@@ -45,6 +49,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    primary = stored(warc.records(table(spark, sf_dir, "pages")), "warc")  # digests and places, not payloads
+    return warc.audit(primary, warc.damaged(primary)).select("file", "offset", "record_id", "status", "expected", "actual")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.detect(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -72,8 +81,51 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_language_id": op7_language_id,
+    "op8_warc_merkle_audit": op8_warc_merkle_audit,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_warc_merkle_audit": """
+        WITH body AS (
+            SELECT page_id, page_id // 256 AS file,
+                   'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+                   || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+                   || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS payload
+            FROM pages),
+        placed AS (
+            SELECT file, page_id, sha256(payload) AS digest,
+                   CAST(sum(strlen(payload)) OVER (PARTITION BY file ORDER BY page_id, sha256(payload) ROWS UNBOUNDED PRECEDING) - strlen(payload) AS BIGINT) AS "offset"
+            FROM body)
+        SELECT file, "offset", page_id AS record_id, 'altered' AS status, digest AS expected, sha256(digest || '!') AS actual FROM placed WHERE page_id % 97 = 5
+        UNION ALL SELECT file, "offset", page_id, 'missing', digest, NULL FROM placed WHERE page_id % 97 = 11
+        UNION ALL SELECT file, "offset" + 1, page_id, 'extra', NULL, sha256('added') FROM placed WHERE page_id % 97 = 17
+    """,
+    "op10_quality_rules": """
+        WITH w AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+            FROM documents),
+        g AS (SELECT doc_id, i, words[i] || chr(10) || words[i + 1] || chr(10) || words[i + 2] AS gram FROM w, unnest(range(1, len(words) - 1)) AS t(i)),
+        twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+        r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, unnest([0, 1, 2]) AS t(k) GROUP BY doc_id),
+        top AS (SELECT doc_id, max(n) AS top FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word FROM w) GROUP BY doc_id, word) GROUP BY doc_id),
+        m AS (
+            SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+                   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+                   length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS up, length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS low,
+                   length(text) - length(replace(text, '|', '')) AS pipes, coalesce(top.top, 0) AS top
+            FROM w LEFT JOIN r USING (doc_id) LEFT JOIN top USING (doc_id)),
+        f AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                   CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > 2 * n_words AND n_words > 0)::INT
+                   + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (100 * up > 40 * (up + low))::INT + 32 * (100 * top > 25 * n_words AND n_words >= 20)::INT
+                   + 64 * (word_chars > 15 * n_words)::INT + 128 * (10 * pipes > 2 * n_words AND n_words > 0)::INT AS BIGINT) AS fail_bits
+            FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits = 0 AS kept, fail_bits FROM f
+    """,
+}
