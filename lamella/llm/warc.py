@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 FANOUT, SLOT_BYTES, LEVELS = 16, 1 << 16, 5
 
 
@@ -56,9 +58,9 @@ def _up(level: DataFrame) -> DataFrame:
 def tree(replica: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
     """Levels from the leaves to the roots; each node has at most ``FANOUT`` children. With the default
     numbers a root covers 64 GiB of a file, and larger files have several roots."""
-    out = [leaves(replica)]
+    out = [stored(leaves(replica), "leaves")]
     for _ in range(levels - 1):
-        out.append(_up(out[-1]))
+        out.append(stored(_up(out[-1]), "nodes"))
     return out
 
 
@@ -71,15 +73,15 @@ def audit(primary: DataFrame, replica: DataFrame, levels: int = LEVELS) -> DataF
     """``file, offset, status, expected, actual``: places where the replicas differ.
 
     status is ``altered``, ``missing`` (not in ``replica``) or ``extra``; expected and actual are digests of
-    primary and replica, comma-joined in order if a place has several records. Both trees are stored levels, not
-    rebuilt on the way down.
+    primary and replica, comma-joined in order if a place has several records. The levels of both trees and
+    each level's mismatches are written to the shared folder, so nothing is built twice on the way down.
     """
     a, b = tree(primary, levels), tree(replica, levels)
     bad = _mismatch(a[-1], b[-1])
     for x, y in zip(a[-2::-1], b[-2::-1], strict=True):
         parent = bad.select(F.col("file").alias("pf"), F.col("slot").alias("ps"))
         below = (F.col("file") == F.col("pf")) & (F.floor(F.col("slot") / FANOUT) == F.col("ps"))
-        bad = _mismatch(x.join(parent, below, "left_semi"), y.join(parent, below, "left_semi"))
+        bad = stored(_mismatch(x.join(parent, below, "left_semi"), y.join(parent, below, "left_semi")), "mismatch")
     bad = bad.select(F.col("file").alias("bf"), F.col("slot").alias("bs"))
     place: Column = (F.col("file") == F.col("bf")) & (F.floor(F.col("offset") / SLOT_BYTES) == F.col("bs"))
 
