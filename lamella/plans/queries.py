@@ -5,6 +5,299 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import fixed_values as fv
+from ..functions import text as T
+from ..functions.metadata import metadata
+from ..functions.query import analysis, route
+from ..operators import assembly, bm25, chunking, dense, fusion, memory, metrics
+from ..sources import index_store
+from . import engine
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def _any(text: str, needles: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{n}')" for n in needles) + ")"
+
+
+def _cascade(text: str, table: list[tuple[list[str], str]], default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_any(text, n)} THEN '{v}'" for n, v in table) + f" ELSE {default} END"
+
+
+_CLEAN = r"""
+    WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(replace(text, chr(65533), ''), chr(0), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g') AS t FROM documents),
+    b AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)) AS t FROM a),
+    clean AS (SELECT doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') AS text FROM b)"""
+_TOKENS = r"""
+    WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\pL\pM\pN]+'), lambda x: x <> '') AS toks FROM documents),
+    s AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM t),
+    tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM t) GROUP BY ALL),
+    v AS (SELECT term, count(*) AS df, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf, s GROUP BY term),
+    w AS (SELECT doc_id, tf.term, tf, idf, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl)) AS weight FROM tf JOIN v USING (term), s)"""
+_ASKED = _TOKENS + r""",
+    q AS (SELECT item_id AS query_id, list_filter(string_split_regex(lower(text), '[^\pL\pM\pN]+'), lambda x: x <> '') AS toks FROM benchmark),
+    qf AS (SELECT query_id, len, term, count(*) AS tf FROM (SELECT query_id, len(toks) AS len, unnest(toks) AS term FROM q) GROUP BY ALL),
+    qw AS (SELECT query_id, qf.term, qf.tf, idf * qf.tf * 2.5 / (qf.tf + 1.5 * (0.25 + 0.75 * qf.len / avgdl)) AS weight FROM qf JOIN v USING (term), s)"""
+_RANKED = "SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({}) WHERE {}) WHERE rank <= {}"
+_BM25 = "SELECT query_id, doc_id, round(sum(qw.{} * w.weight), 6) AS score FROM qw JOIN w USING (term) GROUP BY query_id, doc_id"
+_DENSE = "SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0"
+
+
+@_query(_CLEAN + " SELECT doc_id, text FROM clean")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
+
+
+@_query(r"SELECT doc_id, len(string_split(text, chr(10))) AS line_count, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS word_count, length(text) AS char_count FROM documents")
+def file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", T.file_info(F.col("text")).alias("i")).select("doc_id", *(F.col(f"i.{c}").cast("long").alias(c) for c in ("line_count", "word_count", "char_count")))
+
+
+@_query(
+    "SELECT doc_id, "
+    + _cascade("left(text, 500)", [([k], v) for k, v in fv.DOCUMENT_TYPES], f"'{fv.OTHER_TYPE}'")
+    + " AS document_type, "
+    + _cascade("left(text, 500)", fv.CATEGORIES, "NULL")
+    + " AS category_level1, "
+    + "(SELECT count(*) FROM (VALUES "
+    + ", ".join(f"({_any('text', n)})" for _, n in fv.TAGS)
+    + ") AS v(hit) WHERE hit) AS n_tags, contains(text, '|') AND contains(text, '---') AS has_tables, regexp_matches(text, '(?m)^[0-9]+\\.') AS has_lists, "
+    + r"(SELECT count(DISTINCT CAST(x AS DOUBLE)) FROM unnest(regexp_extract_all(text, '([0-9]+(?:\.[0-9]+)?)\s*%', 1)) AS u(x)) AS n_percent_fees, nullif(regexp_replace(string_split(text, chr(10))[1], '^\s+|\s+$', '', 'g'), '') AS title FROM documents"
+)
+def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _table(spark, sf_dir, "documents").select("doc_id", metadata(F.col("text")).alias("m"))
+    return m.select(
+        "doc_id", "m.document_type", F.col("m.categories.level1").alias("category_level1"), F.size("m.categories.tags").cast("long").alias("n_tags"), "m.content_features.has_tables", "m.content_features.has_lists",
+        F.size(F.filter("m.fees.all_fees", lambda f: f["unit"] == "%")).cast("long").alias("n_percent_fees"), "m.title",
+    )
+
+
+_LOW = "lower(text)"
+
+
+@_query(
+    "SELECT item_id AS query_id, CASE "
+    + " ".join(f"WHEN {_any(_LOW, w)} THEN '{k}'" for w, k in ((fv.DOCUMENT_QUERY, "document"), (fv.SECTION_QUERY, "section"), (fv.CHUNK_QUERY, "chunk")))
+    + f" ELSE 'mixed' END AS query_type, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) > 10 OR {_any('text', fv.COMPLEX_QUERY)} AS is_complex, "
+    + f"CASE WHEN {_any(_LOW, fv.ABOUT_WORDS)} THEN 'ABOUT_BOT' WHEN {_any(_LOW, fv.DOMAIN_WORDS)} THEN 'RAG' ELSE 'OUT_OF_SCOPE' END AS route FROM benchmark"
+)
+def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("text")
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), analysis(q).alias("a"), route(q).alias("route")).select("query_id", "a.query_type", "a.is_complex", "route")
+
+
+@_query(_TOKENS + " SELECT n AS doc_count, round(avgdl, 6) AS avg_doc_length FROM s")
+def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.corpus_stats(bm25.tokenised(_table(spark, sf_dir, "documents"))).select("doc_count", F.round("avg_doc_length", 6).alias("avg_doc_length"))
+
+
+@_query(_TOKENS + " SELECT term, df, round(idf, 6) AS idf, row_number() OVER (ORDER BY term) - 1 AS term_id FROM v")
+def bm25_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = bm25.term_ids(bm25.vocabulary(bm25.tokenised(_table(spark, sf_dir, "documents"))))
+    return vocab.select("term", "df", F.round("idf", 6).alias("idf"), "term_id")
+
+
+@_query(_TOKENS + " SELECT doc_id, term, tf, round(weight, 6) AS weight FROM w")
+def bm25_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.sparse_vectors(bm25.tokenised(_table(spark, sf_dir, "documents"))).select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("tokens"))
+
+
+@_query(_ASKED + _RANKED.format(_BM25.format("weight"), "score > 0", 10))
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(bm25.tokenised(_table(spark, sf_dir, "documents")), _questions(spark, sf_dir))
+
+
+@_query(_ASKED + _RANKED.format(_BM25.format("tf"), "score > 0", 10))
+def bm25_classic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(bm25.tokenised(_table(spark, sf_dir, "documents")), _questions(spark, sf_dir), classic=True)
+
+
+def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@_query(_RANKED.format(_DENSE, "score IS NOT NULL", 10))
+def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense.search(_table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir))
+
+
+_LEGS = (
+    _ASKED
+    + f", b AS ({_RANKED.format(_BM25.format('weight'), 'score > 0', 60)}), d AS ({_RANKED.format(_DENSE, 'score IS NOT NULL', 60)}), "
+    + """joint AS (SELECT query_id, doc_id, b.score AS bm25_score, d.score AS dense_score, b.rank AS br, d.rank AS dr FROM b FULL JOIN d USING (query_id, doc_id)),
+    sized AS (SELECT *, count(br) OVER p AS nb, count(dr) OVER p AS nd FROM joint WINDOW p AS (PARTITION BY query_id)),
+    fused AS (SELECT query_id, doc_id, round(0.5 / (coalesce(br, nb + 60) + 60) + 0.5 / (coalesce(dr, nd + 60) + 60), 9) AS score, bm25_score, dense_score FROM sized)"""
+)
+
+
+def _hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items paired by id with vectors: every item has tokens, those that divide by 100 a vector too."""
+    return _questions(spark, sf_dir).join(_vector_queries(spark, sf_dir), "query_id", "full_outer").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+
+
+@_query(_LEGS + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 30")
+def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toks = bm25.tokenised(_table(spark, sf_dir, "documents"))
+    return engine.hybrid(toks, _table(spark, sf_dir, "embeddings"), _hybrid_queries(spark, sf_dir))
+
+
+@_query(
+    _LEGS
+    + """, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 30),
+    re AS (SELECT top.query_id, top.doc_id, top.score, round(len(list_intersect(list_distinct(q.toks), list_distinct(t.toks))) / nullif(len(list_distinct(q.toks)), 0), 6) AS rerank_score FROM top JOIN t USING (doc_id) JOIN q USING (query_id)),
+    full_re AS (SELECT query_id, doc_id, score, rerank_score FROM re UNION ALL SELECT top.query_id, top.doc_id, top.score, NULL FROM top JOIN t USING (doc_id) WHERE query_id NOT IN (SELECT query_id FROM q))
+    SELECT query_id, doc_id, score, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, doc_id) AS rank FROM full_re) WHERE rank <= 10"""
+)
+def reranked_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toks = bm25.tokenised(_table(spark, sf_dir, "documents"))
+    return engine.retrieve(toks, _table(spark, sf_dir, "embeddings"), _hybrid_queries(spark, sf_dir)).select("query_id", "doc_id", "score", "rerank_score", "rank")
+
+
+@_query(
+    _ASKED
+    + ", r AS ("
+    + _RANKED.format(_BM25.format("weight"), "score > 0", 20)
+    + "), b AS (SELECT query_id, doc_id, round(0.7 * score + 0.3 * coalesce(quality, 0), 4) AS score FROM r LEFT JOIN labels USING (doc_id)) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b"
+)
+def importance_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = bm25.search(bm25.tokenised(_table(spark, sf_dir, "documents")), _questions(spark, sf_dir), 20)
+    joined = hits.join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return fusion.blended(joined, F.coalesce("quality", F.lit(0)), digits=4).select("query_id", "doc_id", "score", "rank")
+
+
+@_query(
+    "WITH r AS ("
+    + _RANKED.format(_DENSE, "score IS NOT NULL", 10)
+    + """), j AS (SELECT r.query_id, r.rank, (q.label = d.label)::INT AS rel FROM r JOIN embeddings q ON q.vec_id = r.query_id JOIN embeddings d ON d.vec_id = r.doc_id),
+    n AS (SELECT q.vec_id AS query_id, count(d.vec_id) AS n FROM embeddings q LEFT JOIN embeddings d ON d.label = q.label WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id),
+    g AS (SELECT query_id, sum(rel) AS hit, min(CASE WHEN rel = 1 THEN rank END) AS first, sum(rel / log2(rank + 1)) AS dcg FROM j GROUP BY query_id)
+    SELECT query_id, round(hit / 10, 6) AS precision, round(coalesce(hit / nullif(n, 0), 0), 6) AS recall, round(coalesce(1 / first, 0), 6) AS reciprocal_rank,
+           round(coalesce(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 1 + greatest(least(n, 10), 1)) AS x(i)), 0), 6) AS ndcg FROM g JOIN n USING (query_id)"""
+)
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    hits = dense.search(vectors, _vector_queries(spark, sf_dir))
+    label = vectors.select("vec_id", "label")
+    asked = label.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
+    judged = hits.join(asked, "query_id").join(label, F.col("doc_id") == F.col("vec_id")).select("query_id", "rank", (F.col("label") == F.col("ql")).alias("relevant"))
+    total = asked.join(label.groupBy("label").count(), F.col("ql") == F.col("label"), "left").select("query_id", F.coalesce("count", F.lit(0)).alias("n_relevant"))
+    return metrics.by_query(judged, 10, total)
+
+
+_HEADER = " OR ".join(f"regexp_matches(trim(line), '{p}')" for p in fv.SECTION_HEADERS)
+_SECTIONS = rf"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+    m AS (SELECT *, pos > 0 AND ({_HEADER}) AS opens FROM l),
+    n AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section_id FROM m)"""
+
+
+@_query(_SECTIONS + " SELECT doc_id, section_id::BIGINT AS section_id, min(pos)::BIGINT AS start_line, max(pos)::BIGINT AS end_line, array_to_string(list(line ORDER BY pos) FILTER (pos < sp + 20), chr(10)) AS text FROM (SELECT *, min(pos) OVER (PARTITION BY doc_id, section_id) AS sp FROM n) GROUP BY doc_id, section_id")
+def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sec = chunking.sections(_table(spark, sf_dir, "documents"))
+    return sec.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("section_id", "start_line", "end_line")), F.array_join(F.slice("lines", 1, chunking.SECTION_LINES), "\n").alias("text"))
+
+
+@_query(
+    _SECTIONS
+    + " SELECT doc_id, array_to_string(list(line ORDER BY pos), chr(10)) AS text FROM (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) WHERE before <= 500 GROUP BY doc_id"
+)
+def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", chunking.summary(F.split("text", "\n")).alias("text"))
+
+
+@_query()
+def chunk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.build_chunks(_table(spark, sf_dir, "documents"))
+
+
+_MESSAGES = "m AS (SELECT conv_id AS session_id, turn AS seq, role, text AS content FROM conversations WHERE role IN ('user', 'assistant')), b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS back FROM m)"
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content")).where(F.col("role").isin(*memory.ROLES))
+
+
+@_query(f"WITH {_MESSAGES} SELECT session_id, seq, role, content FROM b WHERE back <= 4")
+def memory_last_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.last(_messages(spark, sf_dir), 4)
+
+
+@_query(
+    f"WITH {_MESSAGES}, t AS (SELECT session_id, string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || content, chr(10) ORDER BY seq) AS t FROM b WHERE back <= 4 GROUP BY session_id) SELECT session_id, CASE WHEN length(t) > 2000 THEN '...' || right(t, 2000) ELSE t END AS context FROM t"
+)
+def memory_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.context_window(_messages(spark, sf_dir))
+
+
+@_query(
+    f"WITH {_MESSAGES} SELECT session_id, count(*) FILTER (back <= 20) AS total_messages, count(*) FILTER (back <= 20 AND role = 'user') AS user_messages, count(*) FILTER (back <= 20 AND role = 'assistant') AS assistant_messages, count(*) FILTER (role = 'user') AS total_turns, count(*) FILTER (back <= 20) || '/20' AS utilisation FROM b GROUP BY session_id"
+)
+def memory_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.statistics(_messages(spark, sf_dir))
+
+
+@_query("SELECT conv_id AS session_id, count(*) AS message_count, min(turn) AS first_seq, max(turn) AS last_seq FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
+def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.sessions(_messages(spark, sf_dir))
+
+
+_HITS = _ASKED + ", r AS (" + _RANKED.format(_BM25.format("weight"), "score > 0", 10) + ")"
+
+
+@_query(
+    _HITS
+    + ", u AS (SELECT query_id, rank, text, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM r JOIN documents USING (doc_id)) SELECT query_id, string_agg(text, chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM u WHERE used <= 3000 GROUP BY query_id"
+)
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return engine.answer_context(bm25.search(bm25.tokenised(docs), _questions(spark, sf_dir)), docs.select("doc_id", "text"))
+
+
+@_query(_HITS + ", c AS (SELECT query_id, source, rank, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n, printf('%.4f', round(score, 3)) AS shown_score FROM r JOIN documents USING (doc_id)) SELECT query_id, source, rank, shown_score FROM c WHERE n = 1")
+def source_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    hits = bm25.search(bm25.tokenised(docs), _questions(spark, sf_dir)).join(docs.select("doc_id", "source"), "doc_id")
+    return assembly.citations(hits.withColumn("score", F.round("score", 3)).withColumn("rerank_score", F.lit(None).cast("double")), "source")
+
+
+@_query("SELECT user_id, ts, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    return index_store.upsert(events.where("event_id % 2 = 0"), events.where("event_id % 2 <> 0"), "user_id", "ts")
+
+
+@_query("SELECT doc_id, source, n_chars FROM documents JOIN labels USING (doc_id) WHERE quality >= 1 AND lang = 'en'")
+def filtered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumnRenamed("lang", "document_type")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("importance_score"))
+    return index_store.filtered(docs, "en").join(index_store.filtered(labels, min_importance=1.0), "doc_id").select("doc_id", "source", "n_chars")
+
+
+@_query(
+    "WITH a AS (SELECT item_id AS query_id, text AS answer FROM benchmark), e AS (SELECT query_id, 0 AS seq, 'status' AS type, 'generating' AS content FROM a UNION ALL SELECT query_id, i, 'token', substring(answer, i, 1) FROM a, unnest(range(1, length(answer) + 1)) AS t(i) UNION ALL SELECT query_id, length(answer) + 1, 'final', answer FROM a) SELECT query_id, seq::BIGINT AS seq, type, content FROM e"
+)
+def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"))
+    return assembly.events(answers).withColumn("seq", F.col("seq").cast("long"))
