@@ -181,12 +181,12 @@ def score(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "
 
 
 def scored_rows(docs: DataFrame, model: Gam, text_col: str = "text") -> DataFrame:
-    """All of ``docs``' columns and ``score``: for filters that keep the rows as they are."""
+    """All of ``docs``' columns and ``__quality``: for filters that keep the rows as they are."""
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         raws = [x or b"" for x in batch.column(len(names)).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(features(raws)))], [*names, "quality_score"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(features(raws)))], [*names, "__quality"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", quality_score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __quality double"
     return docs.withColumn("__raw", F.col(text_col).cast("binary")).mapInArrow(per_batch(run), schema)
