@@ -76,8 +76,6 @@ def search(toks: DataFrame, queries: DataFrame, k: int = 10, classic: bool = Fal
     By default both sides are weighted (the dot product of two sparse vectors); ``classic`` counts the query's
     tokens instead. Ties go to the smaller id.
     """
-    stats = corpus_stats(toks).first()
-    n, avg = stats["doc_count"], stats["avg_doc_length"] or 1.0
     id_type = toks.schema["doc_id"].dataType.simpleString()
     out = None
     for part in _blocks(queries, block):
@@ -85,14 +83,19 @@ def search(toks: DataFrame, queries: DataFrame, k: int = 10, classic: bool = Fal
         shared_terms = toks.sparkSession.sparkContext.broadcast(set(wanted))
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared_terms) -> Iterator[pa.RecordBatch]:
-            df: dict[str, int] = {}
+            df: dict[str | None, int] = {}
+            n = length = 0
             for batch in batches:
                 for ts in batch.column(0).to_pylist():
+                    n, length = n + 1, length + len(ts)
                     for t in shared.value.intersection(ts):
                         df[t] = df.get(t, 0) + 1
+            df |= {"": n, " ": length}  # no token is blank: the corpus' totals travel along
             yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["term", "df"])
 
         df = {r["term"]: r["df"] for r in toks.select("tokens").mapInArrow(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
+        n, length = df.pop("", 0), df.pop(" ", 0)
+        avg = length / n if length else 1.0
         weights = {t: float(np.log((n - d + 0.5) / (d + 0.5) + 1)) for t, d in df.items()}
         index: dict[str, tuple[list[int], list[float]]] = {}
         for q, (_, ts) in enumerate(part):
