@@ -16,11 +16,13 @@ TEXTS = [None, "", " ", "a", "Hello  WORLD\nnew\r\nline\tx", "don't it's I'll",
 
 def test_words_encode_like_whole_texts():
     tok = Tokenizer.from_file(PATH)
-    mine = packing.CachedTokenizer(PATH)
+    mine = packing.CachedTokenizer(PATH, limit=50)
     rng = random.Random(0)
     more = ["".join(rng.choice("aB é́\n \t'st,.!1ß <|>") for _ in range(60)) for _ in range(500)]
-    texts = [t or "" for t in TEXTS] + more
-    assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    texts = [t or "" for t in TEXTS] + more + ["<|STARTOFTEXT|> ΑΣ ΣΑΣ İI", "ΑΣ, ΣΑΣ İI ÅÅ"]
+    for part in (texts[:100], texts[50:300], texts[:20]):  # words grow old and are met again
+        mine.encode([t.encode() for t in part])
+    assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode([t.encode() for t in texts])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
 def check_plan(counts, limits):
