@@ -132,22 +132,23 @@ def discounts(t: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.0), float(k)) for k in (1, 2, 3))  # type: ignore[return-value]
 
 
-def _frequent(rows: DataFrame, parts: int) -> tuple[list[tuple[int, float]], int, int]:
-    """Words with more than a share of 1 / (4 parts) of the tokens (at most 4 parts words); tokens; texts."""
+def _frequent(rows: DataFrame) -> tuple[list[tuple[int, float]], int, int]:
+    """Words with a share of 1 / 4096 of the tokens or more (so at most 4096 words); tokens; texts. Only where
+    ranges are cut depends on this list, no count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(x for x in batch.column(0).to_pylist()):
                 tok, sizes = tokens(part)
                 word, n = np.unique(tok, return_counts=True)
-                top = n * 16 * parts >= len(tok)
+                top = n * 4096 >= len(tok)  # whatever is frequent in the corpus is frequent in a batch somewhere
                 yield pa.RecordBatch.from_arrays([pa.array([*word[top].view(np.int64), 0]), pa.array([*n[top], len(tok)]), pa.array([*[0] * int(top.sum()), len(sizes)])], ["word", "n", "texts"])
 
     got = rows.mapInArrow(run, "word long, n long, texts long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
     total = got.where("word = 0").first()
     if total is None:
         return [], 0, 0
-    words = got.where((F.col("word") != 0) & (F.col("n") * 4 * parts >= int(total["n"]))).select("word", "n").collect()
+    words = got.where((F.col("word") != 0) & (F.col("n") * 4096 >= int(total["n"]))).select("word", "n").collect()
     return sorted((int(r["word"]) % (1 << 64), r["n"] / total["n"]) for r in words if r["word"] != int(END)), int(total["n"]), int(total["texts"])
 
 
@@ -184,12 +185,14 @@ def local_path(folder: str) -> str:
     return "/" + path.lstrip("/")
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, model_dir: str | None = None, flush: int = 3_000_000) -> Model:
-    """Count all of ``docs`` and write the model's arrays."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, model_dir: str | None = None, flush: int = 3_000_000, per_part: int = 2_000_000) -> Model:
+    """Count all of ``docs`` and write the model's arrays, in at least a range for every ``per_part`` tokens."""
     spark: SparkSession = docs.sparkSession
     rows = texts(docs, id_col, text_col).select("raw")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frequent, n_tokens, n_docs = _frequent(rows, parts)
+    words, n_tokens, n_docs = _frequent(rows)
+    parts = max(parts, -(-n_tokens // per_part))
+    frequent = [(w, share) for w, share in words if share * 4 * parts >= 1]
     path = f"{local_path(model_dir or shared_dir(spark))}/ngram-{uuid.uuid4().hex}"
     os.makedirs(path)
     model = Model(path, _ranges(parts, frequent, n_docs / max(n_tokens, 1)), _even(parts), n_docs, n_tokens)

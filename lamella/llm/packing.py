@@ -15,6 +15,7 @@ is a document of its own); an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,30 +32,38 @@ PIECE_SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 class CachedTokenizer:
     """Token ids of a text, remembered by word.
 
-    The vocabulary splits at white space and drops it, so the ids of a text are those of its words one
-    after another; only words that are new to this worker reach the tokenizer. The memory is emptied
-    beyond ``limit`` words.
+    The vocabulary splits at white space and drops it, and lower-cases, so the ids of a text are those of its
+    lower-cased words one after another; only words that are new to this worker reach the tokenizer. There are two
+    generations of at most about ``limit`` words: a word that is met again moves to the young one, and the old one is
+    dropped when the young one is full.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self._limit = limit
-        self._ids: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split(" ") if "\n" not in t else t.replace("\n", " ").split(" ") for t in texts]
-        if len(self._ids) > self._limit:
-            self._ids.clear()
-        known = self._ids
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def encode(self, raws: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
+        # special tokens are matched before lower-casing, so texts that may have one keep their case
+        split = [(r if b"<|" in r else r.lower()).decode("utf-8", "replace").replace("\n", " ").split(" ") for r in raws]
+        if len(self._young) > self._limit:
+            self._young, self._old = {}, self._young
+        young, old = self._young, self._old
+        new = {w for words in split for w in words if w not in young}
+        if old:
+            again = new & old.keys()
+            young.update((w, old[w]) for w in again)
+            new -= again
+        unknown = list(new)
+        for i in range(0, len(unknown), 20_000):
+            part = unknown[i : i + 20_000]
             for w, e in zip(part, self._tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+                young[w] = array("I", e.ids).tobytes()
+        return [b"".join([young[w] for w in words]) for words in split]
 
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
@@ -83,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 owner, rows = [], []
-                for i, ids in enumerate(tok.encode([x.decode("utf-8", "replace") for x in part.column(1).to_pylist()])):
+                for i, ids in enumerate(tok.encode(part.column(1).to_pylist())):
                     ids += end
                     for k, b in enumerate(range(0, len(ids), step)):
                         cut = ids[b : b + step]

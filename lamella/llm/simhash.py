@@ -229,6 +229,7 @@ def _labelled(each: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFram
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = named.join(first, "root").select(F.col("node").alias("fp"), "component_id")
     of_class = classes.join(linked, "fp", "left").select(F.col("fp").alias("class_fp"), F.coalesce("component_id", "first_id").alias("component_id"))
+    of_class = stored(of_class, "labels")  # a plain table on this side lets the join split a hot class
     return each.join(of_class, F.col("fp") == F.col("class_fp"), "left").select("doc_id", "fp", "component_id")
 
 

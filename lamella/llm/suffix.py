@@ -137,7 +137,8 @@ def _first_runs(docs: DataFrame, length: int) -> DataFrame:
 
 def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Count ranks. Returns the repeated runs and, for what stays open, one row for each distinct extent."""
-    tied = rows.groupBy("core").count().where("count > 1").select("core")
+    rows = stored(rows, "runs")  # read twice; and both sides of the join below are plain tables, so a hot core can be split
+    tied = stored(rows.groupBy("core").count().where("count > 1").select("core"), "cores")
     rows = stored(rows.join(tied, "core").select(*_NAMES), "tied")
     kinds = rows.groupBy("core", "extent").agg(F.count("*").alias("n"), F.min(F.struct("key", "anchor", "near", "far", "open")).alias("one"))
     kinds = stored(kinds.select("core", "extent", "n", "one.*"), "extents")

@@ -13,7 +13,7 @@ from ..functions.metadata import metadata
 from ..functions.query import analysis, route
 from ..operators import assembly, bm25, chunking, dense, fusion, memory, metrics
 from ..sources import index_store
-from . import engine
+from . import dialogue, engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -301,3 +301,39 @@ def filtered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"))
     return assembly.events(answers).withColumn("seq", F.col("seq").cast("long"))
+
+
+@_query(
+    f"SELECT item_id AS query_id, route, CASE route WHEN 'ABOUT_BOT' THEN '{dialogue.ABOUT_ANSWER}' WHEN 'RAG' THEN 'RAG' ELSE '{dialogue.OUT_OF_SCOPE_ANSWER.replace(chr(39), chr(39) * 2)}' END AS answer "
+    + f"FROM (SELECT item_id, CASE WHEN {_any(_LOW, fv.ABOUT_WORDS)} THEN 'ABOUT_BOT' WHEN {_any(_LOW, fv.DOMAIN_WORDS)} THEN 'RAG' ELSE 'OUT_OF_SCOPE' END AS route FROM benchmark)"
+)
+def routed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return dialogue.answers(requests, requests.select("query_id", F.col("query").alias("context")), lambda c: F.when(c.isNotNull(), "RAG"))
+
+
+@_query(_TOKENS + " SELECT doc_id, term, tf FROM tf")
+def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.term_frequencies(bm25.tokenised(_table(spark, sf_dir, "documents")))
+
+
+@_query(
+    _SECTIONS
+    + """, s AS (SELECT DISTINCT doc_id, section_id FROM n)
+    SELECT doc_id, sha256(concat_ws('/', doc_id, 1, section_id, 0)) AS chunk_id, sha256(concat_ws('/', doc_id, 0, 0, 0)) AS ancestor_id, 1 AS distance FROM s"""
+)
+def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    chunks = chunking.chunk_tree(docs).where("hierarchy_level < 2")
+    found = fusion.ancestors(chunks, chunks.where("hierarchy_level = 1").select("chunk_id"))
+    return found.join(chunks.select("doc_id", "chunk_id"), "chunk_id").select("doc_id", "chunk_id", "ancestor_id", "distance")
+
+
+@_query(
+    _HITS
+    + ", e AS (SELECT r.query_id, doc_id, rank, source, score, row_number() OVER (PARTITION BY r.query_id, source ORDER BY rank) - 1 AS k FROM r JOIN documents USING (doc_id)), p AS (SELECT *, round(score * power(0.7, k), 4) AS diverse_score FROM e) SELECT query_id, doc_id, diverse_score FROM p"
+)
+def diversified_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    hits = bm25.search(bm25.tokenised(docs), _questions(spark, sf_dir)).join(docs.select("doc_id", "source"), "doc_id")
+    return dialogue.diversified(hits, "source").select("query_id", "doc_id", F.round("diverse_score", 4).alias("diverse_score"))

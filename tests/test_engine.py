@@ -210,3 +210,19 @@ def test_streaming_memory(spark, tmp_path):
     q.stop()
     last = {r.session_id: r for r in spark.sql("SELECT * FROM mem ORDER BY total_turns, held").collect()}
     assert last[1].held == 4 and last[1].total_turns == 3
+
+
+def test_dialogue(spark):
+    from lamella.plans import dialogue
+
+    requests = spark.createDataFrame([(1, 7, "hello"), (2, 7, "ค่าธรรมเนียมโอน"), (3, 8, "weather"), (4, 8, "จำนอง")], "query_id long, session_id long, query string")
+    contexts = spark.createDataFrame([(2, "c" * 900), (1, "unused")], "query_id long, context string")
+    got = {r.query_id: (r.route, r.answer) for r in dialogue.answers(requests, contexts).collect()}
+    assert got == {1: ("ABOUT_BOT", dialogue.ABOUT_ANSWER), 2: ("RAG", "c" * 500), 3: ("OUT_OF_SCOPE", dialogue.OUT_OF_SCOPE_ANSWER), 4: ("RAG", dialogue.NO_CONTEXT_ANSWER)}
+    messages = spark.createDataFrame([(7, 0, "user", "a"), (7, 1, "assistant", "b")], "session_id long, seq long, role string, content string")
+    kept = dialogue.remembered(messages, requests, dialogue.answers(requests, contexts)).orderBy("session_id", "seq").collect()
+    assert [(r.session_id, r.seq, r.role) for r in kept] == [(7, i, ("user", "assistant")[i % 2]) for i in range(6)] + [(8, i, ("user", "assistant")[i % 2]) for i in range(4)]
+    words = spark.createDataFrame([(["fee", "land"],)], "t array<string>").select(dialogue.expanded(F.col("t"), {"fee": ["cost", "land"]}).alias("x")).first().x
+    assert words == ["fee", "cost", "land"]
+    hits = spark.createDataFrame([(1, 1, 1.0, 1, "a"), (1, 2, 0.9, 2, "a"), (1, 3, 0.8, 3, "b")], "query_id long, doc_id long, score double, rank int, g string")
+    assert [r.doc_id for r in dialogue.diversified(hits, "g").orderBy("rank").collect()] == [1, 3, 2]
