@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import per_batch, stored, texts
@@ -93,6 +93,27 @@ def _grid(alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) ->
     return which, alo[which] + k // nb[which], blo[which] + k % nb[which]
 
 
+#: Pairs of leaves of two nodes that may be listed.
+_PAIRS = 1 << 16
+
+
+def _link_blocks(parent: np.ndarray, wide: np.ndarray, alo: int, ahi: int, blo: int, bhi: int, budget: int) -> None:
+    """Links within two ranges of leaves that can't be told apart by their path, one leaf against all others at
+    a time. Leaves of the largest component need not be compared with each other."""
+    at = np.arange(alo, ahi) if alo == blo else np.concatenate([np.arange(alo, ahi), np.arange(blo, bhi)])
+    done = np.zeros(len(at), bool)
+    k = 0
+    while True:
+        done[k] = True
+        near = at[np.bitwise_count(wide[at] ^ wide[at[k]]).sum(axis=1) <= budget]
+        _link(parent, np.full(len(near), at[k]), near)
+        root, count = np.unique(_roots(parent, at), return_counts=True)
+        left = np.flatnonzero(~done & (_roots(parent, at) != root[count.argmax()]))
+        if not len(left):
+            return
+        k = left[0]
+
+
 def trie_links(
     unit: np.ndarray, side: np.ndarray, value: np.ndarray, budget: int, leaf: int = 24, chunk: int = 1 << 17, wide: np.ndarray | None = None, wide_budget: int = 0
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +168,11 @@ def trie_links(
                 alo, ahi, blo, bhi, e = (x[~sure] for x in (alo, ahi, blo, bhi, e))
             small = ((ahi - alo) * (bhi - blo) <= leaf) | (level == BITS)
             if small.any():
-                _, i, j = _grid(alo[small], ahi[small], blo[small], bhi[small])
+                rows = np.stack([x[small] for x in (alo, ahi, blo, bhi)], axis=1)
+                large = (rows[:, 1] - rows[:, 0]) * (rows[:, 3] - rows[:, 2]) > _PAIRS
+                for x in rows[large].tolist():
+                    _link_blocks(parent, w, *x, wide_budget)
+                _, i, j = _grid(*rows[~large].T)
                 ok = np.flatnonzero((i != j) & (np.bitwise_count(v[i] ^ v[j]) <= limit))
                 if w is not None:
                     ok = ok[np.bitwise_count(w[i[ok]] ^ w[j[ok]]).sum(axis=1) <= wide_budget]
@@ -243,17 +268,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WORDS = 4
 
 
-def wide_fingerprint(raw: bytes, shingle: int = 5) -> np.ndarray:
-    """A SimHash of ``64 * WORDS`` bits over the set of word shingles; each hash is extended by mixing."""
+def shingles(raw: bytes, shingle: int = 5) -> np.ndarray:
+    """The sorted hashes of the set of a text's word shingles."""
     words = raw.lower().split()
     n = len(words)
     if not n:
-        return np.zeros(WORDS, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     k = min(shingle, n)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: n - k + 1].tolist()
-    h = np.array(list({xxhash.xxh3_64_intdigest(joined[s:e]) for s, e in zip(starts, ends[k - 1 :].tolist(), strict=True)}), np.uint64)
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(joined[s:e]) for s, e in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def wide_fingerprint(raw: bytes, shingle: int = 5) -> np.ndarray:
+    """A SimHash of ``64 * WORDS`` bits over the set of word shingles."""
+    return _wide(shingles(raw, shingle))
+
+
+def _wide(h: np.ndarray) -> np.ndarray:
+    """The bits of a set of hashes; each hash is extended by mixing."""
+    if not len(h):
+        return np.zeros(WORDS, np.uint64)
     votes = np.zeros(BITS * WORDS, np.int64)
     for i in range(0, len(h), 1 << 14):
         x = h[i : i + (1 << 14), None] + np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -264,61 +300,226 @@ def wide_fingerprint(raw: bytes, shingle: int = 5) -> np.ndarray:
     return np.packbits(2 * votes > len(h), bitorder="little").view("<u8").astype(np.uint64)
 
 
+def _class_of(h: np.ndarray) -> int:
+    """The name of a set of shingles, signed."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.astype("<u8").tobytes())).view(np.int64))
+
+
 def differing_share(similarity: float) -> float:
     """The expected share of differing bits of two sets of equal size with this Jaccard similarity."""
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def similar_links(classes: DataFrame, similarity: float, miss: float = 0.02) -> DataFrame:
-    """Links ``(a, b)`` of a spanning forest over classes (``fp, wide``) of at least ``similarity``.
+def _tries(p: float, prefix: int, limit: int, miss: float) -> int:
+    """Tries such that a pair whose bits differ with probability ``p`` each is missed with probability ``miss`` at
+    most: by more than ``limit`` differing bits, or because no try has its prefix equal. The tries select from the same
+    bits, so the number of differing ones is summed over."""
+    bits = BITS * WORDS
+    log_f = np.concatenate([[0], np.cumsum(np.log(np.arange(1, bits + 1)))])
+    d = np.arange(bits + 1)
+    weight = np.exp(log_f[bits] - log_f[d] - log_f[bits - d] + d * np.log(p) + (bits - d) * np.log1p(-p)) if p else (d == 0).astype(float)
+    rest = np.maximum(bits - prefix - d, 0)
+    equal = np.where(d <= bits - prefix, np.exp(log_f[bits - prefix] - log_f[rest] - log_f[bits] + log_f[bits - d]), 0)
+    seen = d <= limit
+    over = float(weight[~seen].sum())
+    if over >= miss:
+        raise ValueError(f"{limit} of {bits} bits alone miss a share of {over:.4f}")
+    tries = 1
+    while over + float((weight[seen] * (1 - equal[seen]) ** tries).sum()) > miss:
+        tries += 1
+    return tries
+
+
+def similar_links(classes: DataFrame, similarity: float, miss: float = 0.02, unit_limit: int = 50_000) -> DataFrame:
+    """Candidate links ``(a, b)`` over classes (``fp, wide``): they connect all of at least ``similarity``, and others.
 
     A similarity of 0.8 leaves too many differing bits for four blocks, so there are more tries, each over its
     own order of 64 of the bits, and a pair is met where it agrees in the first ``prefix`` bits of one. The
     prefix follows the number of classes, which keeps units small; the number of tries follows from it such
     that a pair at the threshold is missed with probability ``miss`` at most, and closer pairs far less. The walk
-    allows 2.5 standard deviations over the expected bits; all bits of both fingerprints decide.
+    allows three standard deviations over the expected bits. A unit above ``unit_limit`` classes is dealt to chunks,
+    each pair of which is a unit of its own.
     """
     n = classes.count()
     p = differing_share(similarity)
-    prefix = int(np.clip(np.ceil(np.log2(max(n, 2))) - 4, 6, 28))
-    tries = int(np.ceil(np.log(miss) / np.log(1 - (1 - p) ** prefix)))
     bits = BITS * WORDS
-    budget, wide_budget = int(BITS * p + 2.5 * np.sqrt(BITS * p * (1 - p))), int(round(bits * p + np.sqrt(bits * p * (1 - p))))
+    budget, wide_budget = (int(np.ceil(m * p + 3 * np.sqrt(m * p * (1 - p)))) for m in (BITS, bits))
+    prefix = int(np.clip(np.ceil(np.log2(max(n, 2))) - 4, 6, 28))
+    tries = _tries(p, prefix, wide_budget, miss)
     orders = np.stack([np.random.default_rng(i).permutation(bits)[:BITS] for i in range(tries)])
 
+    def paths(part: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        raw = np.frombuffer(b"".join(part.column(column).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+        every = np.unpackbits(raw, axis=1, bitorder="little")
+        for t in range(tries):
+            v = np.ascontiguousarray(np.packbits(every[:, orders[t]], axis=1)).view(">u8").astype(np.uint64).ravel()
+            yield t, v, ((v >> np.uint64(BITS - prefix)) + np.uint64(t << 32)).view(np.int64)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                got = [np.unique(u, return_counts=True) for _, _, u in paths(batch.slice(at, 4096), 1)]
+                unit, count = (np.concatenate(x) for x in zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(count.astype(np.int64))], ["unit", "n"])
+
+    hot: dict[int, int] = {}
+    if n > unit_limit:
+        counted = classes.select("fp", "wide").mapInArrow(sizes, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+        hot = {r["unit"]: -(-r["n"] // unit_limit) for r in counted.where(F.col("n") > unit_limit).toLocalIterator()}
+    names = ["unit", "side", "v", "fp", "wide"]
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large = np.array(sorted(hot), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                every = np.unpackbits(raw, axis=1, bitorder="little")
-                for t in range(tries):
-                    v = np.ascontiguousarray(np.packbits(every[:, orders[t]], axis=1)).view(">u8").astype(np.uint64).ravel()
-                    unit = (v >> np.uint64(BITS - prefix)) + np.uint64(t << 32)
-                    yield pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), pa.array(v.view(np.int64)), part.column(0), part.column(1)], ["unit", "v", "fp", "wide"])
+                fp = part.column(0).to_numpy(zero_copy_only=False)
+                for _, v, unit in paths(part, 1):
+                    cut = np.isin(unit, large) if len(large) else np.zeros(len(unit), bool)
+                    plain = np.flatnonzero(~cut)
+                    rows, units, sides = [plain], [unit[plain]], [np.zeros(len(plain), np.int32)]
+                    for u in np.unique(unit[cut]).tolist():
+                        i = np.flatnonzero(unit == u)
+                        k = (fp[i].view(np.uint64) % np.uint64(hot[u])).astype(np.int64)
+                        for other in range(hot[u]):
+                            key = [xxhash.xxh3_64_intdigest(b"%d %d %d" % (u, min(a, other), max(a, other))) for a in k.tolist()]
+                            rows.append(i)
+                            units.append(np.array(key, np.uint64).view(np.int64))
+                            sides.append((k > other).astype(np.int32))
+                    i = np.concatenate(rows)
+                    cols = [pa.array(np.concatenate(units)), pa.array(np.concatenate(sides)), pa.array(v[i].view(np.int64)), pa.array(fp[i]), part.column(1).take(pa.array(i))]
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        unit, v, fp = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(3))
-        wide = np.frombuffer(b"".join(x for b in got for x in b.column(3).to_pylist()), "<u8").reshape(len(fp), WORDS)
-        a, b = trie_links(unit, np.zeros(len(unit), np.int64), v.view(np.uint64), budget, 64, 1 << 15, wide, wide_budget)
+        unit, side, v, fp = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(4))
+        wide = np.frombuffer(b"".join(x for b in got for x in b.column(4).to_pylist()), "<u8").reshape(len(fp), WORDS)
+        a, b = trie_links(unit, side, v.view(np.uint64), budget, 64, 1 << 15, wide, wide_budget)
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(fp[a], fp[b])), pa.array(np.minimum(fp[a], fp[b]))], ["a", "b"])
 
-    met = classes.select("fp", "wide").mapInArrow(spread, "unit long, v long, fp long, wide binary")
+    met = classes.select("fp", "wide").mapInArrow(spread, "unit long, side int, v long, fp long, wide binary")
     return met.repartition("unit").mapInArrow(run, "a long, b long")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``doc_id, fp, component_id`` for links of at least ``similarity`` between sets of word shingles, as estimated
-    from 256-bit fingerprints (a standard error of about 0.05 at 0.8). fp names the class of equal fingerprints."""
+def _alike(common: np.ndarray, m: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of m and n elements with so many common ones reach the similarity."""
+    return common >= similarity * (m + n - common) - 1e-9
+
+
+def exact_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between the sets whose Jaccard similarity is ``similarity`` at least, by counting common elements."""
+    n = len(sets)
+    parent, size = np.arange(n), np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(n), size)
+    _, of = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    posted, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(of))])
+    begin = np.concatenate([[0], np.cumsum(size)])
+    for i in range(n):
+        mine = of[begin[i] : begin[i + 1]]
+        lo, count = first[mine], first[mine + 1] - first[mine]
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+        common = np.bincount(posted[at], minlength=n)
+        near = np.flatnonzero((common > 0) & _alike(common, size[i], size, similarity))
+        _link(parent, np.full(len(near), i), near)
+        if i % 64 == 0 and not _roots(parent, np.arange(n)).any():
+            break
+    root = _roots(parent, np.arange(n))
+    far = np.flatnonzero(root != np.arange(n))
+    return far, root[far]
+
+
+def verified_links(sets: DataFrame, similarity: float, block: int = 512, rounds: int = 4) -> DataFrame:
+    """Links ``(a, b)`` that connect exactly those classes of one candidate component that links of ``similarity`` connect.
+
+    ``sets`` (``root, fp, set``) has the shingles of each class. A component of at most ``block`` classes is one unit
+    of work. In a larger one every class is first compared with one pivot, for some rounds; what then has different
+    pivots is dealt to blocks, and each pair of blocks is a unit.
+    """
+
+    def as_sets(column: pa.Array) -> list[np.ndarray]:
+        return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, fps, held = None, [], []
+
+        def done() -> pa.RecordBatch:
+            a, b = exact_links(held, similarity) if len(held) > 1 else (np.zeros(0, np.int64),) * 2
+            names = np.array(fps, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
+
+        for batch in batches:
+            for u, fp, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_sets(batch.column(2)), strict=True):
+                if u != unit and held:
+                    yield done()
+                    fps, held = [], []
+                unit = u
+                fps.append(fp)
+                held.append(h)
+        if held:
+            yield done()
+
+    def within(rows: DataFrame) -> DataFrame:
+        return rows.select("unit", "fp", "set").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
+
+    sizes = stored(sets.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+    out = within(sets.join(sizes.where(F.col("n") <= block), "root").withColumn("unit", F.col("root").cast("string")))
+    large = sizes.where(F.col("n") > block).select("root")
+    if large.isEmpty():
+        return out
+
+    def by_pivot(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ok = [bool(_alike(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), similarity)) for a, b in zip(as_sets(batch.column(2)), as_sets(batch.column(4)), strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pa.array(ok, pa.bool_())], ["root", "fp", "pivot", "ok"])
+
+    left = stored(sets.join(large, "root"), "large")
+    labels = None
+    all_large = left
+    for _ in range(rounds):
+        pivots = stored(left.groupBy("root").agg(F.min(F.struct("fp", "set")).alias("s")).select("root", F.col("s.fp").alias("pivot"), F.col("s.set").alias("pivot_set")), "pivots")
+        judged = stored(left.join(pivots, "root").select("root", "fp", "set", "pivot", "pivot_set").mapInArrow(per_batch(by_pivot), "root long, fp long, pivot long, ok boolean"), "judged")
+        now = judged.where("ok").select("root", "fp", F.col("pivot").alias("label"))
+        labels = now if labels is None else labels.unionByName(now)
+        left = stored(left.join(judged.where("NOT ok").select("fp"), "fp", "left_semi").select("root", "fp", "set"), "left")
+        if left.isEmpty():
+            break
+    labels = stored(labels.unionByName(left.select("root", "fp", F.lit(None).cast("long").alias("label"))), "pivoted")
+    out = out.unionByName(labels.where("label <> fp").select(F.col("fp").alias("a"), F.col("label").alias("b")))
+    groups = labels.groupBy("root", "label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    groups = stored(groups.withColumn("others", F.count("*").over(Window.partitionBy("root"))).where("others > 1 OR label IS NULL").drop("others"), "groups")
+    blocks = groups.select("root", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).withColumn("block", F.concat_ws(" ", F.coalesce(F.col("label").cast("string"), F.lit("-")), "k"))
+    other = blocks.select("root", F.col("label").alias("label2"), F.col("block").alias("block2"))
+    pairs = blocks.join(other, "root").where("block <= block2 AND (label IS NULL OR NOT label <=> label2)")
+    units = pairs.select(F.concat_ws(" ", "root", "block", "block2").alias("unit"), "root", F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    placed = labels.join(groups.withColumnRenamed("root", "r").withColumnRenamed("label", "l"), F.expr("root = r AND label <=> l"))
+    placed = placed.select("fp", "root", F.concat_ws(" ", F.coalesce(F.col("label").cast("string"), F.lit("-")), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("string")).alias("block"))
+    rows = all_large.select("fp", "set").join(placed, "fp").join(units, ["root", "block"])
+    return out.unionByName(within(rows))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, miss: float = 0.02, unit_limit: int = 50_000, block: int = 512) -> DataFrame:
+    """``doc_id, fp, component_id`` for links of a Jaccard similarity of at least ``similarity`` between sets of word
+    shingles. fp names the class of equal sets. Candidates come from 256-bit fingerprints, which miss a pair at the
+    threshold with probability ``miss`` at most; the sets themselves decide."""
     source = texts(docs, id_col, text_col)
+    id_type = source.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(x, shingle).astype("<u8").tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "wide"])
+        sets = [shingles(x, shingle) for x in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_wide(h).astype("<u8").tobytes() for h in sets], pa.binary()), pa.array([_class_of(h) for h in sets], pa.int64())], ["doc_id", "wide", "fp"])
+
+    def again(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(x, shingle) for x in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([_class_of(h) for h in sets], pa.int64()), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], ["of", "set"])
 
-    made = source.mapInArrow(per_batch(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, wide binary")
-    each = stored(made.withColumn("fp", F.xxhash64("wide")), "fingerprints")
+    each = stored(source.mapInArrow(per_batch(run), f"doc_id {id_type}, wide binary, fp long"), "fingerprints")
     classes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("wide").alias("wide")), "classes")
-    return _labelled(each.select("doc_id", "fp"), classes.select("fp", "first_id"), similar_links(classes, similarity))
+    near = components(similar_links(classes, similarity, miss, unit_limit))
+    near = stored(near.join(classes, near.node == classes.fp).select("fp", "root", "first_id"), "near")
+    wanted = near.select(F.col("first_id").alias("wanted_id")).distinct()
+    held = source.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("raw")
+    sets = held.mapInArrow(per_batch(again), "of long, set binary").join(near.select("fp", "root"), F.col("of") == F.col("fp"))
+    sets = stored(sets.groupBy("fp").agg(F.first("root").alias("root"), F.first("set").alias("set")), "sets")
+    return _labelled(each.select("doc_id", "fp"), classes.select("fp", "first_id"), verified_links(sets, similarity, block))
