@@ -227,12 +227,21 @@ def cut(raw: bytes, spans: list[tuple[int, int]], length: int) -> tuple[int, int
 def deduplicate(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` for every row; kept is what is left, as bytes."""
     rows = texts(docs, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "raw"))
-    spans = repeated_starts(rows, length).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnRenamed("key", "of")
-    joined = rows.join(spans.hint("shuffle_hash"), F.col("key") == F.col("of"), "left").select("doc_id", "raw", "spans")
+    # rows that repeat entirely: one stands for all in the search, and every start of theirs is repeated
+    again = stored(rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("of")), "again")
+    same = F.col("key") == F.col("of")
+    searched = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["key"]))
+    found = repeated_starts(searched, length).distinct().join(again, same, "left_anti")
+    spans = found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).select(F.col("key").alias("of"), "spans", F.lit(False).alias("whole"))
+    spans = stored(spans.unionByName(again.select("of", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(True).alias("whole"))), "spans")  # plain, so that a hot key can be split
+    joined = rows.join(spans.hint("shuffle_hash"), same, "left").select("doc_id", "raw", "spans", "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [cut(raw, [(s["lo"], s["hi"]) for s in spans or ()], length) for raw, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            got = []
+            for raw, spans, whole in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                at = [(0, len(raw) - length)] if whole and len(raw) >= length else [(s["lo"], s["hi"]) for s in spans or ()]
+                got.append(cut(raw, at, length))
             sizes = np.array([len(x) for x in batch.column(1).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 

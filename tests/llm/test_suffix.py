@@ -54,6 +54,19 @@ def test_matches_brute_force(spark, seed):
     assert sum(w[1] > 0 for w in want) > 20
 
 
+def test_rows_that_repeat_are_searched_once(spark, monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdé \n") for _ in range(3000))
+    rows = [(None, text)] * 300 + [(7, "start " + text[500:1500] + " end")] * 2 + [(8, "x" + text[100:900]), (9, "short"), (9, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, search = [], suffix.repeated_starts
+    monkeypatch.setattr(suffix, "repeated_starts", lambda d, length: seen.append(d.count()) or search(d, length))
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, suffix.digest(bytes(r.kept))) for r in suffix.deduplicate(docs, LENGTH).collect())
+    want = brute([t.encode() for _, t in [*rows[:2], *rows[300:]]])
+    assert got == sorted((r[0] or 0, *w) for r, w in zip(rows, [want[0]] * 300 + want[2:], strict=True))
+    assert seen == [4]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix.deduplicate(docs).count() == 0
