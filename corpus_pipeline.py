@@ -55,7 +55,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: No stage but the redaction of base kinds is plain SQL; the stages are tested against brute force.
+#: No stage but the redaction of base kinds is plain SQL; of the others near-duplicates are compared with brute force.
 ORACLE_SQL = None
 
 
