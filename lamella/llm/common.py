@@ -43,6 +43,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """A column name that no column of ``taken`` has, whatever the case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def fold(id_col: str | Column, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id counts as the empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -4,7 +4,7 @@ Pieces of one length are interchangeable, so the packing is planned on the histo
 ``capacity`` numbers, whatever the size of the corpus. Lengths are placed from the longest down. A bin has
 three capacities left (tokens, documents, attention cost), and a length goes into the group of equal
 bins that fits under every one of them and scores best: by the norm of what would remain, or by the
-weighted dot product of need and residual. A plan step says "the r0-th to r1-th piece of length L go, q to a
+weighted dot product of the need and the residual's direction (the best aligned bin, the tightest of equals). A plan step says "the r0-th to r1-th piece of length L go, q to a
 sequence, into sequences s, s+1, ... at offset o"; each piece finds its step from its rank among pieces of its
 length, and ranks come from counts in salted buckets, never from one task for one length.
 
@@ -15,7 +15,6 @@ is a document of its own); an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,58 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import stored, texts, unused
+from .wordids import WordTokenizer
 
 PIECE_SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
-class CachedTokenizer:
-    """Token ids of a text, remembered by word.
+_TOKENIZERS: dict[str, WordTokenizer] = {}
 
-    The vocabulary splits at white space and drops it, and lower-cases, so the ids of a text are those of its
-    lower-cased words one after another; only words that are new to this worker reach the tokenizer. There are two
-    generations of at most about ``limit`` words: a word that is met again moves to the young one, and the old one is
-    dropped when the young one is full.
-    """
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
-        from tokenizers import Tokenizer
-
-        self._tok = Tokenizer.from_file(path)
-        self._limit = limit
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def encode(self, raws: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        # special tokens are matched before lower-casing, so texts that may have one keep their case
-        split = [(r if b"<|" in r else r.lower()).decode("utf-8", "replace").replace("\n", " ").split(" ") for r in raws]
-        if len(self._young) > self._limit:
-            self._young, self._old = {}, self._young
-        young, old = self._young, self._old
-        new = {w for words in split for w in words if w not in young}
-        if old:
-            again = new & old.keys()
-            young.update((w, old[w]) for w in again)
-            new -= again
-        unknown = list(new)
-        for i in range(0, len(unknown), 20_000):
-            part = unknown[i : i + 20_000]
-            for w, e in zip(part, self._tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                young[w] = array("I", e.ids).tobytes()
-        return [b"".join([young[w] for w in words]) for words in split]
-
-
-_TOKENIZERS: dict[str, CachedTokenizer] = {}
-
-
-def _tokenizer(path: str) -> CachedTokenizer:
+def _tokenizer(path: str) -> WordTokenizer:
     """One for each worker process and vocabulary."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = CachedTokenizer(path)
+        _TOKENIZERS[path] = WordTokenizer(path)
     return _TOKENIZERS[path]
 
 
@@ -89,13 +49,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
 
         tok = _tokenizer(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 owner, rows = [], []
                 for i, ids in enumerate(tok.encode(part.column(1).to_pylist())):
-                    ids += end
-                    for k, b in enumerate(range(0, len(ids), step)):
-                        cut = ids[b : b + step]
+                    data = ids.astype("<u4").tobytes() + end
+                    for k, b in enumerate(range(0, len(data), step)):
+                        cut = data[b : b + step]
                         owner.append(i)
                         rows.append((k, b // 4, len(cut) // 4, zlib.crc32(cut)))
                 cols = np.array(rows, np.int64).reshape(-1, 4)
@@ -159,9 +119,13 @@ def plan(counts: dict[int, int], limits: Limits) -> np.ndarray:
         while todo:
             fits = np.flatnonzero((size[:used] > 0) & (left[:used] >= need).all(axis=1))
             if len(fits):
-                rest = (left[fits] - need) * scale
-                value = np.sqrt((rest**2).sum(axis=1)) if limits.rule == "norm" else (left[fits] * scale) @ (need * scale)
-                g = int(fits[np.argmin(value)])  # the tightest
+                rest = np.sqrt((((left[fits] - need) * scale) ** 2).sum(axis=1))
+                if limits.rule == "norm":
+                    g = int(fits[np.argmin(rest)])  # the tightest
+                else:  # the best aligned, and the tightest among equals
+                    have = left[fits] * scale
+                    aligned = have @ (need * scale) / np.sqrt((have**2).sum(axis=1))
+                    g = int(fits[np.lexsort([rest, -np.round(aligned / aligned.max(), 9)])[0]])
                 residual, at, bins = left[g].copy(), int(first[g]), int(size[g])
                 size[g] = 0
             else:
@@ -180,23 +144,25 @@ def plan(counts: dict[int, int], limits: Limits) -> np.ndarray:
     return np.array(steps, np.int64).reshape(-1, 6)
 
 
-def pack(cut: DataFrame, limits: Limits | None = None, buckets: int = 64) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces (``doc_id, piece, length``, ...)."""
+def pack(cut: DataFrame, limits: Limits | None = None, buckets: int = 64, per_bucket: int = 1_000_000) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to pieces (``doc_id, piece, start, length, ids_crc32``). The pieces of one length are
+    ranked in at least ``buckets`` buckets, and in more where there are over ``per_bucket`` pieces for each."""
     limits = limits or Limits()
     spark = cut.sparkSession
-    kept = stored(cut, "pieces")  # tokenised once
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
-    salted = kept.withColumn("bucket", bucket)
+    names = cut.columns
+    salt = unused("salt", names)
+    kept = stored(cut.withColumn(salt, F.monotonically_increasing_id()), "pieces")  # tokenised once; the salt parts equal rows
+    counts = {int(r[0]): int(r[1]) for r in kept.groupBy("length").count().collect()}  # at most `capacity` rows
+    buckets = max(buckets, -(-sum(counts.values()) // per_bucket))
+    salted = kept.withColumn("bucket", F.pmod(F.xxhash64(salt), F.lit(buckets)).cast("int"))
     by_bucket = salted.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = by_bucket.selectExpr("length AS of_length", "bucket AS of_bucket", "sum(n) OVER (PARTITION BY length ORDER BY bucket) - n AS before")
-    counts = {int(r[0]): int(r[1]) for r in kept.groupBy("length").count().collect()}  # at most `capacity` rows
     steps = plan(counts, limits)
     steps = steps[np.lexsort([steps[:, 1], steps[:, 0]])]
     shared = spark.sparkContext.broadcast(steps)
 
-    ranked = salted.selectExpr("*", "row_number() OVER (PARTITION BY length, bucket ORDER BY doc_id, piece, ids_crc32) - 1 AS place")
+    ranked = salted.selectExpr("*", f"row_number() OVER (PARTITION BY length, bucket ORDER BY doc_id, piece, ids_crc32, {salt}) - 1 AS place")
     ranked = ranked.join(before, (F.col("length") == F.col("of_length")) & (F.col("bucket") == F.col("of_bucket")))
-    names = cut.columns
     ranked = ranked.select(*names, (F.col("before") + F.col("place")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lamella.llm import packing
+from lamella.llm.wordids import WordTokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", " ", "a", "Hello  WORLD\nnew\r\nline\tx", "don't it's I'll", "<|startoftext|> a<|endoftext|>b", "é é ñ   x y ​\u0085z", "ﬁ ½ ①", "123 4,567.8 $$$ !!??",
@@ -16,13 +17,31 @@ TEXTS = [None, "", " ", "a", "Hello  WORLD\nnew\r\nline\tx", "don't it's I'll",
 
 def test_words_encode_like_whole_texts():
     tok = Tokenizer.from_file(PATH)
-    mine = packing.CachedTokenizer(PATH, limit=50)
+    mine = WordTokenizer(PATH, limit=50, most=4000)
+    assert mine.by_word
     rng = random.Random(0)
     more = ["".join(rng.choice("aB é́\n \t'st,.!1ß <|>") for _ in range(60)) for _ in range(500)]
     texts = [t or "" for t in TEXTS] + more + ["<|STARTOFTEXT|> ΑΣ ΣΑΣ İI", "ΑΣ, ΣΑΣ İI ÅÅ"]
-    for part in (texts[:100], texts[50:300], texts[:20]):  # words grow old and are met again
+    for part in (texts[:100], texts[50:300], texts[:20]):  # words are forgotten and met again
         mine.encode([t.encode() for t in part])
-    assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode([t.encode() for t in texts])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in mine.encode([t.encode() for t in texts])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_vocabulary_that_keeps_white_space_encodes_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    mine, tok = WordTokenizer(path), Tokenizer.from_file(path)
+    assert not mine.by_word
+    texts = [t or "" for t in TEXTS]
+    assert [x.tolist() for x in mine.encode([t.encode() for t in texts])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_many_words_of_every_length_are_told_apart():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abé,") for _ in range(rng.randint(1, 40))) for _ in range(60_000)]
+    texts = [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)]
+    mine, tok = WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    for _ in range(2):
+        assert [x.tolist() for x in mine.encode([t.encode() for t in texts])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
 def check_plan(counts, limits):
