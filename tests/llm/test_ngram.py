@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lamella.llm import ngram
@@ -11,42 +12,41 @@ def split(text):
     return (text or "").encode().lower().split()
 
 
-def brute(train, texts):
+def brute(train, texts, order):
     """The same model, from dictionaries."""
-    pairs, count = Counter(), Counter()
+    grams = {k: Counter() for k in range(1, order + 1)}
+    count = Counter()
     for t in train:
-        seq = ["<s>", *split(t), "</s>"]
-        pairs.update(zip(seq, seq[1:]))
-        count.update(seq[1:])
+        seq = [*["<s>"] * (order - 1), *split(t), "</s>"]
+        grams[order].update(zip(*(seq[j:] for j in range(order))))
+        count.update(seq[order - 1 :])
+    for k in range(order - 1, 0, -1):
+        grams[k].update(g[1:] for g in grams[k + 1])
     n, v = sum(count.values()), len(count)
-    after, total, kinds = Counter(), Counter(), defaultdict(lambda: [0, 0, 0])
-    for (a, b), c in pairs.items():
-        after[b] += 1
-        total[a] += c
-        kinds[a][min(c, 3) - 1] += 1
-    d2 = ngram.discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
-    d1 = ngram.discounts([sum(c == k for c in after.values()) for k in (1, 2, 3, 4)])
-    low = [sum(c == 1 for c in after.values()), sum(c == 2 for c in after.values()), sum(c > 2 for c in after.values())]
-    off = lambda c, d: max(c - (0, *d)[min(c, 3)], 0)
+    d = {k: ngram.discounts([sum(c == x for c in grams[k].values()) for x in (1, 2, 3, 4)]) for k in grams}
+    total, kinds = defaultdict(int), defaultdict(lambda: [0, 0, 0])
+    for k in grams:
+        for g, c in grams[k].items():
+            total[k, g[:-1]] += c
+            kinds[k, g[:-1]][min(c, 3) - 1] += 1
+    off = lambda c, x: max(c - (0, *x)[min(c, 3)], 0)
+
+    def probability(g):
+        pairs = total[1, ()]
+        rest = sum(x * y for x, y in zip(d[1], kinds[1, ()])) / pairs if pairs else 1
+        p = off(grams[1][g[-1:]], d[1]) / max(pairs, 1) + rest / (v + 1)
+        for k in range(2, order + 1):
+            h = g[-k:]
+            if total[k, h[:-1]]:
+                p = off(grams[k][h], d[k]) / total[k, h[:-1]] + sum(x * y for x, y in zip(d[k], kinds[k, h[:-1]])) / total[k, h[:-1]] * p
+        return p
+
     out = []
     for t in texts:
-        seq = ["<s>", *split(t), "</s>"]
-        base = score = 0.0
-        for a, b in zip(seq, seq[1:]):
-            base += math.log10((count[b] + 0.5) / (n + 0.5 * (v + 1)))
-            rest = sum(x * y for x, y in zip(d1, low)) / len(pairs) if pairs else 1
-            p = off(after[b], d1) / max(len(pairs), 1) + rest / (v + 1)
-            if total[a]:
-                p = off(pairs[a, b], d2) / total[a] + sum(x * y for x, y in zip(d2, kinds[a])) / total[a] * p
-            score += math.log10(p)
-        out.append((len(seq) - 1, sum(count[b] > 0 for b in seq[1:]), base, score))
-    total_p = None
-    if pairs:
-        a = "<s>"
-        rest = sum(x * y for x, y in zip(d1, low)) / len(pairs)
-        p1 = {b: off(after[b], d1) / len(pairs) + rest / (v + 1) for b in [*count, "unk"]}
-        total_p = sum(off(pairs[a, b], d2) / total[a] + sum(x * y for x, y in zip(d2, kinds[a])) / total[a] * p1[b] for b in p1)
-    return out, total_p
+        seq = [*["<s>"] * (order - 1), *split(t), "</s>"]
+        own = list(zip(*(seq[j:] for j in range(order))))
+        out.append((len(own), sum(count[g[-1]] > 0 for g in own), sum(math.log10((count[g[-1]] + 0.5) / (n + 0.5 * (v + 1))) for g in own), sum(math.log10(probability(g)) for g in own)))
+    return out, sum(probability((*["<s>"] * (order - 1), w)) for w in [*count, "unk"])
 
 
 def corpus(seed):
@@ -56,21 +56,21 @@ def corpus(seed):
     return texts + ["the " * 3000]
 
 
-@pytest.mark.parametrize("parts,flush", [(1, 10**9), (7, 500)])
-def test_matches_brute_force(spark, parts, flush):
+@pytest.mark.parametrize("order,parts,flush", [(2, 1, 10**9), (2, 7, 500), (3, 5, 700), (4, 3, 10**9)])
+def test_matches_brute_force(spark, order, parts, flush):
     texts = corpus(parts)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string").repartition(5)
     train = docs.where("doc_id % 3 <> 1")
-    model = ngram.train(train, parts=parts, flush=flush)
+    model = ngram.train(train, order=order, parts=parts, flush=flush)
     got = {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in ngram.score(docs, model).collect()}
-    want, total = brute([t for i, t in enumerate(texts) if i % 3 != 1], texts)
+    want, total = brute([t for i, t in enumerate(texts) if i % 3 != 1], texts, order)
     assert total == pytest.approx(1)
     assert len(got) == len(texts)
     for i, w in enumerate(want):
         assert got[i][:2] == w[:2]
         assert got[i][2:] == pytest.approx(w[2:])
     if parts > 1:
-        assert len(model.bounds) > parts  # the frequent word's range was cut
+        assert len(model.bounds[2])  # the frequent word's range was cut
 
 
 def test_no_training_rows_and_empty_table(spark):
@@ -78,3 +78,18 @@ def test_no_training_rows_and_empty_table(spark):
     model = ngram.train(docs.where("false"))
     assert [(r.n_tokens, r.n_known, r.base_score, r.score) for r in ngram.score(docs.orderBy("doc_id"), model).collect()] == [(1, 0, 0.0, 0.0), (3, 0, 0.0, 0.0)]
     assert ngram.score(docs.where("false"), model).count() == 0
+
+
+def test_counts_beyond_32_bits():
+    big = np.array([5, 1 << 40], np.uint64)
+    assert ngram._fewest(big).dtype == np.uint64
+    key, total = ngram._summed(np.array([7, 7], np.uint64), np.array([(1 << 32) - 1] * 2, np.uint32))
+    assert total.tolist() == [2 * ((1 << 32) - 1)]
+    assert [x.tolist() for x in ngram._unpack(ngram._pack(np.array([1, 2], np.uint64), big))] == [[1, 2], [5, 1 << 40]]
+
+
+def test_runs_with_one_context_and_range_key_are_kept_apart():
+    rng = np.random.default_rng(1)
+    words = [rng.integers(0, 1 << 63, 200_000).astype(np.uint64) for _ in range(2)]
+    words[0][:] = 12345  # one context with many followers
+    assert len(np.unique(ngram.run_hash(words))) == 200_000
