@@ -2,17 +2,19 @@
 
 Candidates are the matches of a pattern for each kind, with code-point offsets. Five labelers (validity of
 the format, gazetteer, context words, token borders, variety of characters) vote yes, no or nothing on each. The
-votes are counted by pattern of kind and votes, a table of at most 5 * 3^5 rows; expectation-maximisation
-estimates from it how reliable each labeler is, and a logistic span classifier is trained on the resulting
-probabilities. Both are folds inside one SQL expression over that small table. Valid matches of the four base
-kinds are always reported; the classifier adds what else it takes for personal or secret.
+candidates are counted by pattern of kind, votes, length class and class of the share of digits, a table whose size the
+classes bound; expectation-maximisation estimates from it how reliable each labeler is, and a logistic span classifier on
+the votes, the kind, the length and the share of digits is trained on the resulting probabilities. Both are folds inside
+one SQL expression over that small table. Valid matches of the four base kinds are always reported; the classifier adds
+what else it takes for personal or secret. Texts are searched once: candidates are written to the shared folder, where
+training and the result read them.
 
 Positions come from pairs (gap, match) that tile the text: the gap is lazy and anchored at the last match's
 end, so a text is read once, and a match never starts inside a run that an earlier start would have covered.
 
 Defined cases: null text is empty and has no spans; ids may be null or repeat, rows stay as they are; without
 any candidate nothing is added; an empty table gives an empty result; other columns are not read (``redact``
-keeps them all).
+keeps them all, whatever their names).
 """
 
 from __future__ import annotations
@@ -22,16 +24,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored, unused
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 LABELERS = ("format", "gazetteer", "context", "borders", "variety")
+SHAPE = ("length", "digits")  # other inputs of the classifier
 
 #: For each kind: a cheap test that a text may have one, and the pattern. Repetitions are possessive where
 #: nothing after them could use what they give back, and runs are only entered at their start.
 _PATTERNS = {
     "email": ("@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     "ip": (r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
-    "card": (r"[0-9](?:[\x20-]?[0-9]){13}", r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++"),
+    "card": (r"[0-9](?:[\x20-]?[0-9]){11}", r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++"),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
     "secret": (
         r"AKIA[0-9A-Z]{16}|(?i:password|passwd|secret|token|api_?key)",
@@ -84,9 +89,16 @@ def _votes(x: str, text: str) -> str:
     )
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``__spans``: structs (kind, s, e, m, base, votes) of every candidate in column ``text`` (not null)."""
+def _shape(x: str) -> str:
+    """Length class (of 8, by doubling) and class of the share of digits (of 5) of a candidate, both from 0 to 1."""
+    m = f"{x}.m"
+    return f"array(least(floor(log2(length({m}))), 7) / 7D, floor(4 * length({_DIGITS.format(m=m)}) / length({m})) / 4D)"
+
+
+def candidates(docs: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
+    """Add a column ``name``: structs (kind, s, e, m, base, votes, shape) of every candidate in column ``text`` (not null)."""
     parts = []
+    found_in = unused("found", [*docs.columns, name])
     for kind in KINDS:
         cheap, pattern = _PATTERNS[kind]
         tiled = _lit(rf"(?s)\G(.*?)({pattern})")
@@ -99,43 +111,46 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         base = _valid(kind, "c.m") if kind in BASE else "false"
         kept = f"filter({placed}, c -> length({_DIGITS.format(m='c.m')}) BETWEEN 12 AND 19)" if kind == "card" else placed
         parts.append(f"IF({may}, transform({kept}, c -> struct(c.kind AS kind, c.s AS s, c.e AS e, c.m AS m, {base} AS base)), cast(array() AS array<struct<kind string, s int, e int, m string, base boolean>>))")
-    found = docs.withColumn("__found", F.expr(f"concat({', '.join(parts)})"))
-    voted = f"transform(__found, c -> struct(c.kind AS kind, c.s AS s, c.e AS e, c.m AS m, c.base AS base, {_votes('c', text)} AS votes))"
-    return found.withColumn("__spans", F.expr(voted)).drop("__found")
+    found = docs.withColumn(found_in, F.expr(f"concat({', '.join(parts)})"))
+    voted = f"transform({found_in}, c -> struct(c.kind AS kind, c.s AS s, c.e AS e, c.m AS m, c.base AS base, {_votes('c', text)} AS votes, {_shape('c')} AS shape))"
+    return found.withColumn(name, F.expr(voted)).drop(found_in)
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """Weights of votes, then of kinds, of the span classifier; and what EM found about each labeler: how often
-    its vote is yes on real and on false spans."""
+    """Weights of votes, of kinds and of the shape in the span classifier; and what EM found about each labeler: how
+    often its vote is yes on real and on false spans."""
 
     votes: tuple[float, ...] = (0.0,) * len(LABELERS)
     kinds: tuple[float, ...] = (-1.0,) * len(KINDS)
+    shape: tuple[float, ...] = (0.0,) * len(SHAPE)
     yes_if_real: tuple[float, ...] = ()
     yes_if_false: tuple[float, ...] = ()
 
     def probability(self, x: str) -> str:
         """SQL for the probability that candidate ``x`` is real."""
         z = " + ".join(f"({w!r}D) * element_at({x}.votes, {j + 1})" for j, w in enumerate(self.votes))
+        z += "".join(f" + ({w!r}D) * element_at({x}.shape, {j + 1})" for j, w in enumerate(self.shape))
         k = " ".join(f"WHEN '{kind}' THEN {w!r}D" for kind, w in zip(KINDS, self.kinds, strict=True))
         return f"(1 / (1 + exp(-({z} + CASE {x}.kind {k} END))))"
 
 
-def patterns(found: DataFrame) -> DataFrame:
-    """``kind, votes, n``: candidates counted by pattern, at most 5 * 3^5 rows."""
-    return found.select(F.explode("__spans").alias("c")).groupBy(F.col("c.kind").alias("kind"), F.col("c.votes").alias("votes")).agg(F.count("*").cast("double").alias("n"))
+def patterns(found: DataFrame, name: str = "spans") -> DataFrame:
+    """``kind, votes, shape, n``: candidates counted by pattern."""
+    c = found.select(F.explode(name).alias("c"))
+    return c.groupBy(*(F.col(f"c.{x}").alias(x) for x in ("kind", "votes", "shape"))).agg(F.count("*").cast("double").alias("n"))
 
 
-def fit(found: DataFrame, rounds: int = 30, steps: int = 300, rate: float = 1.0) -> Classifier:
+def fit(found: DataFrame, name: str = "spans", rounds: int = 30, steps: int = 300, rate: float = 1.0) -> Classifier:
     """EM over the pattern counts, then the span classifier by gradient ascent on its probabilities."""
     m = len(LABELERS)
-    table = patterns(found).agg(F.sort_array(F.collect_list(F.struct("kind", "votes", "n"))).alias("p"))
+    table = patterns(found, name).agg(F.sort_array(F.collect_list(F.struct("kind", "votes", "shape", "n"))).alias("p"))
     j = f"sequence(1, {m})"
     logit = (
         f"ln(t.pi / (1 - t.pi)) + aggregate({j}, 0D, (z, j) -> z + CASE element_at(q.votes, j) WHEN 1 THEN ln(element_at(t.a, j) / element_at(t.b, j)) "
         f"WHEN -1 THEN ln((1 - element_at(t.a, j)) / (1 - element_at(t.b, j))) ELSE 0D END)"
     )
-    posterior = f"transform(p, q -> struct(q.kind AS kind, q.votes AS votes, q.n AS n, 1 / (1 + exp(-({logit}))) AS r))"
+    posterior = f"transform(p, q -> struct(q.kind AS kind, q.votes AS votes, q.shape AS shape, q.n AS n, 1 / (1 + exp(-({logit}))) AS r))"
 
     def share(weight: str) -> str:
         yes = f"aggregate(w, 0D, (z, q) -> z + IF(element_at(q.votes, j) = 1, q.n * {weight}, 0D))"
@@ -148,8 +163,8 @@ def fit(found: DataFrame, rounds: int = 30, steps: int = 300, rate: float = 1.0)
     start = f"struct(0.8D AS pi, transform({j}, j -> 0.8D) AS a, transform({j}, j -> 0.3D) AS b)"
     em = table.withColumn("t", F.expr(f"aggregate(sequence(1, {rounds}), {start}, (t, i) -> {update})")).withColumn("w", F.expr(posterior))
     kinds = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
-    rows = f"transform(w, q -> struct(concat(transform(q.votes, v -> cast(v AS double)), transform({kinds}, k -> IF(k = q.kind, 1D, 0D))) AS x, q.n AS n, q.r AS r))"
-    size = m + len(KINDS)
+    rows = f"transform(w, q -> struct(concat(transform(q.votes, v -> cast(v AS double)), transform({kinds}, k -> IF(k = q.kind, 1D, 0D)), q.shape) AS x, q.n AS n, q.r AS r))"
+    size = m + len(KINDS) + len(SHAPE)
     margin = f"aggregate(sequence(1, {size}), 0D, (z, k) -> z + element_at(g, k) * element_at(q.x, k))"
     miss = f"transform(d, q -> struct(q.x AS x, q.n * (q.r - 1 / (1 + exp(-({margin})))) AS u))"
     climb = f"element_at(transform(array({miss}), e -> transform(sequence(1, {size}), k -> element_at(g, k) * 0.999D + {rate}D * aggregate(e, 0D, (z, q) -> z + q.u * element_at(q.x, k)) / s)), 1)"
@@ -157,7 +172,8 @@ def fit(found: DataFrame, rounds: int = 30, steps: int = 300, rate: float = 1.0)
     got = fitted.select(F.expr(f"aggregate(sequence(1, {steps}), transform(sequence(1, {size}), k -> 0D), (g, i) -> {climb})").alias("g"), "t", F.size("p").alias("n")).first()
     if got is None or not got["n"]:
         return Classifier()
-    return Classifier(tuple(got["g"][:m]), tuple(got["g"][m:]), tuple(got["t"]["a"]), tuple(got["t"]["b"]))
+    k = m + len(KINDS)
+    return Classifier(tuple(got["g"][:m]), tuple(got["g"][m:k]), tuple(got["g"][k:]), tuple(got["t"]["a"]), tuple(got["t"]["b"]))
 
 
 _ORDER = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
@@ -174,23 +190,25 @@ def _written(spans: str) -> str:
 
 def detect(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans``; spans as text, kind:start:end."""
-    found = candidates(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = stored(candidates(rows).select("doc_id", "spans"), "spans")
     model = fit(found)
-    base = "filter(__spans, c -> c.base)"
-    counts = [F.expr(f"cast(size(filter(__spans, c -> c.base AND c.kind = '{k}')) AS long)").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.expr(_written(base)).alias("base_spans"), F.expr(_written(f"filter(__spans, c -> c.base OR {model.probability('c')} >= {threshold}D)")).alias("spans"))
+    base = "filter(spans, c -> c.base)"
+    counts = [F.expr(f"cast(size(filter(spans, c -> c.base AND c.kind = '{k}')) AS long)").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.expr(_written(base)).alias("base_spans"), F.expr(_written(f"filter(spans, c -> c.base OR {model.probability('c')} >= {threshold}D)")).alias("spans"))
 
 
 def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` with every reported span replaced by its kind in angle brackets; overlapping spans become the
     first one's mark. All columns stay; a null text stays null."""
-    found = candidates(docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "__text")
-    model = fit(found)
-    spans = _sorted(f"filter(__spans, c -> c.base OR {model.probability('c')} >= {threshold}D)")
+    text, spans = unused("text_in", docs.columns), unused("spans_in", docs.columns)
+    found = stored(candidates(docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))), text, spans).drop(text), "spans")
+    model = fit(found, spans)
+    chosen = _sorted(f"filter({spans}, c -> c.base OR {model.probability('c')} >= {threshold}D)")
     folded = (
-        f"aggregate({spans}, struct(0 AS pos, '' AS done), (z, c) -> IF(c.s >= z.pos, "
-        f"struct(c.e AS pos, concat(z.done, substring(__text, z.pos + 1, c.s - z.pos), '<', upper(element_at({_ORDER}, cast(c.k AS int))), '>') AS done), "
-        f"struct(greatest(z.pos, c.e) AS pos, z.done AS done)), z -> concat(z.done, substring(__text, z.pos + 1)))"
+        f"aggregate({chosen}, struct(0 AS pos, '' AS done), (z, c) -> IF(c.s >= z.pos, "
+        f"struct(c.e AS pos, concat(z.done, substring({text}, z.pos + 1, c.s - z.pos), '<', upper(element_at({_ORDER}, cast(c.k AS int))), '>') AS done), "
+        f"struct(greatest(z.pos, c.e) AS pos, z.done AS done)), z -> concat(z.done, substring({text}, z.pos + 1)))"
     )
-    changed = F.when(F.size("__spans") > 0, F.expr(folded)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, changed).select(*docs.columns)
+    out = found.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return out.withColumn(text_col, F.when(F.size(spans) > 0, F.expr(folded)).otherwise(F.col(text_col))).select(*docs.columns)

@@ -83,3 +83,19 @@ def test_no_candidates_and_empty(spark):
     docs = spark.createDataFrame([(1, "plain words")], "doc_id long, text string")
     assert [r.spans for r in pii.detect(docs).collect()] == [""]
     assert pii.detect(docs.where("false")).count() == 0
+
+
+def test_a_short_number_is_a_candidate_by_itself(spark):
+    """What is a candidate depends on the match, not on what else the text holds."""
+    rows = [(0, "card 4222222222222"), (1, "card 4222222222222 and 11112222333344445555")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(c.kind, c.s, c.e) for c in r.spans] for r in pii.candidates(docs).collect()}
+    assert ("card", 5, 18) in got[0] and ("card", 5, 18) in got[1]
+
+
+def test_redaction_keeps_clashing_columns_and_leaks_nothing(spark):
+    text = "write to me@mail.example.com"
+    docs = spark.createDataFrame([(1, text, "a", "b", "c", "d"), (2, None, "a", "b", "c", "d")], "doc_id long, text string, text_in string, spans_in string, found string, __text string")
+    got = pii.redact(docs).orderBy("doc_id").collect()
+    assert got[0].asDict() == {"doc_id": 1, "text": "write to <EMAIL>", "text_in": "a", "spans_in": "b", "found": "c", "__text": "d"}
+    assert got[1].text is None
