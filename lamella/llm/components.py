@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, join_hot, stored
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, total: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    low = stored(low, "stars")
+    return join_hot(both.where("b > a"), low, "a", "n", 2 * total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, total: int) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
+    low = stored(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "stars")
     return (
-        down.join(low, "a")
+        join_hot(down, low, "a", "n", total)
         .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("s"))
         .select("s.a", "s.b")
         .where("a <> b")
@@ -29,14 +30,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """``(node, root)`` for every node of an edge; root is the smallest node of its component.
 
     The star steps keep the number of edges within that of the input, so no round grows; a round's
-    edges are written to the shared folder, which cuts the lineage and survives lost executors. The
-    hot node of a star is pre-aggregated by ``min`` and its join can be split as any skewed join.
+    edges are written to the shared folder, which cuts the lineage and survives lost executors, and deleted
+    when the next round's are there. A star's node is pre-aggregated by ``min``; hot nodes are joined by broadcast.
     Null ends and self loops are ignored; an edge may repeat.
     """
     e = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "edges")
-    before = None
+    before, total = None, e.count()
     for _ in range(max_rounds):
-        e = stored(_small_star(_large_star(e)).distinct(), "edges")
+        last, large = e, stored(_large_star(e, total), "edges")
+        e = stored(_small_star(large, total).distinct(), "edges")
+        for old in (last, large):
+            dropped(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -8,7 +8,8 @@ The model is fitted on at most ``max_rows`` labelled rows, the ones with the sma
 else runs over every whole text in one narrow pass.
 
 Defined cases: null text is empty text and gets a score like any other; null labels don't train; without
-a single usable label the score is 0.5 for all; several labels for one id each train; ids may repeat.
+a single usable label the score is 0.5 for all; several labels for one id each train; ids may repeat; an empty
+table gives an empty result; other columns are not read, and ``scored_rows`` keeps them all, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, texts
+from .common import per_batch, texts, unused
 from .textstats import measure_all
 
 FEATURES = (
@@ -148,21 +149,22 @@ def fit_gam(x: np.ndarray, y: np.ndarray, bins: int = 48, cycles: int = 160, lea
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 12_000, **options) -> Gam:
-    """Fit on labelled documents. The sample is at most ``max_rows`` labelled ids, the smallest by hash, so
-    its size is the bound on what is broadcast and on what reaches the driver (17 doubles a row)."""
+    """Fit on labelled documents. The sample is at most ``max_rows`` labels and as many rows that have them, the smallest
+    by hash, so its size is the bound on what is broadcast and on what reaches the driver (17 doubles a row)."""
     chosen = (
         labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("y"))
         .where("y IN (0, 1) AND label_id IS NOT NULL")
         .orderBy(F.xxhash64("label_id"), "label_id", "y")
         .limit(max_rows)
     )
-    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("raw", "y")
+    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("raw", "y", F.xxhash64("doc_id", "raw").alias("h"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = features(batch.column(0).to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+        return pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "y", "h"])
 
-    got = rows.mapInArrow(per_batch(run), "x array<double>, y int").toPandas()
+    # a repeated id brings a row for each copy: the bound holds for rows too
+    got = rows.mapInArrow(per_batch(run), "x array<double>, y int, h long").orderBy("h", "y").limit(max_rows).toPandas()
     if not len(got):
         return Gam()
     x = np.stack(got["x"].to_numpy())
@@ -180,13 +182,15 @@ def score(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "
     return out.mapInArrow(per_batch(run), f"doc_id {out.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def scored_rows(docs: DataFrame, model: Gam, text_col: str = "text") -> DataFrame:
-    """All of ``docs``' columns and ``__quality``: for filters that keep the rows as they are."""
+def scored_rows(docs: DataFrame, model: Gam, name: str, text_col: str = "text") -> DataFrame:
+    """All of ``docs``' columns and a column ``name`` with the score: for filters that keep the rows as they are."""
     names = docs.columns
+    if name != unused(name, names):
+        raise ValueError(f"there is a column {name} already")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         raws = [x or b"" for x in batch.column(len(names)).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(features(raws)))], [*names, "__quality"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(features(raws)))], [*names, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __quality double"
-    return docs.withColumn("__raw", F.col(text_col).cast("binary")).mapInArrow(per_batch(run), schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
+    return docs.withColumn(unused("raw", names), F.col(text_col).cast("binary")).mapInArrow(per_batch(run), schema)

@@ -87,23 +87,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE: dict[str, str] = {
-    "op8_warc_merkle_audit": """
-        WITH body AS (
-            SELECT page_id, page_id // 256 AS file,
-                   'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
-                   || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
-                   || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS payload
-            FROM pages),
-        placed AS (
-            SELECT file, page_id, sha256(payload) AS digest,
-                   CAST(sum(strlen(payload)) OVER (PARTITION BY file ORDER BY page_id, sha256(payload) ROWS UNBOUNDED PRECEDING) - strlen(payload) AS BIGINT) AS "offset"
-            FROM body)
-        SELECT file, "offset", page_id AS record_id, 'altered' AS status, digest AS expected, sha256(digest || '!') AS actual FROM placed WHERE page_id % 97 = 5
-        UNION ALL SELECT file, "offset", page_id, 'missing', digest, NULL FROM placed WHERE page_id % 97 = 11
-        UNION ALL SELECT file, "offset" + 1, page_id, 'extra', NULL, sha256('added') FROM placed WHERE page_id % 97 = 17
-    """,
-    "op10_quality_rules": """
+_LEDGER = """
         WITH w AS (
             SELECT doc_id, coalesce(text, '') AS text,
                    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
@@ -125,7 +109,31 @@ ORACLE: dict[str, str] = {
                    CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > 2 * n_words AND n_words > 0)::INT
                    + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (100 * up > 40 * (up + low))::INT + 32 * (100 * top > 25 * n_words AND n_words >= 20)::INT
                    + 64 * (word_chars > 15 * n_words)::INT + 128 * (10 * pipes > 2 * n_words AND n_words > 0)::INT AS BIGINT) AS fail_bits
-            FROM m)
+            FROM m)"""
+ORACLE: dict[str, str] = {
+    "op8_warc_merkle_audit": """
+        WITH body AS (
+            SELECT page_id, page_id // 256 AS file,
+                   'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+                   || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+                   || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS payload
+            FROM pages),
+        placed AS (
+            SELECT file, page_id, payload, sha256(payload) AS digest,
+                   CAST(sum(strlen(payload)) OVER (PARTITION BY file ORDER BY page_id, sha256(payload) ROWS UNBOUNDED PRECEDING) - strlen(payload) AS BIGINT) AS "offset"
+            FROM body)
+        SELECT file, "offset", page_id AS record_id, 'altered' AS status, digest AS expected, sha256(payload[:-2] || '!') AS actual FROM placed WHERE page_id % 97 = 5
+        UNION ALL SELECT file, "offset", page_id, 'missing', digest, NULL FROM placed WHERE page_id % 97 = 11
+        UNION ALL SELECT file, "offset" + 1, page_id, 'extra', NULL, sha256('added') FROM placed WHERE page_id % 97 = 17
+    """,
+    "op10_quality_rules": _LEDGER
+    + """
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits = 0 AS kept, fail_bits FROM f
     """,
+    "rule_ablations": _LEDGER
+    + """,
+        named AS (SELECT * FROM (VALUES ('too_few_words', 1), ('repeated_trigrams', 2), ('symbols', 4), ('duplicate_lines', 8), ('shouting', 16), ('one_word', 32), ('long_words', 64), ('table_debris', 128)) AS t(rule, bit))
+        SELECT rule, CAST(count(*) FILTER (fail_bits & bit <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (fail_bits = bit) AS BIGINT) AS n_failed_alone,
+               CAST(count(*) FILTER (fail_bits IN (0, bit)) AS BIGINT) AS n_kept_without, 'standard-1' AS policy FROM f, named GROUP BY rule
+    """,
 }

@@ -22,10 +22,10 @@ from .common import per_batch, texts
 from .textstats import measure_all
 
 LEDGER_SCHEMA = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_lines long, n_upper long, n_lower long, n_pipe long, top_count long"
 )
-_MEASURES = [x.split()[0] for x in LEDGER_SCHEMA.split(", ")][1:]
+_MEASURES = [x.split()[0] for x in LEDGER_SCHEMA.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         m = measure_all(batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[k]) for k in _MEASURES)], ["doc_id", *_MEASURES])
 
-    measured = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(per_batch(run), LEDGER_SCHEMA)
+    source = texts(docs, id_col, text_col)
+    measured = source.mapInArrow(per_batch(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {LEDGER_SCHEMA}")
     bits = F.lit(0).cast("long")
     for r in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(r.failed), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long")))
@@ -97,12 +98,12 @@ def ablations(led: DataFrame, policy: Policy) -> DataFrame:
     The ledger is first aggregated by its bit pattern (2^rules rows at most), so one shuffle of a few
     rows answers every ablation.
     """
-    spark = led.sparkSession
     patterns = led.select(F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long")).alias("bits")).groupBy("bits").agg(F.count("*").alias("n"))
-    rules = spark.sql(" UNION ALL ".join(f"SELECT '{r.name}' AS rule, {1 << r.bit}L AS bit" for r in RULES if r.name in policy.rules))
+    rules = F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("long").alias("bit")) for r in RULES if r.name in policy.rules)))
     hit = F.col("bits").bitwiseAND(F.col("bit")) != 0
     return (
-        patterns.join(F.broadcast(rules))
+        patterns.select("bits", "n", rules.alias("r"))
+        .select("bits", "n", "r.rule", "r.bit")
         .groupBy("rule")
         .agg(
             F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("n_failed"),

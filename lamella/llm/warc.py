@@ -15,8 +15,6 @@ a file that only one replica has is reported record by record; empty replicas ar
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,22 +23,28 @@ from .common import stored
 FANOUT, SLOT_BYTES, LEVELS = 16, 1 << 16, 5
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", per_file: int = 256) -> DataFrame:
-    """WARC response records of pages, ``file, offset, length, record_id, payload``.
-
-    A file holds the pages of ``per_file`` neighbouring ids, in order of id, one after another; so offsets are a
-    running sum over a bounded group.
-    """
+def payloads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", per_file: int = 256) -> DataFrame:
+    """WARC response records of pages, ``file, record_id, payload``; a file holds the pages of ``per_file`` neighbouring ids."""
     body = F.coalesce(F.col(body_col).cast("binary"), F.lit(b""))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.col(id_col).cast("string"), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(F.col(url_col), F.lit("")),
         F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
-    placed = pages.where(F.col(id_col).isNotNull()).select(F.floor(F.col(id_col) / per_file).alias("file"), F.col(id_col).alias("record_id"), F.concat(head.cast("binary"), body, F.lit(b"\r\n\r\n")).alias("payload"))
-    sized = placed.withColumn("length", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    # only sizes and digests are sorted; payloads are hashed where they are read
-    order = "OVER (PARTITION BY file ORDER BY record_id, digest ROWS UNBOUNDED PRECEDING)"
-    return sized.select("file", "record_id", "length", "digest").withColumn("offset", F.expr(f"sum(length) {order} - length"))
+    return pages.where(F.col(id_col).isNotNull()).select(F.floor(F.col(id_col) / per_file).alias("file"), F.col(id_col).alias("record_id"), F.concat(head.cast("binary"), body, F.lit(b"\r\n\r\n")).alias("payload"))
+
+
+def records(found: DataFrame) -> DataFrame:
+    """``file, record_id, length, digest, offset`` of records (``file, record_id, payload``, and ``held``, the bytes that are really
+    there, where they aren't the payload).
+
+    Records of a file lie one after another in order of id, so offsets are a running sum over a bounded group.
+    Payloads are hashed where they are read; only sizes and digests are shuffled.
+    """
+    held = F.col("held") if "held" in found.columns else F.col("payload")
+    place = F.sha2("payload", 256) if "held" in found.columns else F.lit("")
+    sized = found.select("file", "record_id", F.octet_length("payload").cast("long").alias("length"), F.sha2(held, 256).alias("digest"), place.alias("place"))
+    order = "OVER (PARTITION BY file ORDER BY record_id, IF(place = '', digest, place) ROWS UNBOUNDED PRECEDING)"
+    return sized.withColumn("offset", F.expr(f"sum(length) {order} - length")).drop("place")
 
 
 def leaves(replica: DataFrame) -> DataFrame:
@@ -98,11 +102,12 @@ def roots(replica: DataFrame, levels: int = LEVELS) -> DataFrame:
     return tree(replica, levels)[-1].select("file", F.col("slot").alias("root"), "hash")
 
 
-def damaged(rows: DataFrame, every: int = 97) -> DataFrame:
-    """A replica with deterministic damage, for audits of the audit: of the records whose id leaves 5 modulo
-    ``every`` the content has changed, of those that leave 11 nothing is left, and after those that leave 17 a
-    record was added within the file."""
-    kept = rows.where(F.pmod("record_id", F.lit(every)) != 11)
-    changed = F.when(F.pmod("record_id", F.lit(every)) == 5, F.sha2(F.concat("digest", F.lit("!")), 256)).otherwise(F.col("digest"))
-    added = rows.where(F.pmod("record_id", F.lit(every)) == 17).withColumn("offset", F.col("offset") + 1).withColumn("digest", F.sha2(F.lit("added"), 256))
-    return reduce(DataFrame.unionByName, [kept.withColumn("digest", changed), added])
+def damaged(found: DataFrame, every: int = 97) -> DataFrame:
+    """The records of a replica of ``found`` (``file, record_id, payload``) with deterministic damage, for audits of the audit: in
+    those whose id leaves 5 modulo ``every`` the last byte has changed, those that leave 11 are lost, and one byte after
+    the start of those that leave 17 a record was added. All bytes that the replica holds are hashed."""
+    rest = F.pmod("record_id", F.lit(every))
+    changed = F.concat(F.substring("payload", 1, F.octet_length("payload") - 1), F.lit(b"!"))
+    rows = records(found.withColumn("held", F.when(rest == 5, changed).otherwise(F.col("payload"))))
+    added = rows.where(rest == 17).withColumn("offset", F.col("offset") + 1).withColumn("digest", F.sha2(F.lit(b"added"), 256))
+    return rows.where(rest != 11).unionByName(added)

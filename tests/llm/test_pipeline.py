@@ -54,7 +54,9 @@ def test_stages_on_odd_rows(spark):
     good = docs.orderBy("doc_id").first()
     odd = [(10_001, None), (10_002, ""), (10_003, good.text), (10_004, good.text + " " + leak), (10_005, good.text[:200] + " me@mail.example.com " + good.text[200:]), (10_006, "long words " * 20_000)]
     more = spark.createDataFrame(odd, "doc_id long, text string").select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.lit(None).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-    now = docs.unionByName(more).withColumn("length", F.lit("clash")).withColumn("raw", F.lit(1))
+    now = docs.unionByName(more)
+    for name in ("length", "raw", "kept_id", "quality_score", "__quality", "text_in", "spans_in", "fp"):
+        now = now.withColumn(name, F.lit("clash"))
     ids = {"input": {r.doc_id for r in now.select("doc_id").collect()}}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, now, SF)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -31,8 +32,10 @@ def test_held_out_and_odd_rows(spark):
     held = [i for i, _ in rows if i % 3 == 0]
     truth = np.array(["!!" not in rows[i][1] and "###" not in rows[i][1] for i in held])
     assert np.mean((np.array([got[i] for i in held]) >= 0.3) == truth) > 0.97
-    kept = quality.scored_rows(docs, model)
-    assert kept.columns == [*docs.columns, "__quality"]
+    clashing = docs.withColumn("raw", F.lit("r")).withColumn("__quality", F.lit("q"))
+    kept = quality.scored_rows(clashing, model, "quality")
+    assert kept.columns == [*clashing.columns, "quality"]
+    assert {(r.raw, r["__quality"], r.score) for r in kept.collect()} == {("r", "q", "clash")}
     assert quality.score(docs.where("false"), model).count() == 0
 
 
@@ -46,3 +49,50 @@ def test_score_is_the_sum_of_bins(spark):
     b = m.bins(x[:5])
     by_hand = [m.intercept + sum(t[b[i, f]] for f, t in enumerate(m.single)) + sum(t[b[i, f], b[i, g]] for (f, g), t in m.pairs.items()) for i in range(5)]
     assert np.allclose(m.score(x[:5]), 1 / (1 + np.exp(-np.array(by_hand))))
+
+
+def test_trees_and_quadrants_match_exhaustive_search():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 7, 12):
+        g, h = rng.normal(size=n), rng.uniform(0.1, 1, n)
+        gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 2.0)
+        cuts = [0, n]
+        for _ in range(2):
+            options = [(gain(a, i) + gain(i, b) - gain(a, b), i) for a, b in zip(cuts, cuts[1:]) for i in range(a + 1, b)]
+            best = max(options, key=lambda x: x[0], default=(0, 0))
+            if best[0] > 1e-9:
+                cuts = sorted([*cuts, best[1]])
+        want = np.concatenate([np.full(b - a, g[a:b].sum() / (h[a:b].sum() + 2.0)) for a, b in zip(cuts, cuts[1:])])
+        assert np.allclose(quality._tree(g, h, 3, 2.0), want)
+    g, h = rng.normal(size=(5, 4)), rng.uniform(0.1, 1, (5, 4))
+    cells = lambda i, j: [(slice(0, i), slice(0, j)), (slice(i, 5), slice(0, j)), (slice(0, i), slice(j, 4)), (slice(i, 5), slice(j, 4))]
+    worth = {(i, j): sum(g[c].sum() ** 2 / (h[c].sum() + 1.0) for c in cells(i, j)) for i in range(1, 5) for j in range(1, 4)}
+    top = max(worth, key=worth.get)
+    want = np.empty((5, 4))
+    for c in cells(*top):
+        want[c] = g[c].sum() / (h[c].sum() + 1.0)
+    got = quality._quadrants(g, h, 1.0)
+    assert math.isclose(got[0], worth[top]) and np.allclose(got[1], want)
+
+
+def test_every_score_by_plain_lookups(spark):
+    """The distributed scores against loops over features, cuts and tables."""
+    rows, marks = corpus(150)
+    docs = spark.createDataFrame(rows + [(1000, None), (1001, "")], "doc_id long, text string").repartition(3)
+    m = quality.fit(docs, spark.createDataFrame(marks, "doc_id long, quality int"), cycles=20, pair_cycles=5)
+    for r in docs.join(quality.score(docs, m), "doc_id").collect():
+        x = quality.features([(r.text or "").encode()])[0]
+        b = [sum(c <= v for c in cuts) for cuts, v in zip(m.cuts, x)]
+        z = m.intercept + sum(t[b[f]] for f, t in enumerate(m.single)) + sum(t[b[f], b[g]] for (f, g), t in m.pairs.items())
+        assert math.isclose(r.score, 1 / (1 + math.exp(-max(-30, min(30, z)))), rel_tol=1e-9)
+
+
+def test_rows_of_a_repeated_id_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, "B!! " * 30)], "doc_id long, text string")
+    seen = []
+    fitted, quality.fit_gam = quality.fit_gam, lambda x, y, **kw: seen.append(len(y)) or quality.Gam()
+    try:
+        quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), max_rows=50)
+    finally:
+        quality.fit_gam = fitted
+    assert seen == [50]

@@ -37,6 +37,8 @@ def test_measurements_match_brute_force(spark):
         n, rep = r.n_words, r.n_repeat_words
         assert bool(r.fail_bits & 1) == (n < 50) and bool(r.fail_bits & 2) == (100 * rep > 50 * n)
     assert rules.ledger(docs.where("false")).count() == 0
+    named = spark.createDataFrame([("x-1", "a b"), (None, None)], "doc_id string, text string")
+    assert {(r.doc_id, r.n_words) for r in rules.ledger(named).collect()} == {("x-1", 2), (None, 0)}
 
 
 def test_policies_and_ablations_read_the_ledger(spark):

@@ -9,7 +9,7 @@ def pages(spark, n=900):
 
 
 def test_records_lie_one_after_another(spark):
-    rows = warc.records(pages(spark)).orderBy("file", "offset").collect()
+    rows = warc.records(warc.payloads(pages(spark))).orderBy("file", "offset").collect()
     assert len(rows) == 902
     end = {}
     for r in rows:
@@ -22,18 +22,21 @@ def test_records_lie_one_after_another(spark):
 
 
 def test_audit_finds_exactly_the_damage(spark):
-    a = warc.records(pages(spark))
-    b = warc.damaged(a)
+    found = warc.payloads(pages(spark))
+    a, b = warc.records(found), warc.damaged(found)
     got = sorted((r.status, r.record_id) for r in warc.audit(a, b).collect())
     want = sorted([("altered", i) for i in range(900) if i % 97 == 5] + [("missing", i) for i in range(900) if i % 97 == 11] + [("extra", i) for i in range(900) if i % 97 == 17])
     assert got == want
+    one = next(r for r in warc.audit(a, b).collect() if r.record_id == 5)
+    raw = next(bytes(r.payload) for r in found.where("record_id = 5").collect())
+    assert (one.expected, one.actual) == (hashlib.sha256(raw).hexdigest(), hashlib.sha256(raw[:-1] + b"!").hexdigest())
     swapped = sorted((r.status, r.record_id) for r in warc.audit(b, a).collect())
     turn = {"altered": "altered", "missing": "extra", "extra": "missing"}
     assert swapped == sorted((turn[s], i) for s, i in want)
 
 
 def test_equal_replicas_and_a_lost_file(spark):
-    a = warc.records(pages(spark, 600))
+    a = warc.records(warc.payloads(pages(spark, 600)))
     assert warc.audit(a, a).count() == 0
     assert warc.audit(a.where("false"), a.where("false")).count() == 0
     assert warc.audit(a, a.where("file <> 1")).where("status <> 'missing' OR file <> 1").count() == 0
