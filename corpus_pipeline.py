@@ -14,21 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm import decontam, packing, pii, quality, simhash
-from lamella.llm.common import fold, stored, table
+from lamella.llm.common import fold, stored, table, unused
 from lamella.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.3 or more stay. The model learns from labelled documents of the input."""
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
-    return quality.scored_rows(docs, model).where("__quality >= 0.3").select(docs.columns)
+    name = unused("quality_score", docs.columns)
+    return quality.scored_rows(docs, model, name).where(F.col(name) >= 0.3).drop(name)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays."""
     groups = simhash.similar(docs, shingle=5, similarity=0.8)
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept_id = unused("kept_id", docs.columns)
+    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(kept_id)).distinct()
+    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
