@@ -6,19 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .text import first_of, has_any, squeeze, strip
+from .text import digits, first_of, has_any, squeeze, strip, unicode
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return F.nullif(F.regexp_extract(text, unicode(pattern), group), F.lit(""))
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), group)
+    return F.regexp_extract_all(text, F.lit(unicode(pattern)), group)
+
+
+def _number(x: Column, kind: str = "bigint") -> Column:
+    """Digits of any of the two scripts as a number; null if there are too many."""
+    return digits(x).try_cast(kind)
 
 
 def title(text: Column) -> Column:
-    tried = [F.nullif(squeeze(F.regexp_extract(text, "(?s)" + p, 1)), F.lit("")) for p in fv.TITLE_PATTERNS]
+    tried = [F.nullif(squeeze(F.regexp_extract(text, unicode("(?s)" + p), 1)), F.lit("")) for p in fv.TITLE_PATTERNS]
     return F.coalesce(*tried, F.nullif(strip(F.element_at(F.split(text, "\n"), 1)), F.lit("")))
 
 
@@ -31,14 +36,14 @@ def kept(text: Column, needles: list[str]) -> Column:
 
 
 def least_number(text: Column, pattern: str) -> Column:
-    return F.array_min(F.transform(_all(text, pattern), lambda x: x.cast("int")))
+    return F.array_min(F.transform(_all(text, pattern), lambda x: _number(x)))
 
 
 def fees(text: Column) -> Column:
     """All fees, first occurrence of each (amount, unit)."""
 
     def of(pattern: str, unit: str, kind: str) -> Column:
-        return F.transform(_all(text, pattern), lambda x: F.struct(x.cast("double").alias("amount"), F.lit(unit).alias("unit"), F.lit(kind).alias("type")))
+        return F.transform(_all(text, pattern), lambda x: F.struct(_number(x, "double").alias("amount"), F.lit(unit).alias("unit"), F.lit(kind).alias("type")))
 
     return F.array_distinct(F.concat(of(fv.BAHT_PATTERN, fv.BAHT, "fixed"), of(fv.PERCENT_PATTERN, "%", "percentage"), of(fv.PERCENT_WORD_PATTERN, "%", "percentage")))
 
@@ -50,9 +55,9 @@ def legal_references(text: Column) -> Column:
         return F.struct(F.lit(kind).alias("type"), name.alias("name"), year.alias("year"), number.alias("number"), section.alias("section"))
 
     def part(x: Column, pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract(x, pattern, group), F.lit(""))
+        return F.nullif(F.regexp_extract(x, unicode(pattern), group), F.lit(""))
 
-    laws = F.transform(_all(text, fv.LAW_PATTERN, 0), lambda x: ref(fv.LAW, strip(F.regexp_extract(x, fv.LAW_PATTERN, 1)), part(x, fv.LAW_PATTERN, 2)))
+    laws = F.transform(_all(text, fv.LAW_PATTERN, 0), lambda x: ref(fv.LAW, strip(F.regexp_extract(x, unicode(fv.LAW_PATTERN), 1)), part(x, fv.LAW_PATTERN, 2)))
     rules = F.transform(_all(text, fv.MINISTERIAL_PATTERN, 0), lambda x: ref(fv.MINISTERIAL, year=part(x, fv.MINISTERIAL_PATTERN, 2), number=part(x, fv.MINISTERIAL_PATTERN, 1)))
     sections = F.transform(F.array_distinct(F.transform(_all(text, fv.SECTION_PATTERN), strip)), lambda x: ref(fv.SECTION, section=x))
     orders = F.transform(_all(text, fv.ORDER_PATTERN), lambda x: ref(fv.ORDER, number=x))
@@ -77,7 +82,7 @@ def metadata(text: Column, path: Column | None = None) -> Column:
     marked = F.contains(text, F.lit(fv.VERSION_MARK)) | (F.contains(path, F.lit(fv.VERSION_MARK)) if path is not None else F.lit(False))
     minutes, days = least_number(text, fv.MINUTES_PATTERN), least_number(text, fv.DAYS_PATTERN)
     queue = F.when(has_any(text, fv.QUEUE_MARKS), _first(text, fv.QUEUE_TIME_PATTERN))
-    required = F.regexp_count(F.regexp_extract(text, fv.DOCUMENT_LIST_PATTERN, 1), F.lit(r"(?md)^\d+\)"))
+    required = F.regexp_count(F.regexp_extract(text, unicode(fv.DOCUMENT_LIST_PATTERN), 1), F.lit(unicode(r"(?md)^\d+\)")))
     locations = kept(text, fv.SERVICE_LOCATIONS)
     all_fees = fees(text)
     return F.struct(
@@ -89,7 +94,7 @@ def metadata(text: Column, path: Column | None = None) -> Column:
         F.struct(
             F.struct(
                 F.when(minutes.isNotNull() | days.isNotNull(), F.struct(minutes.alias("time_minutes"), F.concat(minutes.cast("string"), F.lit(" " + fv.MINUTES_UNIT)).alias("time_display"), F.when(minutes.isNotNull(), fv.MINUTES_UNIT).alias("time_unit"), days.alias("time_days"))).alias("standard"),
-                F.when(queue.isNotNull(), F.struct(F.lit("e-QLands").alias("method"), queue.cast("int").alias("time_minutes"), F.concat(queue, F.lit(fv.QUEUE_NOTE)).alias("time_display"))).alias("alternative"),
+                F.when(queue.isNotNull(), F.struct(F.lit("e-QLands").alias("method"), _number(queue).alias("time_minutes"), F.concat(queue, F.lit(fv.QUEUE_NOTE)).alias("time_display"))).alias("alternative"),
             ).alias("processing"),
             F.struct(F.contains(text, F.lit(fv.ANNOUNCEMENT)).alias("requires_announcement"), has_any(text, fv.COURT_MARKS).alias("requires_court_order"), (F.contains(text, F.lit(fv.CONSENT_MARKS[0])) & F.contains(text, F.lit(fv.CONSENT_MARKS[1]))).alias("requires_consent")).alias("requirements"),
             channels(text).alias("channels"),
@@ -98,7 +103,7 @@ def metadata(text: Column, path: Column | None = None) -> Column:
         F.struct(all_fees.alias("all_fees"), (F.size(all_fees) > 0).alias("has_fees")).alias("fees"),
         F.struct(required.alias("count"), (required > 0).alias("has_documents")).alias("required_documents"),
         F.struct(
-            (F.contains(text, F.lit("|")) & F.contains(text, F.lit("---"))).alias("has_tables"), F.regexp_like(text, F.lit(r"(?md)^\d+\.")).alias("has_lists"), has_any(text, [fv.LAW, fv.SECTION]).alias("has_legal_references"),
+            (F.contains(text, F.lit("|")) & F.contains(text, F.lit("---"))).alias("has_tables"), F.regexp_like(text, F.lit(unicode(r"(?md)^\d+\."))).alias("has_lists"), has_any(text, [fv.LAW, fv.SECTION]).alias("has_legal_references"),
             has_any(text, fv.QUEUE_MARKS).alias("has_e_qlands"), has_any(text, fv.SERVICE_MARKS).alias("has_e_service"),
         ).alias("content_features"),
         F.struct(kept(head, fv.PRIMARY_KEYWORDS).alias("primary_keywords")).alias("search_optimization"),

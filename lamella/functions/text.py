@@ -50,9 +50,24 @@ def words(text: Column) -> Column:
 
 def tokens(text: Column, stopwords: list[str] | None = None) -> Column:
     """Lower-cased runs of letters, marks and digits, without stopwords. The default tokeniser; a dictionary
-    segmenter can be plugged in wherever a token column is taken."""
+    segmenter can be plugged in wherever a token column is taken (``functions.models``). Repeats stay: they are counted."""
     out = F.filter(F.split(F.lower(text), TOKEN_BREAK), lambda w: w != "")
-    return F.array_except(out, F.array(*map(F.lit, stopwords))) if stopwords else out
+    return without(out, stopwords) if stopwords else out
+
+
+def without(tokens: Column, stopwords: list[str]) -> Column:
+    """Tokens that are no stopwords, in order and with repeats."""
+    return F.filter(tokens, lambda w: ~w.isin(*stopwords))
+
+
+def digits(text: Column) -> Column:
+    """Thai digits as the ones that can be cast to numbers."""
+    return F.translate(text, "๐๑๒๓๔๕๖๗๘๙", "0123456789")
+
+
+def unicode(pattern: str) -> str:
+    """The pattern with classes that take all scripts' digits, letters and blanks, as the matched results have them."""
+    return "(?U)" + pattern
 
 
 def token_count(text: Column) -> Column:

@@ -1,8 +1,8 @@
 """Three-level chunk trees: document summary, sections, passages.
 
-Lines are exploded once and shuffled once by document; section numbers, summaries, sections and the global
-numbering are windows and aggregates on that partitioning. What happens inside a section is array functions
-on the section's row, so passages need no further shuffle.
+Everything happens on the document's own row, in array functions: lines, sections, passages and the numbering of
+chunks. A tree needs no shuffle, and the rows of chunks come out of one explode (an outer one: Spark would infer a
+filter from a plain one and compute the tree twice).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.text import first_of, strip, token_count
+from ..functions.text import first_of, strip, token_count, unicode
 
 SUMMARY_CHARS, SECTION_LINES = 500, 20
 TABLE_TOKENS, TABLE_ROWS = 1500, 10
@@ -19,24 +19,40 @@ LIST_ITEMS, LIST_GROUP, LIST_STEP = 5, 6, 4
 ARTICLE_TOKENS, WINDOW_TOKENS, OVERLAP = 800, 600, 2
 
 
-def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", type_col: str | None = None) -> DataFrame:
-    """``doc_id, document_type, section_id, start_line, end_line, title, section_type, lines``. A header in the first
+_HEADER = "|".join(fv.SECTION_HEADERS)
+
+
+def section_array(text: Column) -> Column:
+    """Sections of a text as structs ``section_id, start_line, end_line, title, section_type, lines``. A header in the first
     line opens no section, so section 0 never has a title."""
+    lines = F.split(text, "\n")
+    opens = F.filter(F.transform(lines, lambda line, i: F.when((i > 0) & F.regexp_like(strip(line), F.lit(unicode(_HEADER))), i)), lambda i: i.isNotNull())
+    edges = F.concat(F.array(F.lit(0)), opens, F.array(F.size(lines)))
+
+    def cut(held: Column) -> Column:  # lines and edges are held in a struct, so that they are computed once
+        def section(start: Column, k: Column) -> Column:
+            end = F.get(held["edges"], k + 1)
+            title = F.when(k > 0, strip(F.get(held["lines"], start)))
+            return F.struct(
+                k.alias("section_id"), start.alias("start_line"), (end - 1).alias("end_line"), title.alias("title"),
+                F.coalesce(first_of(title, fv.SECTION_TYPES), F.lit("default")).alias("section_type"), F.slice(held["lines"], start + 1, end - start).alias("lines"),
+            )
+
+        return F.transform(F.slice(held["edges"], F.lit(1), F.size(held["edges"]) - 1), section)
+
+    return once(F.struct(lines.alias("lines"), edges.alias("edges")), cut)
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", type_col: str | None = None) -> DataFrame:
+    """``doc_id, document_type`` and the sections' fields, a row for each section."""
     kind = F.col(type_col) if type_col else F.lit(fv.OTHER_TYPE)
-    lines = docs.select(F.col(id_col).alias("doc_id"), kind.alias("document_type"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
-    header = F.lit(False)
-    for p in fv.SECTION_HEADERS:
-        header = header | F.regexp_like(strip(F.col("line")), F.lit(p))
-    marked = lines.withColumn("opens", header & (F.col("pos") > 0))
-    numbered = marked.withColumn("section_id", F.expr("cast(sum(cast(opens AS int)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS int)"))
-    out = numbered.groupBy("doc_id", "section_id").agg(
-        F.first("document_type").alias("document_type"),
-        F.min("pos").alias("start_line"),
-        F.max("pos").alias("end_line"),
-        F.max(F.when(F.col("opens"), strip(F.col("line")))).alias("title"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"),
-    )
-    return out.withColumn("section_type", F.coalesce(first_of(F.col("title"), fv.SECTION_TYPES), F.lit("default")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), kind.alias("document_type"), F.explode_outer(section_array(F.coalesce(F.col(text_col), F.lit("")))).alias("s"))
+    return rows.select("doc_id", "document_type", "s.*")
 
 
 def summary(lines: Column) -> Column:
@@ -51,12 +67,13 @@ def summary(lines: Column) -> Column:
 
 def items(lines: Column, start: str) -> Column:
     """Items that begin at lines matching ``start``; what stands before the first is dropped."""
+    found = F.filter(F.transform(lines, lambda line, i: F.when(F.regexp_like(line, F.lit(unicode(start))), i + 1)), lambda i: i.isNotNull())
 
-    def step(done: Column, line: Column) -> Column:
-        rest = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat_ws("\n", F.element_at(done, -1), line)))
-        return F.when(F.regexp_like(line, F.lit(start)), F.array_append(done, line)).when(F.size(done) > 0, rest).otherwise(done)
+    def joined(at: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(at, k + 1), F.size(lines) + 1)
+        return F.transform(at, lambda i, k: F.array_join(F.slice(lines, i, end(k) - i), "\n"))
 
-    return F.aggregate(lines, F.array().cast("array<string>"), step)
+    return once(found, joined)
 
 
 def _chunk(text: Column, kind: Column | str, importance: float | Column, shift: Column | int = 0) -> Column:
@@ -94,46 +111,60 @@ def _groups(of: Column, size: int, step: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(of) - 1, F.lit(0)), F.lit(step)), lambda i: F.slice(of, i + 1, F.lit(size)))
 
 
-def passages(section: DataFrame) -> DataFrame:
-    """Level-2 chunks of each section: the first rule that applies decides. One row each, ``ordinal`` from 0."""
-    text, lines, kind = F.col("section_text"), F.col("lines"), F.col("section_type")
-    table = F.filter(lines, lambda x: F.contains(x, F.lit("|")))
-    rows = F.slice(table, F.lit(3), F.greatest(F.size(table) - 2, F.lit(0)))
-    head = F.element_at(table, 1)
-    whole_table = F.concat_ws("\n", head, F.array_join(rows, "\n"))
-    parts = F.transform(_groups(rows, TABLE_ROWS, TABLE_ROWS), lambda g, i: _chunk(F.concat_ws("\n", head, F.lit("| --- | --- |"), F.array_join(g, "\n")), F.concat(kind, F.lit("_table_part")), 0.85, i * TABLE_ROWS))
-    by_table = F.when(token_count(whole_table) <= TABLE_TOKENS, F.array(_chunk(whole_table, F.concat(kind, F.lit("_table")), 0.9))).otherwise(parts)
+def passage_array(section: Column, document_type: Column) -> Column:
+    """Level-2 chunks of a section (struct ``lines, section_type``, ...): the first rule that applies decides."""
+    return once(F.struct(section["lines"].alias("lines"), section["section_type"].alias("kind"), F.array_join(section["lines"], "\n").alias("text")), lambda s: _passages(s, document_type))
 
-    listed = items(lines, r"^\d+\.")
-    by_list = F.when(F.size(listed) <= LIST_ITEMS, F.array(_chunk(text, F.concat(kind, F.lit("_list")), 0.85))).otherwise(
-        F.transform(_groups(listed, LIST_GROUP, LIST_STEP), lambda g: _chunk(F.array_join(g, "\n\n"), F.concat(kind, F.lit("_list_part")), 0.80))
-    )
-    articles = F.flatten(
-        F.transform(
-            items(lines, fv.ARTICLE_PATTERN),
-            lambda a: F.when(token_count(a) <= ARTICLE_TOKENS, F.array(_chunk(a, "legal_article", 0.95))).otherwise(F.transform(sliding(a), lambda t: _chunk(t, "legal_article_long", 0.7))),
-        )
-    )
-    needed = items(lines, r"^\d+\)")
-    n = F.size(needed)
+
+def by_table(lines: Column, kind: Column) -> Column:
+    """Lines of a pipe table: whole, or in groups of rows under its header."""
+
+    def split(table: Column) -> Column:
+        head, rows = F.get(table, F.lit(0)), F.slice(table, F.lit(3), F.greatest(F.size(table) - 2, F.lit(0)))
+        whole = F.concat_ws("\n", head, F.array_join(rows, "\n"))
+        parts = F.transform(_groups(rows, TABLE_ROWS, TABLE_ROWS), lambda g, i: _chunk(F.concat_ws("\n", head, F.lit("| --- | --- |"), F.array_join(g, "\n")), F.concat(kind, F.lit("_table_part")), 0.85, i * TABLE_ROWS))
+        return F.when(token_count(whole) <= TABLE_TOKENS, F.array(_chunk(whole, F.concat(kind, F.lit("_table")), 0.9))).otherwise(parts)
+
+    return once(F.filter(lines, lambda x: F.contains(x, F.lit("|"))), split)
+
+
+def by_list(text: Column, lines: Column, kind: Column) -> Column:
+    """Numbered items: together, or in overlapping groups."""
+    few = lambda listed: F.array(_chunk(text, F.concat(kind, F.lit("_list")), 0.85))
+    many = lambda listed: F.transform(_groups(listed, LIST_GROUP, LIST_STEP), lambda g: _chunk(F.array_join(g, "\n\n"), F.concat(kind, F.lit("_list_part")), 0.80))
+    return once(items(lines, r"^\d+\."), lambda listed: F.when(F.size(listed) <= LIST_ITEMS, few(listed)).otherwise(many(listed)))
+
+
+def by_article(lines: Column) -> Column:
+    """Articles of a regulation; long ones in windows."""
+    long = lambda a: F.transform(sliding(a), lambda t: _chunk(t, "legal_article_long", 0.7))
+    return F.flatten(F.transform(items(lines, fv.ARTICLE_PATTERN), lambda a: F.when(token_count(a) <= ARTICLE_TOKENS, F.array(_chunk(a, "legal_article", 0.95))).otherwise(long(a))))
+
+
+def by_documents(text: Column, lines: Column) -> Column:
+    """Required documents: together, or as mandatory, conditional and special ones."""
 
     def group(name: str, part: Column, importance: float) -> Column:
         return F.when(F.size(part) > 0, _chunk(F.concat(F.lit(f"{fv.DOCUMENT_GROUP_PREFIX} ({name}):\n\n"), F.array_join(part, "\n")), f"documents_{name}", importance))
 
-    grouped = F.filter(F.array(group("mandatory", F.slice(needed, 1, 5), 0.95), group("conditional", F.slice(needed, 6, 10), 0.85), group("special", F.slice(needed, F.lit(16), F.greatest(n - 15, F.lit(0))), 0.85)), lambda c: c.isNotNull())
-    by_documents = F.when(n > 10, grouped).otherwise(F.array(_chunk(text, "documents_complete", 0.95)))
-    by_window = F.transform(sliding(text), lambda t: _chunk(t, kind, 0.7))
-    chosen = (
-        F.when(F.contains(text, F.lit("|")) & F.contains(text, F.lit("---")), by_table)
-        .when(F.regexp_count(text, F.lit(r"(?md)^\d+\.")) >= 3, by_list)
-        .when((F.col("document_type") == fv.REGULATION_TYPE) & kind.isin("chapter", "default"), articles)
+    def split(needed: Column) -> Column:
+        rest = F.greatest(F.size(needed) - 15, F.lit(0))
+        groups = F.array(group("mandatory", F.slice(needed, 1, 5), 0.95), group("conditional", F.slice(needed, 6, 10), 0.85), group("special", F.slice(needed, F.lit(16), rest), 0.85))
+        return F.when(F.size(needed) > 10, F.filter(groups, lambda c: c.isNotNull())).otherwise(F.array(_chunk(text, "documents_complete", 0.95)))
+
+    return once(items(lines, r"^\d+\)"), split)
+
+
+def _passages(s: Column, document_type: Column) -> Column:
+    text, lines, kind = s["text"], s["lines"], s["kind"]
+    return (
+        F.when(F.contains(text, F.lit("|")) & F.contains(text, F.lit("---")), by_table(lines, kind))
+        .when(F.regexp_count(text, F.lit(unicode(r"(?md)^\d+\."))) >= 3, by_list(text, lines, kind))
+        .when((document_type == fv.REGULATION_TYPE) & kind.isin("chapter", "default"), by_article(lines))
         .when(kind == "special", F.array(_chunk(text, "special_procedure", 0.90)))
-        .when(kind == "criteria", by_list)
-        .when(kind == "documents", by_documents)
-        .otherwise(by_window)
-    )
-    return section.select("doc_id", "document_type", "section_id", "title", "start_line", "end_line", F.posexplode(chosen).alias("ordinal", "c")).select(
-        "doc_id", "document_type", "section_id", "title", (F.col("start_line") + F.col("c.shift")).alias("start_line"), "end_line", "ordinal", "c.text", "c.chunk_type", "c.importance_score"
+        .when(kind == "criteria", by_list(text, lines, kind))
+        .when(kind == "documents", by_documents(text, lines))
+        .otherwise(F.transform(sliding(text), lambda t: _chunk(t, kind, 0.7)))
     )
 
 
@@ -142,39 +173,45 @@ def chunk_id(doc: Column, level: int, section: Column, ordinal: Column) -> Colum
     return F.sha2(F.concat_ws("/", doc.cast("string"), F.lit(level), section.cast("string"), ordinal.cast("string")), 256)
 
 
-def chunk_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", type_col: str | None = None) -> DataFrame:
-    """All chunks of all levels, linked and numbered within their document."""
-    sec = sections(docs, id_col, text_col, type_col).withColumn("section_text", F.array_join("lines", "\n"))
-    zero, doc = F.lit(0), F.col("doc_id")
+def chunk_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", type_col: str | None = None, levels: int = 3) -> DataFrame:
+    """All chunks of the first ``levels`` levels, linked and numbered within their document: ``chunk_index`` (the summary, then each section
+    followed by its passages), the number of chunks, the neighbours' indexes and the children's ids in order."""
+    doc, zero, none = F.col("doc_id"), F.lit(0), F.lit(None).cast("string")
+    kind = F.col(type_col).cast("string") if type_col else F.lit(fv.OTHER_TYPE)
+    rows = docs.select(F.col(id_col).alias("doc_id"), kind.alias("document_type"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("sections", section_array(F.col("text")))
     root = chunk_id(doc, 0, zero, zero)
-    cols = ["doc_id", "document_type", "section_id", "ordinal", "hierarchy_level", "chunk_id", "parent_chunk_id", "text", "chunk_type", "section_title", "start_line", "end_line", "importance_score"]
-    first = docs.select(F.col(id_col).alias("doc_id"), (F.col(type_col) if type_col else F.lit(fv.OTHER_TYPE)).alias("document_type"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
-    level0 = first.select(
-        "doc_id", "document_type", F.lit(-1).alias("section_id"), F.lit(-1).alias("ordinal"), F.lit(0).alias("hierarchy_level"), root.alias("chunk_id"), F.lit(None).cast("string").alias("parent_chunk_id"),
-        summary(F.col("lines")).alias("text"), F.lit("document_summary").alias("chunk_type"), F.lit(None).cast("string").alias("section_title"), F.lit(0).alias("start_line"), F.size("lines").alias("end_line"), F.lit(1.0).alias("importance_score"),
-    )
-    level1 = sec.select(
-        "doc_id", "document_type", "section_id", F.lit(-1).alias("ordinal"), F.lit(1).alias("hierarchy_level"), chunk_id(doc, 1, F.col("section_id"), zero).alias("chunk_id"), root.alias("parent_chunk_id"),
-        F.array_join(F.slice("lines", 1, SECTION_LINES), "\n").alias("text"), F.concat(F.lit("section_"), "section_type").alias("chunk_type"), F.col("title").alias("section_title"), "start_line",
-        F.least(F.col("start_line") + SECTION_LINES, F.col("end_line")).alias("end_line"), F.lit(0.9).alias("importance_score"),
-    )
-    level2 = passages(sec).select(
-        "doc_id", "document_type", "section_id", "ordinal", F.lit(2).alias("hierarchy_level"), chunk_id(doc, 2, F.col("section_id"), F.col("ordinal")).alias("chunk_id"), chunk_id(doc, 1, F.col("section_id"), zero).alias("parent_chunk_id"),
-        "text", "chunk_type", F.col("title").alias("section_title"), "start_line", "end_line", "importance_score",
-    )
-    return numbered(level0.unionByName(level1.select(cols)).unionByName(level2.select(cols)))
-
-
-def numbered(chunks: DataFrame) -> DataFrame:
-    """``chunk_index`` over the document (summary, then each section followed by its passages), the number of chunks,
-    and the neighbours' indexes."""
-    order = "(PARTITION BY doc_id ORDER BY section_id, hierarchy_level, ordinal)"
-    indexed = chunks.selectExpr("*", f"row_number() OVER {order} - 1 AS chunk_index", "count(*) OVER (PARTITION BY doc_id) AS total_chunks")
-    return indexed.selectExpr(
-        "*", "IF(chunk_index > 0, chunk_index - 1, NULL) AS previous_chunk_index", "IF(chunk_index < total_chunks - 1, chunk_index + 1, NULL) AS next_chunk_index"
+
+    def chunk(level: int, section: Column, ordinal: Column, id_: Column, parent: Column, c: Column, title: Column, start: Column, end: Column, children: Column) -> Column:
+        return F.struct(
+            section.cast("int").alias("section_id"), ordinal.cast("int").alias("ordinal"), F.lit(level).alias("hierarchy_level"), id_.alias("chunk_id"), parent.alias("parent_chunk_id"), children.alias("child_chunk_ids"), c["text"].alias("text"),
+            c["chunk_type"].alias("chunk_type"), title.alias("section_title"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), c["importance_score"].alias("importance_score"),
+        )
+
+    def of_section(s: Column) -> Column:
+        id_ = chunk_id(doc, 1, s["section_id"], zero)
+        head = _chunk(F.array_join(F.slice(s["lines"], 1, SECTION_LINES), "\n"), F.concat(F.lit("section_"), s["section_type"]), 0.9)
+
+        def linked(below: Column) -> Column:
+            ids = F.transform(below, lambda c, k: chunk_id(doc, 2, s["section_id"], k))
+            first = chunk(1, s["section_id"], F.lit(-1), id_, root, head, s["title"], s["start_line"], F.least(s["start_line"] + SECTION_LINES, s["end_line"]), ids)
+            rest = F.transform(below, lambda c, k: chunk(2, s["section_id"], k, chunk_id(doc, 2, s["section_id"], k), id_, c, s["title"], s["start_line"] + c["shift"], s["end_line"], F.array().cast("array<string>")))
+            return F.concat(F.array(first), rest)
+
+        none_below = F.array().cast("array<struct<text:string,chunk_type:string,importance_score:double,shift:int>>")
+        return once(passage_array(s, F.col("document_type")) if levels > 2 else none_below, linked)
+
+    lines = F.split("text", "\n")
+    top = chunk(0, F.lit(-1), F.lit(-1), root, none, _chunk(summary(lines), "document_summary", 1.0), none, zero, F.size(lines), F.transform("sections", lambda s: chunk_id(doc, 1, s["section_id"], zero)))
+    tree = rows.select("doc_id", "document_type", F.concat(F.array(top), F.flatten(F.transform("sections", of_section))).alias("tree"))
+    out = tree.select("doc_id", "document_type", F.size("tree").alias("total_chunks"), F.posexplode_outer("tree").alias("chunk_index", "c"))
+    return out.selectExpr(
+        "doc_id", "document_type", "c.*", "chunk_index", "total_chunks", "IF(chunk_index > 0, chunk_index - 1, NULL) AS previous_chunk_index", "IF(chunk_index < total_chunks - 1, chunk_index + 1, NULL) AS next_chunk_index"
     )
 
 
-def child_ids(chunks: DataFrame) -> DataFrame:
-    """``parent_chunk_id, child_chunk_ids`` in document order."""
-    return chunks.where("parent_chunk_id IS NOT NULL").groupBy("parent_chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id"))), lambda x: x["chunk_id"]).alias("child_chunk_ids"))
+def statistics(chunks: DataFrame) -> DataFrame:
+    """One row: chunks, documents, chunks for each document, and chunks by level."""
+    by_level = [F.count_if(F.col("hierarchy_level") == i).alias(f"level{i}_chunks") for i in range(3)]
+    total = chunks.agg(F.count("*").alias("total_chunks"), F.count_if(F.col("hierarchy_level") == 0).alias("total_documents"), *by_level)
+    return total.withColumn("avg_chunks", F.col("total_chunks") / F.nullif(F.col("total_documents"), F.lit(0)))

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bm25 import best, ranked
+from .bm25 import ranked
+from .topk import Best
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,27 +36,41 @@ def hashed_embedding(tokens: Column, size: int = 64) -> Column:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4000) -> DataFrame:
     """``query_id, doc_id, score, rank``: the k vectors of highest cosine for each query (``query_id, vector``).
 
-    Queries are broadcast in blocks of at most ``block`` vectors; a task multiplies its batch by a block and
-    hands on the best k of each query only.
+    Queries are broadcast in blocks of about ``block`` vectors; a task multiplies its batches by a block and keeps the best k of
+    each query while they stream by. A vector that is null, zero, has null elements or another length than the query's matches nothing; without queries
+    the result is empty.
     """
-    rows = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).alias("v")).where("v IS NOT NULL")
+    rows = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).cast("array<float>").alias("v")).where("v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+    kinds = queries.schema["query_id"].dataType.simpleString(), rows.schema["doc_id"].dataType.simpleString()
+    query_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kinds[0], pa.string())
     n = max(1, -(-queries.count() // block))
     out = None
     for i in range(n):
-        part = [(r["query_id"], r["vector"]) for r in queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).collect() if r["vector"]]
-        q = np.array([v for _, v in part], float).reshape(len(part), -1)
-        length = np.sqrt((q * q).sum(axis=1, keepdims=True))
-        shared = vectors.sparkSession.sparkContext.broadcast(([i for i, _ in part], q / np.where(length > 0, length, np.nan)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows if ids else 0, 2048):
-                    piece = batch.slice(at, 2048)
-                    v = np.array(piece.column(1).to_pylist(), float)
-                    size = np.sqrt((v * v).sum(axis=1))
-                    yield best(piece.column(0), ids, (q @ v.T) / np.where(size > 0, size, np.nan), k, None)
-
-        found = rows.mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
-        out = found if out is None else out.unionByName(found)
+        some = queries.where(F.coalesce(F.pmod(F.xxhash64("query_id"), F.lit(n)), F.lit(0)) == i).collect()
+        by_size: dict[int, list[tuple[object, list[float]]]] = {}
+        for r in some:
+            if r["vector"] and None not in r["vector"]:
+                by_size.setdefault(len(r["vector"]), []).append((r["query_id"], r["vector"]))
+        for size, part in sorted(by_size.items()):
+            q = np.array([v for _, v in part], float)
+            length = np.sqrt((q * q).sum(axis=1, keepdims=True))
+            shared = vectors.sparkSession.sparkContext.broadcast(([i for i, _ in part], q / np.where(length > 0, length, np.nan)))
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared, size=size) -> Iterator[pa.RecordBatch]:
+                ids, q = shared.value
+                best = Best(ids, query_type, k)
+                for batch in batches:
+                    for at in range(0, batch.num_rows, 2048):
+                        piece = batch.slice(at, 2048)
+                        v = piece.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(float)
+                        norm = np.sqrt((v * v).sum(axis=1))
+                        best.add(piece.column(0), (q @ v.T) / np.where(norm > 0, norm, np.nan))
+                got = best.batch()
+                if got is not None:
+                    yield got
+
+            found = rows.where(F.size("v") == size).mapInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
     return ranked(out, k)

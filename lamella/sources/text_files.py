@@ -17,7 +17,7 @@ def decoded(content: Column, single_byte: str = "detect") -> Column:
     """Bytes as text: strict UTF-8 (a leading byte order mark is dropped), else a single-byte set: ``thai`` is CP874, or
     ISO-8859-11 where CP874 lacks a byte; ``latin`` is ISO-8859-1; ``detect`` takes Thai where all bytes are Thai ones, marks
     follow Thai letters and two of those stand together, else Latin."""
-    utf8 = F.when(F.expr("is_valid_utf8(cast(content AS string))"), F.regexp_replace(content.cast("string"), "^\ufeff", ""))
+    utf8 = F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(content.cast("string"), "^\ufeff", ""))
     latin = F.decode(content, "ISO-8859-1")
     letters = F.translate(latin, "".join(map(chr, _THAI)), "".join(chr(0x0E01 + b - 0xA1) for b in _THAI))
     marks = F.translate(letters, "".join(map(chr, _CP874)), "".join(_CP874.values()))
@@ -32,7 +32,7 @@ def read_text(spark: SparkSession, folder: str, pattern: str = "*.txt", recursiv
     ``folder``; ids follow the relative path, so they are stable. A missing folder is an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
     root = folder.rstrip("/").removeprefix("file:")
-    rel = F.expr(f"substring(path, instr(path, '{root}/') + {len(root) + 1})")
+    rel = F.substr("path", F.locate(root + "/", F.col("path")) + F.lit(len(root) + 1))
     out = files.select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.col("path").alias("filepath"), rel.alias("relative_path"),
         F.regexp_extract(rel, r"^(.*)/[^/]+$", 1).alias("document_type"), clean_text(decoded(F.col("content"))).alias("text"), F.col("length").alias("size_bytes"),

@@ -226,3 +226,72 @@ def test_dialogue(spark):
     assert words == ["fee", "cost", "land"]
     hits = spark.createDataFrame([(1, 1, 1.0, 1, "a"), (1, 2, 0.9, 2, "a"), (1, 3, 0.8, 3, "b")], "query_id long, doc_id long, score double, rank int, g string")
     assert [r.doc_id for r in dialogue.diversified(hits, "g").orderBy("rank").collect()] == [1, 3, 2]
+
+
+def test_thai_digits(spark):
+    text = "ใช้เวลา ๓๐ นาที ภายใน 99999999999 วัน หรือ ๓ วัน\nค่าธรรมเนียม ๗๕.๕ บาท ร้อยละ ๒\nมาตรา ๙๓ และ มาตรา 93\nพ.ศ. ๒๕๕๐\n๑. แรก"
+    m = one(spark, text, metadata)
+    assert (m.service.processing.standard.time_minutes, m.service.processing.standard.time_days) == (30, 3)
+    assert [(f.amount, f.unit) for f in m.fees.all_fees] == [(75.5, "บาท"), (2.0, "%")]
+    assert [r.section for r in m.legal_references if r.type == "มาตรา"] == ["๙๓", "93"]
+    assert m.version_info.law_year == "๒๕๕๐" and m.content_features.has_lists
+    docs = spark.createDataFrame([(1, "ระเบียบ\nข้อ ๑ หนึ่ง\nข้อ ๒ สอง", "ระเบียบกรม"), (2, "x\nหมวด ๑\ny", "x"), (3, "x\n๑. a\n๒. b\n๓. c", "x"), (4, "a\nหมวด ๑\nno article", "ระเบียบกรม")], "doc_id long, text string, kind string")
+    rows = chunking.chunk_tree(docs, type_col="kind").collect()
+    assert [r.text for r in rows if r.doc_id == 1 and r.hierarchy_level == 2] == ["ข้อ ๑ หนึ่ง", "ข้อ ๒ สอง"]
+    assert [r.section_title for r in rows if r.doc_id == 2 and r.hierarchy_level == 1] == [None, "หมวด ๑"]
+    assert [r.chunk_type for r in rows if r.doc_id == 3 and r.hierarchy_level == 2] == ["default_list"]
+    assert not [r for r in rows if r.doc_id == 4 and r.hierarchy_level == 2]
+
+
+def test_stopwords_keep_repeats(spark):
+    assert one(spark, "a b b b c", lambda t: T.tokens(t, ["a"])) == ["b", "b", "b", "c"]
+
+
+def test_children_are_linked(spark):
+    docs = spark.createDataFrame([(1, "a. b.\nขั้นตอน\nc.")], "doc_id long, text string")
+    rows = {r.chunk_id: r for r in chunking.chunk_tree(docs).collect()}
+    for r in rows.values():
+        assert all(rows[c].parent_chunk_id == r.chunk_id for c in r.child_chunk_ids)
+        assert r.parent_chunk_id is None or r.chunk_id in rows[r.parent_chunk_id].child_chunk_ids
+    s = chunking.statistics(chunking.chunk_tree(docs)).first()
+    assert (s.total_documents, s.level1_chunks, s.total_chunks) == (1, 2, len(rows))
+
+
+def test_dense_search_of_odd_vectors(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [None, 1.0]), (4, [])], "vec_id long, embedding array<float>")
+    q = lambda rows: spark.createDataFrame(rows, "query_id long, vector array<float>")
+    assert dense.search(vectors, q([])).count() == 0
+    assert dense.search(vectors, q([(1, None), (2, [])])).count() == 0
+    assert [(r.query_id, r.doc_id) for r in dense.search(vectors, q([(1, [1.0, 0.0]), (2, [2.0]), (3, [None, 1.0])]), block=1).orderBy("query_id").collect()] == [(1, 1), (2, 2)]
+    assert dense.search(vectors.where("false"), q([(1, [1.0, 0.0])])).count() == 0
+
+
+def test_many_ties_stay_bounded():
+    import numpy as np
+    import pyarrow as pa
+
+    from lamella.operators.topk import Best
+
+    best = Best([7, 8], pa.int64(), 3)
+    for i in reversed(range(100)):
+        best.add(pa.array(range(i * 1000, i * 1000 + 1000)), np.ones((2, 1000)))
+        assert best.size <= 110_000
+    got = best.batch()
+    assert got.column(1).to_pylist() == [0, 1, 2, 0, 1, 2] and got.column(0).to_pylist() == [7, 7, 7, 8, 8, 8]
+
+
+def test_bm25_model_is_kept(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "apple banana apple", 1), ("b", "banana cherry", 2), ("c", "cherry cherry date", 2), ("e", None, 2)], "doc_id string, text string, level int")
+    bm25.fit(bm25.tokenised(docs, keep=["level"]), str(tmp_path / "m"))
+    model = bm25.load(spark, str(tmp_path / "m"))
+    info = model.info().first()
+    assert (info.vocabulary_size, info.doc_count) == (4, 4) and info.avg_doc_length == 2.0
+    queries = spark.createDataFrame([(1, ["apple", "cherry", "unknown"]), (2, None)], "query_id long, tokens array<string>")
+    whole = [(r.doc_id, r.score) for r in model.search(queries).orderBy("rank").collect()]
+    assert whole == [(r.doc_id, r.score) for r in bm25.search(bm25.tokenised(docs), queries).orderBy("rank").collect()] and [d for d, _ in whole] == ["a", "c", "b"]
+    assert [(r.doc_id, r.score) for r in model.search(queries, where=F.col("level") == 2).orderBy("rank").collect()] == whole[1:]
+    dot = {}
+    q = {r.term_id: r.weight for r in model.encode(queries).where("query_id = 1").collect()}
+    for r in model.vectors().collect():
+        dot[r.doc_id] = dot.get(r.doc_id, 0) + r.weight * q.get(r.term_id, 0)
+    assert {d: round(s, 6) for d, s in dot.items() if s} == dict(whole)
