@@ -8,8 +8,8 @@ budget.
 To spread the walk, four tries are built, each on the fingerprint turned by 16 bits. Two fingerprints
 that differ in at most three bits agree in a whole block of 16, so in one of the four tries their paths
 stay together over the first 16 levels: a trie node of that depth is one unit of work and its pairs
-need no other. A node above ``node_limit`` fingerprints is cut by its next bits into pairs of subnodes
-within the budget. Inside a unit the walk links with union-find and hands out only a spanning forest,
+need no other. A node above ``node_limit`` fingerprints is cut by up to 16 of its next bits into pairs of subnodes
+within the budget, and a task holds one unit at a time. Inside a unit the walk links with union-find and hands out only a spanning forest,
 never all pairs of a group.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any
@@ -28,10 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_batch, stored, texts
+from .common import join_hot, per_batch, stored, texts
 from .components import components
 
 BITS, BLOCK = 64, 16
+_CUT = 16  # bits by which a large node is cut at most
 
 
 def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -217,11 +218,11 @@ def links(fps: DataFrame, budget: int = 3, node_limit: int = 20_000) -> DataFram
     turned = fps.select("fp", F.posexplode(F.array(*(_turned(fp, BLOCK * i) for i in range(BITS // BLOCK)))).alias("turn", "v"))
     turned = turned.withColumn("node", F.col("turn") * (1 << BLOCK) + F.shiftrightunsigned("v", BITS - BLOCK).cast("int"))
     hot = turned.groupBy("node").count().where(F.col("count") > node_limit)
-    cut = hot.select(F.col("node").alias("hot_node"), F.least(F.lit(12), F.ceil(F.log2(F.col("count") / node_limit))).cast("int").alias("bits"))
+    cut = hot.select(F.col("node").alias("hot_node"), F.least(F.lit(_CUT), F.ceil(F.log2(F.col("count") / node_limit))).cast("int").alias("bits"))
     parts = turned.join(F.broadcast(cut), F.col("node") == F.col("hot_node"), "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
     sub = F.expr(f"IF(bits = 0, 0, cast(shiftrightunsigned(shiftleft(v, {BLOCK}), 64 - bits) AS int))")
     near = F.lit(0)
-    options = {b: _masks(b, budget) for b in range(13)}
+    options = {b: _masks(b, budget) for b in range(_CUT + 1)}
     choice = F.when(F.lit(False), F.array(near))
     for b, masks in options.items():
         choice = choice.when(F.col("bits") == b, F.array(*map(F.lit, masks)))
@@ -235,33 +236,54 @@ def links(fps: DataFrame, budget: int = 3, node_limit: int = 20_000) -> DataFram
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        unit, side, v, fp = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(4))
-        a, b = trie_links(unit, side, v.view(np.uint64), budget)
-        lo, hi = np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])
-        yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], ["a", "b"])
-
-    return met.select("unit", "side", "v", "fp").repartition("unit").mapInArrow(run, "a long, b long")
+        for got in whole_units(batches):
+            unit, side, v, fp = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(4))
+            a, b = trie_links(unit, side, v.view(np.uint64), budget)
+            lo, hi = np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])
+            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], ["a", "b"])
+
+    return met.select("unit", "side", "v", "fp").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
+
+
+def whole_units(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[list[pa.RecordBatch]]:
+    """Rows sorted by their first column, in lists of about ``most`` rows that never part a unit."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        unit = batch.column(0).to_numpy(zero_copy_only=False)
+        if size >= most:
+            last = held[-1].column(0)[-1].as_py()
+            cut = int(np.searchsorted(unit, last, side="right"))
+            if cut:
+                held.append(batch.slice(0, cut))
+            if cut == batch.num_rows:
+                size += cut
+                continue
+            yield held
+            batch, held, size = batch.slice(cut), [], 0
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield held
 
 
 def _labelled(each: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``each`` (``doc_id, fp``, ...) with the smallest id of its component over ``edges`` between classes ``fp, first_id``."""
+    """``each`` (``doc_id, fp``, ...) with the smallest id of its component over ``edges`` between classes ``fp, first_id, n``."""
     roots = components(edges)
     # only classes with a link to another class need their component's first id; they are few
     named = roots.join(classes, roots.node == classes.fp).select("node", "root", "first_id")
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = named.join(first, "root").select(F.col("node").alias("fp"), "component_id")
-    of_class = classes.join(linked, "fp", "left").select(F.col("fp").alias("class_fp"), F.coalesce("component_id", "first_id").alias("component_id"))
-    of_class = stored(of_class, "labels")  # a plain table on this side lets the join split a hot class
-    return each.join(of_class, F.col("fp") == F.col("class_fp"), "left").select("doc_id", "fp", "component_id")
+    of_class = classes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id"))
+    return join_hot(each, stored(of_class, "labels"), "fp", "n", each.count()).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3, node_limit: int = 20_000) -> DataFrame:
     """``doc_id, fp, component_id``: the smallest id reachable over links, itself included."""
     each = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = each.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    classes = each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     return _labelled(each, classes, links(classes.select("fp"), budget, node_limit))
 
 
@@ -391,16 +413,14 @@ def similar_links(classes: DataFrame, similarity: float, miss: float = 0.02, uni
                     yield pa.RecordBatch.from_arrays(cols, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        unit, side, v, fp = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(4))
-        wide = np.frombuffer(b"".join(x for b in got for x in b.column(4).to_pylist()), "<u8").reshape(len(fp), WORDS)
-        a, b = trie_links(unit, side, v.view(np.uint64), budget, 64, 1 << 15, wide, wide_budget)
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(fp[a], fp[b])), pa.array(np.minimum(fp[a], fp[b]))], ["a", "b"])
+        for got in whole_units(batches):
+            unit, side, v, fp = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(4))
+            wide = np.frombuffer(b"".join(x for b in got for x in b.column(4).to_pylist()), "<u8").reshape(len(fp), WORDS)
+            a, b = trie_links(unit, side, v.view(np.uint64), budget, 64, 1 << 15, wide, wide_budget)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(fp[a], fp[b])), pa.array(np.minimum(fp[a], fp[b]))], ["a", "b"])
 
     met = classes.select("fp", "wide").mapInArrow(spread, "unit long, side int, v long, fp long, wide binary")
-    return met.repartition("unit").mapInArrow(run, "a long, b long")
+    return met.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
 def _alike(common: np.ndarray, m: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
@@ -515,11 +535,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         return pa.RecordBatch.from_arrays([pa.array([_class_of(h) for h in sets], pa.int64()), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], ["of", "set"])
 
     each = stored(source.mapInArrow(per_batch(run), f"doc_id {id_type}, wide binary, fp long"), "fingerprints")
-    classes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("wide").alias("wide")), "classes")
+    classes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("wide").alias("wide")), "classes")
     near = components(similar_links(classes, similarity, miss, unit_limit))
     near = stored(near.join(classes, near.node == classes.fp).select("fp", "root", "first_id"), "near")
     wanted = near.select(F.col("first_id").alias("wanted_id")).distinct()
     held = source.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("raw")
     sets = held.mapInArrow(per_batch(again), "of long, set binary").join(near.select("fp", "root"), F.col("of") == F.col("fp"))
     sets = stored(sets.groupBy("fp").agg(F.first("root").alias("root"), F.first("set").alias("set")), "sets")
-    return _labelled(each.select("doc_id", "fp"), classes.select("fp", "first_id"), verified_links(sets, similarity, block))
+    return _labelled(each.select("doc_id", "fp"), classes.select("fp", "first_id", "n"), verified_links(sets, similarity, block))

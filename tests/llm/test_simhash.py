@@ -101,3 +101,23 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
+
+
+def test_units_are_streamed_whole():
+    import pyarrow as pa
+
+    unit = np.sort(np.random.default_rng(2).integers(0, 40, 5000))
+    batches = [pa.RecordBatch.from_arrays([pa.array(unit[i : i + 300])], ["unit"]) for i in range(0, 5000, 300)]
+    parts = [np.concatenate([b.column(0).to_numpy() for b in held]) for held in simhash.whole_units(iter(batches), most=700)]
+    assert np.concatenate(parts).tolist() == unit.tolist() and len(parts) > 4
+    assert all(a[-1] < b[0] for a, b in zip(parts, parts[1:]))
+
+
+def test_hot_classes_and_stars(spark):
+    """One class with most rows, and one node with most links, are joined by broadcast and lose nothing."""
+    docs = spark.createDataFrame([(i, "the very same text of some words" if i < 3000 else f"other text number {i} of {i * 7}") for i in range(3600)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    fps = {i: simhash.fingerprint(t.encode()) for i, t in [(0, "the very same text of some words")]}
+    assert {got[i] for i in range(3000)} == {0} and len(got) == 3600 and fps
+    edges = spark.createDataFrame([(i, 5000) for i in range(1, 3000)] + [(7000, 7001)], "a long, b long")
+    assert {(r.node, r.root) for r in components(edges).collect()} == {(i, 1) for i in [*range(1, 3000), 5000]} | {(7000, 7000), (7001, 7000)}
