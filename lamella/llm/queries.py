@@ -50,8 +50,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    primary = stored(warc.records(table(spark, sf_dir, "pages")), "warc")  # digests and places, not payloads
-    return warc.audit(primary, warc.damaged(primary)).select("file", "offset", "record_id", "status", "expected", "actual")
+    found = warc.payloads(table(spark, sf_dir, "pages"))
+    # digests and places are kept, not payloads; each replica's bytes are read and hashed by themselves
+    primary, replica = stored(warc.records(found), "warc"), stored(warc.damaged(found), "warc")
+    return warc.audit(primary, replica).select("file", "offset", "record_id", "status", "expected", "actual")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = rules.ledger(table(spark, sf_dir, "documents"))
+    led = stored(rules.ledger(table(spark, sf_dir, "documents")), "ledger")
     base = rules.rejected(rules.BASE)
     return led.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -68,6 +70,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the standard policy contributes, from the ledger."""
+    return rules.ablations(stored(rules.ledger(table(spark, sf_dir, "documents")), "ledger"), rules.STANDARD)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """The vocabulary file; it stays where the library keeps it."""
     import public_tokenizers
@@ -86,6 +93,7 @@ QUERIES = {
     "op8_warc_merkle_audit": op8_warc_merkle_audit,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
+    "rule_ablations": rule_ablations,
 }
 _LEDGER = """
         WITH w AS (
