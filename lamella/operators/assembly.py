@@ -6,6 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What stands for a missing source and section; our own wording.
+NO_SOURCE, NO_SECTION = "unknown source", "general"
+
+
+def production_citations(hits: DataFrame, source: str, section: str = "section_title", shown: int = 3, text_chars: int = 500, relative_chars: int = 200) -> DataFrame:
+    """The first ``shown`` expanded hits of each query, repeats kept: source, section, scores, cut texts, whether there is a parent and how many
+    children."""
+    cut = lambda c, n: F.substring(c, 1, n)
+    return hits.where(F.col("rank") <= shown).select(
+        "query_id", "rank", F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("source"), F.coalesce(section, F.lit(NO_SECTION)).alias("section"), "score", "rerank_score",
+        cut(F.col("text"), text_chars).alias("text"), cut(F.col("parent_text"), relative_chars).alias("parent_text"), F.transform("children_texts", lambda c: cut(c, relative_chars)).alias("children_texts"),
+        F.col("parent_text").isNotNull().alias("has_parent"), F.size("children_texts").alias("num_children"),
+    )
+
+
 def within_budget(hits: DataFrame, size: Column, budget: int = 3000) -> DataFrame:
     """Hits of each query in rank order until the first that would overflow the budget."""
     return hits.withColumn("used", size.cast("long")).withColumn("used", F.expr("sum(used) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)")).where(F.col("used") <= budget)

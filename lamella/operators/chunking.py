@@ -19,14 +19,15 @@ LIST_ITEMS, LIST_GROUP, LIST_STEP = 5, 6, 4
 ARTICLE_TOKENS, WINDOW_TOKENS, OVERLAP = 800, 600, 2
 
 
-_HEADER = "|".join(fv.SECTION_HEADERS)
+#: At the start of a line, blanks aside; anchored once, so that other places of a line are not tried.
+_HEADER = r"^\s*(?:" + "|".join(p.removeprefix("^") for p in fv.SECTION_HEADERS) + ")"
 
 
 def section_array(text: Column) -> Column:
     """Sections of a text as structs ``section_id, start_line, end_line, title, section_type, lines``. A header in the first
     line opens no section, so section 0 never has a title."""
     lines = F.split(text, "\n")
-    opens = F.filter(F.transform(lines, lambda line, i: F.when((i > 0) & F.regexp_like(strip(line), F.lit(unicode(_HEADER))), i)), lambda i: i.isNotNull())
+    opens = F.filter(F.transform(lines, lambda line, i: F.when((i > 0) & F.regexp_like(line, F.lit(unicode(_HEADER))), i)), lambda i: i.isNotNull())
     edges = F.concat(F.array(F.lit(0)), opens, F.array(F.size(lines)))
 
     def cut(held: Column) -> Column:  # lines and edges are held in a struct, so that they are computed once
@@ -92,18 +93,26 @@ def sentences(text: Column) -> Column:
 def sliding(text: Column, limit: int = WINDOW_TOKENS, overlap: int = OVERLAP) -> Column:
     """Greedy runs of sentences up to ``limit`` tokens; each run begins with the last sentences of the one before.
     A sentence above the limit stays whole."""
-    start = F.struct(F.array().cast("array<string>").alias("now"), F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("done"))
+    none = F.array().cast("array<struct<first:int,last:int>>")
 
-    def step(s: Column, sentence: Column) -> Column:
-        size = token_count(sentence)
-        tail = F.array_append(F.slice(s["now"], F.greatest(F.size(s["now"]) - overlap + 1, F.lit(1)), F.lit(overlap)), sentence)
-        full = (s["n"] + size > limit) & (F.size(s["now"]) > 0)
-        moved = F.struct(tail.alias("now"), F.aggregate(tail, F.lit(0).cast("long"), lambda z, x: z + token_count(x)).alias("n"), F.array_append(s["done"], F.array_join(s["now"], "")).alias("done"))
-        grown = F.struct(F.array_append(s["now"], sentence).alias("now"), (s["n"] + size).alias("n"), s["done"].alias("done"))
-        return F.when(full, moved).otherwise(grown)
+    def runs(held: Column) -> Column:
+        size = lambda i: F.element_at(held["sizes"], i)
+        piece = lambda first, last: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
 
-    runs = F.aggregate(sentences(text), start, step, lambda s: F.when(F.size(s["now"]) > 0, F.array_append(s["done"], F.array_join(s["now"], ""))).otherwise(s["done"]))
-    return F.filter(F.transform(runs, strip), lambda x: x != "")
+        def step(s: Column, i: Column) -> Column:
+            again = F.greatest(i - overlap, s["first"])
+            n = F.aggregate(F.slice(held["sizes"], again, i - again + 1), F.lit(0).cast("long"), lambda z, x: z + x)
+            moved = F.struct(again.cast("int").alias("first"), n.alias("n"), F.array_append(s["done"], piece(s["first"], i - 1)).alias("done"))
+            grown = F.struct(s["first"].alias("first"), (s["n"] + size(i)).alias("n"), s["done"].alias("done"))
+            return F.when((s["n"] + size(i) > limit) & (i > s["first"]), moved).otherwise(grown)
+
+        total = F.size(held["sentences"])
+        start = F.struct(F.lit(1).alias("first"), F.lit(0).cast("long").alias("n"), none.alias("done"))
+        cuts = F.aggregate(F.sequence(F.lit(1), total), start, step, lambda s: F.array_append(s["done"], piece(s["first"], total)))
+        return F.transform(F.when(total > 0, cuts).otherwise(none), lambda c: strip(F.array_join(F.slice(held["sentences"], c["first"], c["last"] - c["first"] + 1), "")))
+
+    sized = once(sentences(text), lambda x: F.struct(x.alias("sentences"), F.transform(x, lambda y: token_count(y).cast("long")).alias("sizes")))
+    return F.filter(once(sized, runs), lambda x: x != "")
 
 
 def _groups(of: Column, size: int, step: int) -> Column:
@@ -179,7 +188,6 @@ def chunk_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc, zero, none = F.col("doc_id"), F.lit(0), F.lit(None).cast("string")
     kind = F.col(type_col).cast("string") if type_col else F.lit(fv.OTHER_TYPE)
     rows = docs.select(F.col(id_col).alias("doc_id"), kind.alias("document_type"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("sections", section_array(F.col("text")))
     root = chunk_id(doc, 0, zero, zero)
 
     def chunk(level: int, section: Column, ordinal: Column, id_: Column, parent: Column, c: Column, title: Column, start: Column, end: Column, children: Column) -> Column:
@@ -201,10 +209,15 @@ def chunk_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         none_below = F.array().cast("array<struct<text:string,chunk_type:string,importance_score:double,shift:int>>")
         return once(passage_array(s, F.col("document_type")) if levels > 2 else none_below, linked)
 
-    lines = F.split("text", "\n")
-    top = chunk(0, F.lit(-1), F.lit(-1), root, none, _chunk(summary(lines), "document_summary", 1.0), none, zero, F.size(lines), F.transform("sections", lambda s: chunk_id(doc, 1, s["section_id"], zero)))
-    tree = rows.select("doc_id", "document_type", F.concat(F.array(top), F.flatten(F.transform("sections", of_section))).alias("tree"))
-    out = tree.select("doc_id", "document_type", F.size("tree").alias("total_chunks"), F.posexplode_outer("tree").alias("chunk_index", "c"))
+    def tree_of(sections: Column) -> Column:
+        lines = F.split("text", "\n")
+        below = F.transform(sections, lambda s: chunk_id(doc, 1, s["section_id"], zero))
+        top = chunk(0, F.lit(-1), F.lit(-1), root, none, _chunk(summary(lines), "document_summary", 1.0), none, zero, F.size(lines), below)
+        every = F.concat(F.array(top), F.flatten(F.transform(sections, of_section)))
+        return once(every, lambda t: F.transform(t, lambda c, i: F.struct(c.alias("c"), i.alias("chunk_index"), F.size(t).alias("total_chunks"))))
+
+    tree = rows.select("doc_id", "document_type", once(section_array(F.col("text")), tree_of).alias("tree"))
+    out = tree.select("doc_id", "document_type", F.explode_outer("tree").alias("t")).select("doc_id", "document_type", "t.*")
     return out.selectExpr(
         "doc_id", "document_type", "c.*", "chunk_index", "total_chunks", "IF(chunk_index > 0, chunk_index - 1, NULL) AS previous_chunk_index", "IF(chunk_index < total_chunks - 1, chunk_index + 1, NULL) AS next_chunk_index"
     )

@@ -35,7 +35,8 @@ def context_window(messages: DataFrame, turns: int = 2, max_chars: int = 2000) -
 
 
 def statistics(messages: DataFrame, max_messages: int = 20) -> DataFrame:
-    """Counts of what the buffer holds; turns count every user message ever, evicted or not."""
+    """Counts of what the buffer holds; turns count every user message ever, evicted or not. With a timestamp ``at`` also how long
+    the session lasted."""
     back = messages.withColumn("__back", F.expr("row_number() OVER (PARTITION BY session_id ORDER BY seq DESC)"))
     held = F.col("__back") <= max_messages
     return back.groupBy("session_id").agg(
@@ -44,8 +45,14 @@ def statistics(messages: DataFrame, max_messages: int = 20) -> DataFrame:
         F.count_if(held & (F.col("role") == "assistant")).alias("assistant_messages"),
         F.count_if(F.col("role") == "user").alias("total_turns"),
         F.concat(F.count_if(held).cast("string"), F.lit(f"/{max_messages}")).alias("utilisation"),
+        *([(F.max("at").cast("double") - F.min("at").cast("double")).alias("duration_seconds")] if "at" in messages.columns else []),
     )
 
 
+def without_session(messages: DataFrame, sessions_: DataFrame) -> DataFrame:
+    """Messages of other sessions: what is left when sessions are deleted."""
+    return messages.join(sessions_.select("session_id").distinct(), "session_id", "left_anti")
+
+
 def sessions(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session_id").agg(F.count("*").alias("message_count"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))

@@ -13,7 +13,6 @@ from ..functions.query import route
 ABOUT_ANSWER = "I answer questions about the documents in this collection."
 OUT_OF_SCOPE_ANSWER = "This question is outside the collection, so I can't answer it."
 NO_CONTEXT_ANSWER = "No passage of the collection answers this."
-SHOWN = 3  # documents that reach the generator
 
 
 def routed(requests: DataFrame) -> DataFrame:
@@ -57,3 +56,21 @@ def diversified(hits: DataFrame, group: str, penalty: float = 0.3) -> DataFrame:
     earlier = F.expr(f"row_number() OVER (PARTITION BY query_id, {group} ORDER BY rank) - 1")
     scored = hits.withColumn("diverse_score", F.round(F.col("score") * F.pow(F.lit(1 - penalty), earlier), 6))
     return scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY diverse_score DESC, doc_id)"))
+
+
+#: Weight of the sparse leg by type of query, exact ones higher.
+ALPHA = {"chunk": 0.65, "section": 0.5, "document": 0.35, "mixed": 0.5}
+
+
+def alpha_by_type(query_type: Column) -> Column:
+    return F.coalesce(*(F.when(query_type == k, F.lit(v)) for k, v in ALPHA.items()), F.lit(0.5))
+
+
+def condensed(history: DataFrame, requests: DataFrame, rewrite=None, turns: int = 2) -> DataFrame:
+    """``query_id, query`` with follow-up questions as they stand by themselves: ``rewrite`` (a column from history and question, such as
+    a model) gets the session's last turns; the offline default leaves the question alone."""
+    from ..operators.memory import context_window
+
+    told = requests.join(context_window(history, turns), "session_id", "left")
+    query = F.col("query") if rewrite is None else F.when(F.col("context").isNotNull(), rewrite(F.col("context"), F.col("query"))).otherwise(F.col("query"))
+    return told.withColumn("query", query).drop("context")

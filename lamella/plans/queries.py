@@ -47,9 +47,9 @@ _CLEAN = r"""
     b AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)) AS t FROM a),
     clean AS (SELECT doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') AS text FROM b)"""
 _TOKENS = r"""
-    WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\pL\pM\pN]+'), lambda x: x <> '') AS toks FROM documents),
+    WITH t AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\pL\pM\pN]+'), lambda x: x <> '') AS toks FROM documents),
     s AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM t),
-    tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM t) GROUP BY ALL),
+    tf AS MATERIALIZED (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM t) GROUP BY ALL),
     v AS (SELECT term, count(*) AS df, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf, s GROUP BY term),
     w AS (SELECT doc_id, tf.term, tf, idf, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl)) AS weight FROM tf JOIN v USING (term), s)"""
 _ASKED = _TOKENS + r""",
@@ -324,7 +324,7 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    chunks = chunking.chunk_tree(docs).where("hierarchy_level < 2")
+    chunks = chunking.chunk_tree(docs, levels=2)
     found = fusion.ancestors(chunks, chunks.where("hierarchy_level = 1").select("chunk_id"))
     return found.join(chunks.select("doc_id", "chunk_id"), "chunk_id").select("doc_id", "chunk_id", "ancestor_id", "distance")
 

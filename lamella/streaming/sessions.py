@@ -8,17 +8,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUTPUT = "session_id long, total_turns long, held long, context string"
+from ..operators.memory import checked
+
 STATE = "turns long, lines array<string>, users array<boolean>"
 
 
-def session_memory(messages: DataFrame, max_messages: int = 20, turns: int = 2, max_chars: int = 2000) -> DataFrame:
+def session_memory(messages: DataFrame, max_messages: int = 20, turns: int = 2, max_chars: int = 2000, idle_ms: int | None = None) -> DataFrame:
     """For each session and micro-batch: turns ever, messages held, and the context window after the batch.
 
-    ``messages`` streams session_id, seq, role, content. State is at most ``max_messages`` lines a session.
+    ``messages`` streams session_id, seq, role, content; a role other than user and assistant fails the batch, as in memory.checked.
+    State is at most ``max_messages`` lines a session and is dropped after ``idle_ms`` without a message, if given.
     """
+    messages = checked(messages)
+    output = f"session_id {messages.schema['session_id'].dataType.simpleString()}, total_turns long, held long, context string"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         count, lines, users = state.get if state.exists else (0, [], [])
         lines, users = list(lines), list(users)
         rows = pd.concat(list(batches)).sort_values("seq")
@@ -28,7 +35,9 @@ def session_memory(messages: DataFrame, max_messages: int = 20, turns: int = 2,
             users.append(role == "user")
         lines, users = lines[-max_messages:], users[-max_messages:]
         state.update((int(count), lines, users))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         text = "\n".join(lines[-2 * turns :])
         yield pd.DataFrame({"session_id": [key[0]], "total_turns": [count], "held": [len(lines)], "context": ["..." + text[-max_chars:] if len(text) > max_chars else text]})
 
-    return messages.groupBy("session_id").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return messages.groupBy("session_id").applyInPandasWithState(step, output, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
