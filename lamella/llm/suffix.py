@@ -1,4 +1,9 @@
-"""Exact removal of long repeated byte strings, by distributed prefix doubling on sampled positions.
+"""Removal of long repeated byte strings, by distributed prefix doubling.
+
+``doubled_starts`` is the plain method: a row for each position with the rank of its first 16 bytes; ranks that occur once
+drop out, and the others are paired with the rank one string further on and ranked anew, for 32, 64, ... bytes, until
+the whole length is reached. It needs several shuffles of every position of the corpus. ``repeated_starts``, which
+``deduplicate`` takes by default, gives the same with far less:
 
 Every start position of a string of ``length`` bytes is ranked by an ever longer part of its string; a
 position whose rank is unique drops out, and what is still tied when the whole length is reached is
@@ -13,9 +18,10 @@ repeated. Two things keep this affordable on a corpus:
   cores are longer: the rank of the old core paired with the hash of the new one is sorted and ranked anew.
   At runs of one start, core, extent and string are the same.
 
-Ranks are 64-bit hashes, used in pairs (core, extent) of one group. Matching text is never compared in
-groups: ranks are counted with map-side aggregation and joined back, so a passage that fills a third of
-the corpus is a skewed join, not a large group.
+Ranks are 64-bit hashes, used in pairs (core, extent) of one group; that equal ranks stand for equal strings is
+not checked byte by byte. Matching text is never compared in groups: ranks are counted with map-side aggregation
+and joined back, the hot ones by broadcast, so a passage that fills a third of the corpus is no large group. Long
+texts are read in slices of a mebibyte, so memory doesn't follow their length.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep every byte; a text may match itself,
 overlaps count; rows that repeat entirely count as copies of each other; null ids are kept; an empty table
@@ -24,7 +30,6 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, stored, texts
+from .common import join_hot, per_batch, stored, texts
 
 GRAM, WINDOW = 16, 256
 STEPS = (256, 16, 1)
 _LOW = np.uint64((1 << 24) - 1)
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -85,16 +90,13 @@ def runs(h: Hashes, n: int, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
     m = n - length + 1
     if m <= 0:
         return (np.empty(0, np.int64),) * 3
-    at = np.empty(m, np.int64)
-    for lo in range(0, m, _SLICE):
-        hi = min(m, lo + _SLICE)
-        size = hi - lo + WINDOW - 1
-        x = (h.grams(lo, lo + size) & ~_LOW) | np.arange(size, dtype=np.uint64)
-        step = 1
-        while step < WINDOW:
-            x = np.minimum(x[:-step], x[step:])
-            step *= 2
-        at[lo:hi] = (x & _LOW).astype(np.int64) + lo
+    size = m + WINDOW - 1
+    x = (h.grams(0, size) & ~_LOW) | np.arange(size, dtype=np.uint64)
+    step = 1
+    while step < WINDOW:
+        x = np.minimum(x[:-step], x[step:])
+        step *= 2
+    at = (x & _LOW).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
     return at[first], first, np.append(first[1:], m) - 1
 
@@ -125,11 +127,12 @@ def _first_runs(docs: DataFrame, length: int) -> DataFrame:
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         parts = []
         for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if len(raw) >= length:
-                h = Hashes(raw)
-                a, lo, hi = runs(h, len(raw), length)
+            for begin in range(0, len(raw) - length + 1, _SLICE):
+                part = raw[begin : begin + _SLICE + length - 1]
+                h = Hashes(part)
+                a, lo, hi = runs(h, len(part), length)
                 core, extent = _ranks(h, a, np.zeros(len(a), np.uint64), np.zeros(len(a), np.int64), WINDOW, a - hi, a - lo, length)
-                parts.append((np.full(len(a), key), a, a - hi, a - lo, core, extent, np.ones(len(a), bool)))
+                parts.append((np.full(len(a), key), a + begin, a - hi, a - lo, core, extent, np.ones(len(a), bool)))
         return _cat(parts)
 
     return docs.select("key", "raw").mapInArrow(per_batch(one), _ROW)
@@ -137,15 +140,16 @@ def _first_runs(docs: DataFrame, length: int) -> DataFrame:
 
 def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Count ranks. Returns the repeated runs and, for what stays open, one row for each distinct extent."""
-    rows = stored(rows, "runs")  # read twice; and both sides of the join below are plain tables, so a hot core can be split
-    tied = stored(rows.groupBy("core").count().where("count > 1").select("core"), "cores")
-    rows = stored(rows.join(tied, "core").select(*_NAMES), "tied")
+    rows = stored(rows, "runs")
+    tied = stored(rows.groupBy("core").agg(F.count("*").alias("of_core")).where("of_core > 1"), "cores")
+    rows = stored(join_hot(rows, tied, "core", "of_core", rows.count()).select(*_NAMES), "tied")
+    total = rows.count()
     kinds = rows.groupBy("core", "extent").agg(F.count("*").alias("n"), F.min(F.struct("key", "anchor", "near", "far", "open")).alias("one"))
     kinds = stored(kinds.select("core", "extent", "n", "one.*"), "extents")
-    twice = kinds.where("n > 1").select("core", "extent")
-    repeated = rows.where("open").join(twice, ["core", "extent"]).select("key", (F.col("anchor") - F.col("far")).alias("lo"), (F.col("anchor") - F.col("near")).alias("hi"))
-    undecided = kinds.where("n = 1 AND open").select("core").distinct()
-    rest = kinds.join(undecided, "core", "left_semi").withColumn("open", F.expr("open AND n = 1"))
+    twice = kinds.where("n > 1").select("extent", F.col("core").alias("its_core"), "n")
+    repeated = join_hot(rows.where("open"), twice, "extent", "n", total).where("core = its_core").select("key", (F.col("anchor") - F.col("far")).alias("lo"), (F.col("anchor") - F.col("near")).alias("hi"))
+    undecided = stored(kinds.groupBy("core").agg(F.count("*").alias("n_kinds"), F.max(F.expr("n = 1 AND open")).alias("some")).where("some"), "undecided")
+    rest = join_hot(kinds, undecided, "core", "n_kinds", total).withColumn("open", F.expr("open AND n = 1"))
     return repeated, rest.select("key", "anchor", "near", "far", "core", "open")
 
 
@@ -210,6 +214,36 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     return out
 
 
+def doubled_starts(docs: DataFrame, length: int) -> DataFrame:
+    """``key, lo, hi`` as ``repeated_starts``, a row for each start, by plain prefix doubling over all positions."""
+    if length < GRAM:
+        raise ValueError(f"strings must have {GRAM} bytes at least")
+
+    def first(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for begin in range(0, len(raw) - GRAM + 1, _SLICE):
+                part = raw[begin : begin + _SLICE + GRAM - 1]
+                rank = Hashes(part).grams(0, len(part) - GRAM + 1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rank), key)), pa.array(np.arange(begin, begin + len(rank))), pa.array(rank)], ["key", "pos", "rank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from first(batch)
+
+    def tied(ranks: DataFrame) -> DataFrame:
+        ranks = stored(ranks, "ranks")
+        again = ranks.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1")
+        return stored(join_hot(ranks, stored(again, "again"), "rank", "n", ranks.count()).select("key", "pos", "rank"), "positions")
+
+    alive, size = tied(docs.select("key", "raw").mapInArrow(run, "key long, pos long, rank long")), GRAM
+    while size < length:
+        step = min(size, length - size)
+        later = alive.select(F.col("key").alias("of"), (F.col("pos") - step).alias("at"), F.col("rank").alias("next"))
+        paired = alive.join(later, F.expr("key = of AND pos = at")).select("key", "pos", F.xxhash64("rank", "next").alias("rank"))
+        alive, size = tied(paired), size + step
+    return alive.select("key", F.col("pos").alias("lo"), F.col("pos").alias("hi"))
+
+
 def cut(raw: bytes, spans: list[tuple[int, int]], length: int) -> tuple[int, int, bytes]:
     """Remove every byte of strings that start in lo..hi: removed bytes, maximal runs, and what is left."""
     left, n_spans, end, at = [], 0, -1, 0
@@ -224,14 +258,15 @@ def cut(raw: bytes, spans: list[tuple[int, int]], length: int) -> tuple[int, int
     return len(raw) - len(kept), n_spans, kept
 
 
-def deduplicate(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept`` for every row; kept is what is left, as bytes."""
+def deduplicate(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", every_position: bool = False) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept`` for every row; kept is what is left, as bytes. ``every_position`` takes the plain
+    method instead of the one by runs; results are the same."""
     rows = texts(docs, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "raw"))
     # rows that repeat entirely: one stands for all in the search, and every start of theirs is repeated
     again = stored(rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("of")), "again")
     same = F.col("key") == F.col("of")
     searched = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["key"]))
-    found = repeated_starts(searched, length).distinct().join(again, same, "left_anti")
+    found = (doubled_starts if every_position else repeated_starts)(searched, length).distinct().join(again, same, "left_anti")
     spans = found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).select(F.col("key").alias("of"), "spans", F.lit(False).alias("whole"))
     spans = stored(spans.unionByName(again.select("of", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(True).alias("whole"))), "spans")  # plain, so that a hot key can be split
     joined = rows.join(spans.hint("shuffle_hash"), same, "left").select("doc_id", "raw", "spans", "whole")
@@ -247,7 +282,3 @@ def deduplicate(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
     return joined.mapInArrow(run, schema)
-
-
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
