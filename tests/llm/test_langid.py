@@ -50,3 +50,50 @@ def test_temperature_recovers_scale():
     p = np.exp(s) / np.exp(s).sum(axis=1, keepdims=True)
     y = np.array([rng.choice(3, p=r) for r in p])
     assert langid.temperature(s * 4, y) == pytest.approx(4, rel=0.15)
+
+
+def test_every_prediction_by_plain_loops(spark):
+    """Weights, TF-IDF and softmax with dictionaries, against the distributed predictions; and document frequencies by hand."""
+    import math
+    from collections import Counter
+
+    rows = texts(3, 120)
+    docs = spark.createDataFrame(rows + [(500, None, None), (501, "1 2", None)], "doc_id long, text string, lang string").repartition(3)
+    dims = 1 << 10
+    model = langid.fit(docs, dims=dims)
+    df = Counter(k for _, t, _ in rows for k in langid.grams(t, dims)[0].tolist())
+    for k in range(dims):
+        assert math.isclose(model.idf[k], math.log((1 + len(rows)) / (1 + df[k])) + 1)
+    for r in docs.join(langid.predict(docs, model).select("doc_id", "lang_pred", "score"), "doc_id").collect():
+        counts = dict(zip(*(x.tolist() for x in langid.grams(r.text, dims)), strict=True))
+        if not counts:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        x = {k: (1 + math.log(n)) * model.idf[k] for k, n in counts.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        z = [(sum(float(model.weights[i, k]) * v / size for k, v in x.items()) + model.bias[i]) / model.temperature for i in range(len(model.langs))]
+        p = [math.exp(v - max(z)) for v in z]
+        assert model.langs[max(range(len(z)), key=z.__getitem__)] == r.lang_pred
+        assert math.isclose(r.score, max(p) / sum(p), rel_tol=1e-5)
+
+
+def test_grams_by_plain_windows():
+    """Counts of one to three neighbouring letters and blanks, whatever they are hashed to."""
+    for text in ("Ab c", "a", "  x--y 1é ", "日本 語"):
+        at, n = langid.grams(text, 1 << 20)
+        c, last = " ", " "
+        for ch in text.lower():
+            now = ch if ch.isalpha() else " "
+            if not (now == " " and last == " "):
+                c += now
+            last = now
+        c += " "
+        want = Counter2([c[i : i + k] for k in (1, 2, 3) for i in range(len(c) - k + 1)])
+        assert sorted(n.tolist()) == sorted(want.values()) and len(at) == len(want)
+
+
+def Counter2(items):
+    out = {}
+    for x in items:
+        out[x] = out.get(x, 0) + 1
+    return out
