@@ -11,13 +11,12 @@ from .common import dropped, join_hot, stored
 def _large_star(e: DataFrame, total: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    low = stored(low, "stars")
     return join_hot(both.where("b > a"), low, "a", "n", 2 * total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(e: DataFrame, total: int) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    low = stored(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "stars")
+    low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
     return (
         join_hot(down, low, "a", "n", total)
         .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("s"))
