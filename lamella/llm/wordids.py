@@ -111,7 +111,7 @@ class WordTokenizer:
     encodes whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 2_000_000, most: int = 4 << 20) -> None:
+    def __init__(self, path: str, limit: int = 700_000, most: int = 1 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -158,7 +158,7 @@ class WordTokenizer:
             part = other[at : at + 20_000]
             for (i, _), e in zip(part, self._tok.encode_batch_fast([w for _, w in part], add_special_tokens=False), strict=True):
                 out[i] = array("I", e.ids).tobytes()
-        if len(known) > 500_000:  # words come again with other punctuation, mostly soon
+        if len(known) > 100_000:  # words come again with other punctuation, mostly soon
             known.clear()
         return out
 
