@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, ngram, packing, pii, quality, rules, simhash, suffix, warc
+from . import decontam, langid, manifest, ngram, packing, pii, quality, rules, simhash, suffix, warc
 from .common import fold, stored, table
 
 
@@ -75,6 +75,15 @@ def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.ablations(stored(rules.ledger(table(spark, sf_dir, "documents")), "ledger"), rules.STANDARD)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(f) for f in manifest.FIELDS]
+    tampered = [F.replace(f, F.lit("\n"), F.lit("")) if name == "text" else f for name, f in zip(manifest.FIELDS, fields, strict=True)]
+    claim = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, manifest.leaf(*tampered))
+    out = manifest.manifest(docs.select("doc_id", "source", manifest.leaf(*fields).alias("leaf"), claim.alias("claim")), claim="claim", proofs=False)
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """The vocabulary file; it stays where the library keeps it."""
     import public_tokenizers
@@ -93,6 +102,7 @@ QUERIES = {
     "op8_warc_merkle_audit": op8_warc_merkle_audit,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "rule_ablations": rule_ablations,
 }
 _LEDGER = """
@@ -118,6 +128,15 @@ _LEDGER = """
                    + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (100 * up > 40 * (up + low))::INT + 32 * (100 * top > 25 * n_words AND n_words >= 20)::INT
                    + 64 * (word_chars > 15 * n_words)::INT + 128 * (10 * pipes > 2 * n_words AND n_words > 0)::INT AS BIGINT) AS fail_bits
             FROM m)"""
+#: crc32 of ``doc_id`` as text, bit by bit.
+_CRC = """xor(list_reduce([4294967295] || list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda j: CAST(ascii(CAST(doc_id AS VARCHAR)[j]) AS BIGINT)),
+            lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)"""
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = " || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "n_chars"))
+_TREE = """SELECT g, level + 1, list_transform(range(0, (len(h) + 2) // 3), lambda i: sha256(array_to_string(h[3 * i + 1:3 * i + 3], ''))) FROM {0} WHERE len(h) > 1"""
+_PATH = """SELECT {2}, coalesce(list({{'a': array_to_string(h[pos // 3 * 3 + 1:pos], ''), 'b': array_to_string(h[pos + 2:pos // 3 * 3 + 3], '')}} ORDER BY level)
+                FILTER (len(h) > 1), []) AS path, max_by(h[1], level) AS top
+            FROM (SELECT {0}.*, level, h, i // CAST(pow(3, level) AS BIGINT) AS pos FROM {0} JOIN {1} USING (g)) GROUP BY {2}"""
 ORACLE: dict[str, str] = {
     "op8_warc_merkle_audit": """
         WITH body AS (
@@ -134,6 +153,24 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT file, "offset", page_id, 'missing', digest, NULL FROM placed WHERE page_id % 97 = 11
         UNION ALL SELECT file, "offset" + 1, page_id, 'extra', NULL, sha256('added') FROM placed WHERE page_id % 97 = 17
     """,
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce('s' || source, '') AS g, sha256({_LEAF} || {_FIELD.format('text')}) AS leaf,
+                   CASE WHEN {_CRC} % 2 = 0 THEN sha256({_LEAF} || {_FIELD.format("replace(text, chr(10), '')")}) END AS claim
+            FROM documents),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST) - 1 AS i FROM d),
+        lower AS (SELECT g, 0 AS level, list(leaf ORDER BY i) AS h FROM placed GROUP BY g UNION ALL {_TREE.format("lower")}),
+        subroots AS (SELECT g AS name, h[1] AS subroot, '' AS g, row_number() OVER (ORDER BY g) - 1 AS i FROM lower WHERE len(h) = 1),
+        upper AS (SELECT '' AS g, 0 AS level, list(subroot ORDER BY i) AS h FROM subroots UNION ALL {_TREE.format("upper")}),
+        low AS ({_PATH.format("placed", "lower", "doc_id, leaf, claim, g, i")}),
+        high AS ({_PATH.format("subroots", "upper", "name")}),
+        whole AS (SELECT doc_id, leaf, low.top AS subroot, high.top AS root, coalesce(claim, leaf) AS said, low.path || high.path AS path FROM low JOIN high ON low.g = high.name),
+        f AS (
+            SELECT *, sha256(array_to_string(list_transform(path, lambda p: p.a || p.b), '')) AS proof_sha256,
+                   list_reduce([{{'a': said, 'b': ''}}] || path, lambda x, p: {{'a': sha256(p.a || x.a || p.b), 'b': ''}}).a AS folded_root
+            FROM whole)
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f
+    """,
     "op10_quality_rules": _LEDGER
     + """
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits = 0 AS kept, fail_bits FROM f
