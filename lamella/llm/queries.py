@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, manifest, ngram, packing, pii, quality, rules, simhash, suffix, warc
+from . import decontam, langid, manifest, minhash, ngram, packing, pii, quality, rules, simhash, suffix, warc
 from .common import fold, stored, table
 
 
@@ -84,6 +84,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.85)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """The vocabulary file; it stays where the library keeps it."""
     import public_tokenizers
@@ -103,6 +108,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_minhash_near_dedup": op13_minhash_near_dedup,
     "rule_ablations": rule_ablations,
 }
 _LEDGER = """

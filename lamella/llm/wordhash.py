@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 
@@ -49,3 +51,44 @@ def hashed(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, _, h = hashes(b"\n".join(raws))
     firsts = np.cumsum([0, *(len(r) + 1 for r in raws)])
     return h, np.searchsorted(start, firsts)
+
+
+def in_parts(raws: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``hashed`` for neighbouring texts of about ``most`` bytes together: the number of the first, hashes and bounds. A longer
+    text is a part of its own and read in slices that end at white space, so only its hashes are held whole."""
+    at = 0
+    while at < len(raws):
+        size, end = len(raws[at]), at + 1
+        while end < len(raws) and size + len(raws[end]) <= most:
+            size += len(raws[end])
+            end += 1
+        if size <= most:
+            yield at, *hashed(raws[at:end])
+        else:
+            h = np.concatenate([x for _, _, x in slices(raws[at], most)])
+            yield at, h, np.array([0, len(h)])
+        at = end
+
+
+def slices(raw: bytes, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``hashes`` of a text, slice by slice; a slice ends at the first white space from ``most`` bytes on."""
+    at = 0
+    while at < len(raw):
+        end = at + most
+        while end < len(raw):  # look for white space a little at a time
+            white = np.flatnonzero(WHITE[np.frombuffer(raw, np.uint8, min(1 << 12, len(raw) - end), end)])
+            if len(white):
+                end += int(white[0])
+                break
+            end += 1 << 12
+        start, stop, h = hashes(raw[at:end])
+        yield start + at, stop + at, h
+        at = end
+
+
+def windows(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each ``k`` neighbouring words."""
+    s = h[: max(len(h) - k + 1, 0)] + np.uint64(k)
+    for j in range(1, k):
+        s = mix(s) + h[j : j + len(s)]
+    return mix(s)
