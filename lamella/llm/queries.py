@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, manifest, minhash, ngram, packing, pii, quality, rules, simhash, suffix, warc
+from . import decontam, langid, manifest, minhash, ngram, packing, periodic, pii, quality, rules, simhash, suffix, warc
 from .common import fold, stored, table
 
 
@@ -75,6 +75,16 @@ def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.ablations(stored(rules.ledger(table(spark, sf_dir, "documents")), "ledger"), rules.STANDARD)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.runs(periodic.periodic_copy(table(spark, sf_dir, "documents")), min_length=24, min_exponent=3)
+    written = "sha2(array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), ''), 256)"
+    out = found.withColumn("best", periodic.strongest("runs"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.expr(written).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fields = [F.col(f) for f in manifest.FIELDS]
@@ -107,6 +117,7 @@ QUERIES = {
     "op8_warc_merkle_audit": op8_warc_merkle_audit,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_minhash_near_dedup": op13_minhash_near_dedup,
     "rule_ablations": rule_ablations,
