@@ -100,7 +100,23 @@ DOCUMENT_QUERY = ["คืออะไร", "ทำไง", "ขั้นตอ
 SECTION_QUERY = ["ค่าธรรมเนียม", "เอกสาร", "หลักฐาน", "คุณสมบัติ"]
 CHUNK_QUERY = ["เท่าไหร่", "กี่", "ใช้อะไร", "ต้องมี"]
 COMPLEX_QUERY = ["และ", "หรือ"]
+# What a question's words ask of metadata: for each column the first row that fits.
+FILTERS = [
+    ("document_type", [(["คู่มือ", "วิธีการ"], "คู่มือปชช"), (["ระเบียบ", "กฎหมาย"], "ระเบียบกรม")]),
+    ("category_level1", [(["โอน", "ขาย", "ซื้อ"], "การโอน"), (["จำนอง"], "ภาระผูกพัน")]),
+    ("special_cases", [(["คนต่างด้าว", "ต่างด้าว"], "คนต่างด้าว")]),
+    ("has_e_qlands", [(["e-QLands", "จองคิว"], "true")]),
+]
+FAST_WORDS = ["เร็ว", "ด่วน", "ไว"]
+FASTEST_FIRST = "processing_time_asc"
 SHORT_ANSWER = ["เท่าไหร่", "กี่", "ใช่หรือไม่"]
 LONG_ANSWER = ["คืออะไร", "อธิบาย"]
 ABOUT_WORDS = ["สวัสดี", "hello", "hi", "เธอคือใคร", "ชื่ออะไร", "ทำอะไรได้", "ช่วยอะไรได้"]
 DOMAIN_WORDS = ["ที่ดิน", "โฉนด", "โอน", "จำนอง", "เช่า", "มรดก", "ธรรมเนียม", "ภาษี", "ต่างด้าว", "ต่างชาติ", "เอกสาร", "น.ส.3", "ส.ค.1", "กรมที่ดิน", "จดทะเบียน", "ค่า", "ขั้นตอน", "วิธี", "กฎหมาย", "มาตรา"]
+
+# Function words of Thai that say nothing about a text's subject; a list to begin with, of our own choice.
+THAI_STOPWORDS = [
+    "กับ", "ก็", "ก่อน", "การ", "กว่า", "ขณะ", "ของ", "ขึ้น", "ครับ", "ค่ะ", "คือ", "ความ", "คง", "จะ", "จาก", "จึง", "ซึ่ง", "ด้วย", "ดัง", "ได้", "ตั้งแต่", "ตาม", "แต่", "ถ้า",
+    "ถึง", "ทั้ง", "ทั้งนี้", "ที่", "ที่สุด", "นอกจาก", "นั้น", "นี้", "ใน", "บาง", "เป็น", "แบบ", "โดย", "ไป", "พร้อม", "เพราะ", "เพื่อ", "มา", "มาก", "มี", "เมื่อ", "แม้", "ไม่", "ยัง",
+    "ระหว่าง", "รวม", "เรา", "เรื่อง", "แล้ว", "และ", "ว่า", "ส่วน", "สำหรับ", "หนึ่ง", "หรือ", "หลัง", "หาก", "ให้", "อยู่", "อย่าง", "อีก", "เอง", "อาจ",
+]

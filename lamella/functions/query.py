@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .text import has_any, tokens, words
+from .text import first_of, has_any, tokens, words
 
 
 def analysis(query: Column) -> Column:
@@ -38,3 +38,20 @@ def parse_route(answer: Column) -> Column:
     for name in ("RAG", "OUT_OF_SCOPE", "ABOUT_BOT"):
         out = out.when(F.contains(up, F.lit(name)), name)
     return out.otherwise("OUT_OF_SCOPE")
+
+
+def filters(query: Column) -> Column:
+    """What a question asks of metadata, as structs (column, value); columns without a hit are left out."""
+    found = [F.struct(F.lit(column).alias("column"), first_of(query, table).alias("value")) for column, table in fv.FILTERS]
+    return F.filter(F.array(*found), lambda f: f["value"].isNotNull())
+
+
+def sort_by(query: Column) -> Column:
+    """The order that a question asks for, or null."""
+    return F.when(has_any(query, fv.FAST_WORDS), F.lit(fv.FASTEST_FIRST))
+
+
+def filter_rows(queries, id_col: str = "query_id", text_col: str = "query"):
+    """``query_id, column, value`` of all questions, as searches take them."""
+    each = queries.select(F.col(id_col).alias("query_id"), F.explode(filters(F.col(text_col))).alias("f"))
+    return each.select("query_id", "f.column", "f.value")

@@ -9,7 +9,7 @@ never a row, so a word that occurs everywhere costs no join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,14 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .mask import Mask, collected
 from .topk import Best
 
 K1, B = 1.5, 0.75
 
 
-def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, tokenise: Callable[[Column], Column] = tokens) -> DataFrame:
     """``doc_id, tokens`` and the columns of ``keep``."""
-    return docs.select(F.col(id_col).alias("doc_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"), *(keep or []))
+    return docs.select(F.col(id_col).alias("doc_id"), tokenise(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"), *(keep or []))
 
 
 def counted(toks: DataFrame) -> DataFrame:
@@ -122,18 +123,19 @@ class Model:
         joined = _postings(docs).join(self.terms, "term")
         return joined.select(F.col("doc_id").alias(id_col), "term_id", weight(F.col("tf"), F.col("length"), F.lit(float(self.avg_doc_length or 1)), F.col("idf")).alias("weight"))
 
-    def search(self, queries: DataFrame, k: int = 10, classic: bool = False, where: Column | None = None, k1: float = K1, b: float = B, block: int = 2000) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, classic: bool = False, where: Column | None = None, k1: float = K1, b: float = B, block: int = 2000, filters: DataFrame | None = None) -> DataFrame:
         """``query_id, doc_id, score, rank``: the k best documents of each query (``query_id, tokens``).
 
         By default both sides are weighted (the dot product of two sparse vectors); ``classic`` counts the query's
-        tokens instead. ``where`` keeps documents out of the search, not out of the statistics. Ties go to the smaller id.
+        tokens instead. ``where`` keeps documents out of the search, not out of the statistics; ``filters`` (``query_id, column, value``) keep
+        them out of one query's. Ties go to the smaller id.
         """
-        rows = (self.documents.where(where) if where is not None else self.documents).select("doc_id", "length", "terms", "tfs")
+        rows = self.documents.where(where) if where is not None else self.documents
         out = None
         for part in _blocks(queries, block):
             asked = rows.sparkSession.createDataFrame([(t,) for t in sorted({t for _, ts in part for t in ts})], "asked string")
             idfs = {r["term"]: r["idf"] for r in self.terms.join(F.broadcast(asked), F.col("term") == F.col("asked")).select("term", "idf").collect()}  # at most the block's terms
-            found = _scored(rows, queries, part, idfs, self.avg_doc_length or 1.0, k, classic, k1, b)
+            found = _scored(rows, queries, part, idfs, self.avg_doc_length or 1.0, k, classic, k1, b, filters=filters)
             out = found if out is None else out.unionByName(found)
         return ranked(out, k)
 
@@ -160,8 +162,9 @@ def _blocks(queries: DataFrame, block: int) -> Iterator[list[tuple[object, list[
         yield [(r["query_id"], r["tokens"] or []) for r in queries.where(F.coalesce(F.pmod(F.xxhash64("query_id"), F.lit(n)), F.lit(0)) == i).collect()]
 
 
-def _scored(rows: DataFrame, queries: DataFrame, part: list[tuple[object, list[str]]], idfs: dict[str, float], avg: float, k: int, classic: bool, k1: float, b: float) -> DataFrame:
-    """The best k of ``rows`` (``doc_id, length, terms, tfs``) in each task for some queries."""
+def _scored(rows: DataFrame, queries: DataFrame, part: list[tuple[object, list[str]]], idfs: dict[str, float], avg: float, k: int, classic: bool = False, k1: float = K1, b: float = B, plain: bool = False, filters: DataFrame | None = None) -> DataFrame:
+    """The best k of ``rows`` (``doc_id, length, terms, tfs`` and columns to filter by) in each task for some queries; ``plain`` adds up
+    the rows' numbers as they are. ``filters`` are each query's own."""
     term_no = {t: i for i, t in enumerate(sorted(idfs))}
     code, query, weights = [], [], []
     for q, (_, ts) in enumerate(part):
@@ -169,16 +172,17 @@ def _scored(rows: DataFrame, queries: DataFrame, part: list[tuple[object, list[s
             tf = ts.count(t)
             code.append(term_no[t])
             query.append(q)
-            weights.append(tf if classic else idfs[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ts) / avg)))
+            weights.append(tf if classic or plain else idfs[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ts) / avg)))
     order = np.argsort(code, kind="stable")
     first = np.searchsorted(np.array(code)[order] if code else np.empty(0), np.arange(len(term_no) + 1))
     packed = (pa.array(list(term_no), pa.string()), np.array([idfs[t] for t in term_no]), first, np.array(query, np.int64)[order], np.array(weights, float)[order], [q for q, _ in part])
-    shared = rows.sparkSession.sparkContext.broadcast(packed)
+    columns, wanted = collected(filters, packed[-1], rows)
+    shared = rows.sparkSession.sparkContext.broadcast((*packed, Mask(columns, packed[-1], wanted)))
     query_type = pa.int64() if queries.schema["query_id"].dataType.simpleString() in ("bigint", "int") else pa.string()
     out_type = {"int": pa.int32()}.get(queries.schema["query_id"].dataType.simpleString(), query_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, idf_, first, query, wq, ids = shared.value
+        terms, idf_, first, query, wq, ids, mask = shared.value
         best = Best(ids, out_type, k, 0.0)
         for batch in batches:
             for at in range(0, batch.num_rows if len(terms) else 0, 256):
@@ -189,16 +193,18 @@ def _scored(rows: DataFrame, queries: DataFrame, part: list[tuple[object, list[s
                 row, number = row[known], pc.drop_null(number).to_numpy()
                 tf = pc.list_flatten(piece.column(3)).to_numpy()[known].astype(float)
                 length = piece.column(1).to_numpy().astype(float)[row]
-                w = idf_[number] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg))
+                w = tf if plain else idf_[number] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg))
                 n = first[number + 1] - first[number]
                 where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[number], n)
                 scores = np.bincount(query[where] * piece.num_rows + np.repeat(row, n), np.repeat(w, n) * wq[where], len(ids) * piece.num_rows)
-                best.add(piece.column(0), scores.reshape(len(ids), piece.num_rows))
+                scores = scores.reshape(len(ids), piece.num_rows)
+                allowed = mask(piece.columns[4:])
+                best.add(piece.column(0), scores if allowed is None else np.where(allowed, scores, 0.0))
         got = best.batch()
         if got is not None:
             yield got
 
-    return rows.mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.select("doc_id", "length", "terms", "tfs", *columns).mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def search(toks: DataFrame, queries: DataFrame, k: int = 10, classic: bool = False, k1: float = K1, b: float = B, block: int = 2000) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bm25 import ranked
+from .mask import Mask, collected
 from .topk import Best
 
 
@@ -33,14 +34,15 @@ def hashed_embedding(tokens: Column, size: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4000) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4000, filters: DataFrame | None = None) -> DataFrame:
     """``query_id, doc_id, score, rank``: the k vectors of highest cosine for each query (``query_id, vector``).
 
     Queries are broadcast in blocks of about ``block`` vectors; a task multiplies its batches by a block and keeps the best k of
     each query while they stream by. A vector that is null, zero, has null elements or another length than the query's matches nothing; without queries
-    the result is empty.
+    the result is empty. ``filters`` (``query_id, column, value``) keep vectors out of one query's search.
     """
-    rows = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).cast("array<float>").alias("v")).where("v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+    others = [c for c in vectors.columns if c not in (id_col, vector_col, "doc_id", "v")] if filters is not None else []
+    rows = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).cast("array<float>").alias("v"), *others).where("v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
     kinds = queries.schema["query_id"].dataType.simpleString(), rows.schema["doc_id"].dataType.simpleString()
     query_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kinds[0], pa.string())
     n = max(1, -(-queries.count() // block))
@@ -54,22 +56,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         for size, part in sorted(by_size.items()):
             q = np.array([v for _, v in part], float)
             length = np.sqrt((q * q).sum(axis=1, keepdims=True))
-            shared = vectors.sparkSession.sparkContext.broadcast(([i for i, _ in part], q / np.where(length > 0, length, np.nan)))
+            columns, wanted = collected(filters, [i for i, _ in part], rows)
+            shared = vectors.sparkSession.sparkContext.broadcast(([i for i, _ in part], q / np.where(length > 0, length, np.nan), Mask(columns, [i for i, _ in part], wanted)))
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared, size=size) -> Iterator[pa.RecordBatch]:
-                ids, q = shared.value
+                ids, q, mask = shared.value
                 best = Best(ids, query_type, k)
                 for batch in batches:
                     for at in range(0, batch.num_rows, 2048):
                         piece = batch.slice(at, 2048)
                         v = piece.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(float)
                         norm = np.sqrt((v * v).sum(axis=1))
-                        best.add(piece.column(0), (q @ v.T) / np.where(norm > 0, norm, np.nan))
+                        score = (q @ v.T) / np.where(norm > 0, norm, np.nan)
+                        allowed = mask(piece.columns[2:])
+                        best.add(piece.column(0), score if allowed is None else np.where(allowed, score, np.nan))
                 got = best.batch()
                 if got is not None:
                     yield got
 
-            found = rows.where(F.size("v") == size).mapInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+            found = rows.where(F.size("v") == size).select("doc_id", "v", *columns).mapInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
             out = found if out is None else out.unionByName(found)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,31 @@ def rrf(sparse: DataFrame, dense: DataFrame, k: int = 10, alpha: float = 0.5, rr
     return scored.selectExpr("query_id", "doc_id", "score", "bm25_score", "dense_score", "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank").where(F.col("rank") <= k)
 
 
+def fused(legs: dict[str, DataFrame], k: int = 10, weights: dict[str, float] | DataFrame | None = None, rrf_k: int = RRF_K) -> DataFrame:
+    """Reciprocal rank fusion of any number of rankings (name to ``query_id, doc_id, score, rank``), each with its weight: the same for all
+    questions, or a table ``query_id`` with a column for each name (a question that it lacks, or a null, weighs 1). A document that a
+    list lacks counts as ``rrf_k`` places after that list's end. ``query_id, doc_id, score, rank`` and ``<name>_score`` of each list.
+
+    The lists are united and grouped once, whatever their number.
+    """
+    names = list(legs)
+    parts = [df.select("query_id", "doc_id", F.lit(i).alias("leg"), F.col("score").cast("double").alias("s"), F.col("rank").alias("r")) for i, df in enumerate(legs.values())]
+    both = reduce(DataFrame.unionByName, parts)
+    of = lambda c, i: F.max(F.when(F.col("leg") == i, F.col(c)))
+    joined = both.groupBy("query_id", "doc_id").agg(*(of("s", i).alias(f"{n}_score") for i, n in enumerate(names)), *(of("r", i).alias(f"r{i}") for i in range(len(names))))
+    sized = joined.selectExpr("*", *(f"count(r{i}) OVER (PARTITION BY query_id) AS n{i}" for i in range(len(names))))
+    if isinstance(weights, DataFrame):
+        own = weights.select("query_id", *(F.col(n).cast("double").alias(f"w{i}") for i, n in enumerate(names)))
+        sized = sized.join(own, "query_id", "left")
+        weight = [F.coalesce(f"w{i}", F.lit(1.0)) for i in range(len(names))]
+    else:
+        weight = [F.lit(float((weights or {}).get(n, 1.0))) for n in names]
+    total = reduce(lambda a, b: a + b, (w / (F.coalesce(f"r{i}", F.col(f"n{i}") + rrf_k) + rrf_k) for i, w in enumerate(weight)))
+    scored = sized.withColumn("score", F.round(total, 9))
+    placed = scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)")).where(F.col("rank") <= k)
+    return placed.select("query_id", "doc_id", "score", *(f"{n}_score" for n in names), "rank")
+
+
 def blended(hits: DataFrame, importance: Column, weight: float = 0.7, digits: int = 6) -> DataFrame:
     """``weight`` of the score and the rest of the importance, ranked anew."""
     scored = hits.withColumn("score", F.round(weight * F.col("score") + (1 - weight) * importance, digits))

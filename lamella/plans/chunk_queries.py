@@ -11,6 +11,7 @@ from ..functions import fixed_values as fv
 from ..functions import text as T
 from ..functions.metadata import metadata
 from ..operators import assembly, bm25, chunking, fusion
+from ..sources.work import work_dir
 from . import index
 from .queries import _ASKED, _BM25, _RANKED, _SECTIONS, QUERIES, _query, _questions, _table
 
@@ -20,7 +21,7 @@ _THAI = "๐๑๒๓๔๕๖๗๘๙"
 
 
 def _path(spark: SparkSession, name: str) -> str:
-    return f"{index.work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @_query(_ASKED + _RANKED.format(_BM25.format("weight"), "score > 0", 10))

@@ -33,16 +33,21 @@ def answers(requests: DataFrame, contexts: DataFrame, generate=default_generator
     return constant.unionByName(told)
 
 
-def remembered(messages: DataFrame, requests: DataFrame, answered: DataFrame, max_answer: int = 500) -> DataFrame:
-    """``messages`` with a user and an assistant message appended for each request (``query_id, session_id, query``); long answers
-    are cut before they are remembered."""
+def appended(messages: DataFrame, requests: DataFrame, answered: DataFrame, max_answer: int = 500) -> DataFrame:
+    """``session_id, seq, role, content``: a user and an assistant message for each request (``query_id, session_id, query``), numbered
+    after the session's last message; long answers are cut."""
     last = messages.groupBy("session_id").agg(F.max("seq").alias("last_seq"))
     order = F.expr("row_number() OVER (PARTITION BY session_id ORDER BY query_id)")
-    both = requests.join(answered.select("query_id", "answer"), "query_id").join(last, "session_id", "left").withColumn("turn", order)
+    both = requests.select("query_id", "session_id", "query").join(answered.select("query_id", "answer"), "query_id").join(last, "session_id", "left").withColumn("turn", order)
     base = F.coalesce("last_seq", F.lit(-1)) + (F.col("turn") - 1) * 2
     pair = F.array(F.struct((base + 1).alias("seq"), F.lit("user").alias("role"), F.col("query").alias("content")), F.struct((base + 2).alias("seq"), F.lit("assistant").alias("role"), F.substring("answer", 1, max_answer).alias("content")))
-    added = both.select("session_id", F.explode(pair).alias("m")).select("session_id", F.col("m.seq").cast("long").alias("seq"), "m.role", "m.content")
-    return messages.select("session_id", F.col("seq").cast("long").alias("seq"), "role", "content").unionByName(added)
+    return both.select("session_id", F.explode(pair).alias("m")).select("session_id", F.col("m.seq").cast("long").alias("seq"), "m.role", "m.content")
+
+
+def remembered(messages: DataFrame, requests: DataFrame, answered: DataFrame, max_answer: int = 500) -> DataFrame:
+    """``messages`` with what ``appended`` adds to them."""
+    held = messages.select("session_id", F.col("seq").cast("long").alias("seq"), "role", "content")
+    return held.unionByName(appended(messages, requests, answered, max_answer))
 
 
 def expanded(tokens: Column, synonyms: dict[str, list[str]]) -> Column:

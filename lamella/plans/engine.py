@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metadata import document_type
@@ -20,6 +21,7 @@ class Config:
     widen: int = 3  # candidates before re-ranking, times top_k
     leg: int = 2  # candidates of each leg, times those
     budget: int = 3000
+    probes: int | None = 8  # cells that a question reads where an index has them; None reads all
 
 
 def build_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,9 +30,9 @@ def build_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return chunking.chunk_tree(clean.withColumn("kind", document_type(F.col("text"))), type_col="kind")
 
 
-def analysed(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
+def analysed(queries: DataFrame, id_col: str = "query_id", text_col: str = "query", tokenise: Callable[[Column], Column] = tokens) -> DataFrame:
     q = F.col(text_col)
-    return queries.select(F.col(id_col).alias("query_id"), q.alias("query"), tokens(q).alias("tokens"), analysis(q).alias("analysis"), route(q).alias("route"))
+    return queries.select(F.col(id_col).alias("query_id"), q.alias("query"), tokenise(q).alias("tokens"), analysis(q).alias("analysis"), route(q).alias("route"))
 
 
 def hybrid(toks: DataFrame, vectors: DataFrame | None, queries: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008

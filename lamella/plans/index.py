@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metadata import metadata
 from ..functions.text import clean_text, tokens
-from ..operators import assembly, bm25, chunking, dense, fusion
+from ..operators import assembly, bm25, cells, chunking, dense, fusion, postings
 from ..sources import index_store
 from .engine import Config, analysed
 
 Embedder = Callable[[Column], Column]
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only in local mode may it be a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="lamella-index-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+Tokeniser = Callable[[Column], Column]
 
 
 def letters(text: Column) -> Column:
@@ -41,35 +30,52 @@ def hashed(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """Documents and chunks with dense vectors, and the chunks' BM25 model; all of them tables at rest."""
+    """Documents and chunks with dense vectors, and the chunks' BM25 model; all of them tables at rest. Questions and re-ranked
+    texts are cut into tokens as the chunks were. With postings and cells both legs read only what a question needs."""
 
     documents: DataFrame
     chunks: DataFrame
     model: bm25.Model
+    tokenise: Tokeniser = tokens
+    postings: postings.Postings | None = None
+    cells: cells.Cells | None = None
+
+
+def inverted(index: Index, path: str, clusters: int = 64, segment_docs: int = postings.SEGMENT_DOCS) -> Index:
+    """The index with postings and vector cells of its chunks, kept under ``path``; both can be searched by level."""
+    held = postings.write(index.model, f"{path}/postings", "hierarchy_level", segment_docs)
+    vectors = cells.write(index.chunks, f"{path}/cells", clusters, id_col="chunk_id", by="hierarchy_level")
+    return replace(index, postings=held, cells=vectors)
+
+
+def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", embed: Embedder = hashed, levels: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Documents (``doc_id, text, metadata, embedding``) and their chunks with embeddings, as an index keeps them."""
+    clean = docs.select(F.col(id_col).alias("doc_id"), clean_text(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    described = clean.withColumn("metadata", metadata(F.col("text"))).withColumn("embedding", embed(F.col("text")))
+    chunks = chunking.chunk_tree(clean.withColumn("kind", metadata(F.col("text"))["document_type"]), type_col="kind", levels=levels)
+    return described, chunks.withColumn("embedding", embed(F.col("text")))
 
 
-def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", embed: Embedder = hashed, levels: int = 3) -> Index:
+def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", embed: Embedder = hashed, levels: int = 3, tokenise: Tokeniser = tokens) -> Index:
     """Clean, describe, chunk, embed and count documents, and keep everything under ``path``. Chunks lie by level, so that
     a level is a pruned scan."""
     spark = docs.sparkSession
-    clean = docs.select(F.col(id_col).alias("doc_id"), clean_text(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    described = clean.withColumn("metadata", metadata(F.col("text"))).withColumn("embedding", embed(F.col("text")))
+    described, chunks = prepared(docs, id_col, text_col, embed, levels)
     index_store.create(spark, f"{path}/documents", described)
-    chunks = chunking.chunk_tree(clean.withColumn("kind", metadata(F.col("text"))["document_type"]), type_col="kind", levels=levels)
-    index_store.write_chunks(chunks.withColumn("embedding", embed(F.col("text"))), f"{path}/chunks")
+    index_store.write_chunks(chunks, f"{path}/chunks")
     stored = index_store.read(spark, f"{path}/chunks")
-    bm25.fit(bm25.tokenised(stored, "chunk_id", keep=["hierarchy_level"]), f"{path}/bm25")
-    return opened(spark, path)
+    bm25.fit(bm25.tokenised(stored, "chunk_id", keep=["hierarchy_level"], tokenise=tokenise), f"{path}/bm25")
+    return opened(spark, path, tokenise)
 
 
-def opened(spark: SparkSession, path: str) -> Index:
-    """An index that ``build`` has kept."""
-    return Index(index_store.read(spark, f"{path}/documents"), index_store.read(spark, f"{path}/chunks"), bm25.load(spark, f"{path}/bm25"))
+def opened(spark: SparkSession, path: str, tokenise: Tokeniser = tokens) -> Index:
+    """An index that ``build`` has kept, with the tokeniser it was built with."""
+    return Index(index_store.read(spark, f"{path}/documents"), index_store.read(spark, f"{path}/chunks"), bm25.load(spark, f"{path}/bm25"), tokenise)
 
 
-def questions(queries: DataFrame, embed: Embedder = hashed, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
+def questions(queries: DataFrame, embed: Embedder = hashed, id_col: str = "query_id", text_col: str = "query", tokenise: Tokeniser = tokens) -> DataFrame:
     """``query_id, query, tokens, vector, target_level, ...`` of questions."""
-    return analysed(queries, id_col, text_col).withColumn("vector", embed(F.col("query"))).withColumn("target_level", F.col("analysis.target_level"))
+    return analysed(queries, id_col, text_col, tokenise).withColumn("vector", embed(F.col("query"))).withColumn("target_level", F.col("analysis.target_level"))
 
 
 def chunk_hits(index: Index, asked: DataFrame, level: int | str | None = None, mode: str = "hybrid", config: Config = Config()) -> DataFrame:  # noqa: B008
@@ -84,8 +90,13 @@ def chunk_hits(index: Index, asked: DataFrame, level: int | str | None = None, m
     wide = config.top_k * config.widen
     at = F.col("hierarchy_level") == level if level is not None else None
     rows = index.chunks if at is None else index.chunks.where(at)
-    sparse = index.model.search(asked.select("query_id", "tokens"), wide * config.leg, where=at) if mode != "dense" else None
-    close = dense.search(rows, asked.select("query_id", "vector"), wide * config.leg, "chunk_id") if mode != "sparse" else None
+    sparse = close = None
+    if mode != "dense":
+        words = asked.select("query_id", "tokens")
+        sparse = index.postings.search(words, wide * config.leg, value=level) if index.postings else index.model.search(words, wide * config.leg, where=at)
+    if mode != "sparse":
+        vectors = asked.select("query_id", "vector")
+        close = index.cells.search(vectors, wide * config.leg, config.probes, level) if index.cells else dense.search(rows, vectors, wide * config.leg, "chunk_id")
     null = F.lit(None).cast("double")
     if sparse is None:
         return close.where(F.col("rank") <= wide).select("query_id", "doc_id", "score", null.alias("bm25_score"), F.col("score").alias("dense_score"), "rank")
@@ -104,7 +115,7 @@ def retrieve(index: Index, asked: DataFrame, level: int | str | None = None, mod
     if not rerank:
         return found.withColumnRenamed("doc_id", "chunk_id").withColumn("rerank_score", F.lit(None).cast("double"))
     words = asked.select("query_id", F.col("tokens").alias("query_tokens"))
-    scored = fusion.rerank(found.join(words, "query_id"), score(F.col("query_tokens"), tokens(F.col("text"))), config.top_k)
+    scored = fusion.rerank(found.join(words, "query_id"), score(F.col("query_tokens"), index.tokenise(F.col("text"))), config.top_k)
     return scored.drop("query_tokens").withColumnRenamed("doc_id", "chunk_id")
 
 
