@@ -146,11 +146,12 @@ def _frequencies(texts: DataFrame, dims: int, fan: int = 16) -> tuple[np.ndarray
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dims: int = 1 << 15, max_rows: int = 4000, **options) -> Model:
-    """Train on rows with a language. At most ``max_rows`` rows reach the driver, as sparse features."""
+    """Train on rows with a language: those of at most ``max_rows`` ids, the smallest by hash. At most ``max_rows`` rows reach the driver, as
+    sparse features, and which ones doesn't depend on how the table is partitioned."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
     df, n = _frequencies(rows.select("text"), dims)
     idf = np.log((1 + n) / (1 + df)) + 1
-    chosen = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("chosen")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).distinct()
+    chosen = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(max_rows)
     sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("text", "lang", F.xxhash64("doc_id").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +160,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             cols = [pa.array([a.astype(np.int32).tobytes() for a, _ in got], pa.binary()), pa.array([weigh(a, n, idf).astype(np.float32).tobytes() for a, n in got], pa.binary())]
             yield pa.RecordBatch.from_arrays([*cols, batch.column(1), batch.column(2)], ["at", "x", "lang", "h"])
 
-    got = sample.mapInArrow(run, "at binary, x binary, lang string, h long").limit(max_rows).toPandas()
+    got = sample.mapInArrow(run, "at binary, x binary, lang string, h long").orderBy("h", "lang", "at", "x").limit(max_rows).toPandas()
     got = got[got["at"].map(len) > 0].sort_values(["h", "lang", "at"])
     langs = sorted(set(got["lang"]))
     if not langs:

@@ -211,8 +211,9 @@ def local_path(folder: str) -> str:
     return "/" + path.lstrip("/")
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, parts: int | None = None, model_dir: str | None = None, flush: int = 3_000_000, per_part: int = 2_000_000) -> Model:
-    """Count all of ``docs`` and write the model's arrays, in at least a range for every ``per_part`` tokens."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, parts: int | None = None, model_dir: str | None = None, flush: int = 3_000_000, per_part: int = 2_000_000, tasks: int = 4096) -> Model:
+    """Count all of ``docs`` and write the model's arrays, in at least a range for every ``per_part`` tokens; each exchange has at most
+    ``tasks`` partitions, whose ranges are settled one after another."""
     if order < 2:
         raise ValueError("the order is two at least")
     spark: SparkSession = docs.sparkSession
@@ -317,7 +318,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     found = rows.mapInArrow(count, schema)
     for k in range(order, 0, -1):  # each exchange merges the runs of one order and the contexts of the one above
         of = (_RUNS + k, _CONTEXTS + k + 1) if k > 1 else (_CONTEXTS + 2, _WORDS)
-        found = found.repartition(parts, F.xxhash64("kind", "part")).sortWithinPartitions("kind", "part").mapInArrow(merge(of), schema)
+        found = found.repartition(min(parts, tasks), F.xxhash64("kind", "part")).sortWithinPartitions("kind", "part").mapInArrow(merge(of), schema)
     told = F.split(F.col("blob").cast("string"), " ")
     totals = found.where(F.col("kind") == _SUMS).groupBy(told[0].alias("name")).agg(*(F.sum(told[i].cast("long")).alias(f"s{i}") for i in range(1, 8)))
     for r in totals.collect():  # a row for each order
@@ -329,27 +330,47 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             model.discount[int(name[3:])] = discounts(seen[:4])
             if name == "run2":
                 model.n_pairs = n
+    _complete(spark, model)
     return model
 
 
+def _complete(spark: SparkSession, model: Model) -> None:
+    """Empty arrays for the ranges into which nothing fell, so that each has its files. Tasks look for themselves; the driver lists nothing."""
+    kinds = [("word", 2, model.parts)]
+    for k in range(2, model.order + 1):
+        kinds += [(f"context{k}", 4, model.parts), (f"run{k}", 0, model.parts + len(model.bounds.get(k, [])))]  # runs have cuts besides
+    most = max(n for _, _, n in kinds)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                for kind, columns, n in kinds:
+                    name = f"{model.path}/{kind}-{p}"
+                    if p < n and not os.path.exists(f"{name}-n.npy"):
+                        _save(f"{name}-key.npy", np.zeros(0, np.uint64))
+                        _save(f"{name}-n.npy", np.zeros((0, columns) if columns else 0, np.uint8))
+            yield batch
+
+    ranges = spark.range(0, most, 1, min(most, spark.sparkContext.defaultParallelism))
+    ranges.mapInArrow(fill, "id long").write.format("noop").mode("overwrite").save()
+
+
 class Lookup:
     """A worker's view of the arrays: files are mapped into memory when a key first falls into them, the last ``most`` stay."""
 
     def __init__(self, model: Model, most: int = 8192) -> None:
         self.m = model
         self.most = most
-        self._open: OrderedDict[str, tuple[np.ndarray, np.ndarray] | None] = OrderedDict()
+        self._open: OrderedDict[str, tuple[np.ndarray, np.ndarray]] = OrderedDict()
 
-    def _file(self, name: str) -> tuple[np.ndarray, np.ndarray] | None:
+    def _file(self, name: str) -> tuple[np.ndarray, np.ndarray]:
         if name in self._open:
             self._open.move_to_end(name)
         else:
             if len(self._open) >= self.most:
                 self._open.popitem(last=False)
-            try:
-                self._open[name] = tuple(np.load(f"{self.m.path}/{name}-{x}.npy", mmap_mode="r") for x in ("key", "n"))  # type: ignore[assignment]
-            except FileNotFoundError:  # nothing fell into that range
-                self._open[name] = None
+            # training leaves files for every range: a missing one is lost, or the folder isn't mounted here
+            self._open[name] = tuple(np.load(f"{self.m.path}/{name}-{x}.npy", mmap_mode="r") for x in ("key", "n"))  # type: ignore[assignment]
         return self._open[name]
 
     def find(self, kind: str, keys: np.ndarray, part: np.ndarray, columns: int) -> np.ndarray:
@@ -359,9 +380,8 @@ class Lookup:
         out = np.zeros((len(keys), columns), np.int64)
         first = np.flatnonzero(np.concatenate([[True], sorted_part[1:] != sorted_part[:-1]])) if len(keys) else np.empty(0, np.int64)
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
-            got = self._file(f"{kind}-{sorted_part[a]}")
-            if got is not None:
-                have, vals = got
+            have, vals = self._file(f"{kind}-{sorted_part[a]}")
+            if len(have):
                 mine = keys[order[a:b]]
                 at = np.minimum(np.searchsorted(have, mine), len(have) - 1)
                 ok = have[at] == mine

@@ -10,7 +10,9 @@ what else it takes for personal or secret. Texts are searched once: candidates a
 training and the result read them.
 
 Positions come from pairs (gap, match) that tile the text: the gap is lazy and anchored at the last match's
-end, so a text is read once, and a match never starts inside a run that an earlier start would have covered.
+end, so a text is read once, and a match never starts inside a run that an earlier start would have covered. The pairs are
+summed in blocks, what stands before and after a match is carried along, and redaction takes its pieces from blocks of the text, so that
+the work grows in proportion to the text and its matches.
 
 Defined cases: null text is empty and has no spans; ids may be null or repeat, rows stay as they are; without
 any candidate nothing is added; an empty table gives an empty result; other columns are not read (``redact``
@@ -40,7 +42,7 @@ _PATTERNS = {
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
     "secret": (
         r"AKIA[0-9A-Z]{16}|(?i:password|passwd|secret|token|api_?key)",
-        r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}\x22?[A-Za-z0-9+/_-]{8,200}+\x22?)",
+        r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}\x22?[A-Za-z0-9+/_.=~-]{8,}(?<!\.)\x22?)",
     ),
 }
 #: Country calling codes of one to three digits by first digits, common top-level domains, words
@@ -70,7 +72,37 @@ def _valid(kind: str, m: str) -> str:
     return "true"
 
 
-def _votes(x: str, text: str) -> str:
+_BLOCK = 256  # pairs or spans that are folded together
+_CHARS = 4096  # code points of a block of text
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _blocks(array: str) -> str:
+    return f"transform(sequence(0, greatest(size({array}) - 1, 0) div {_BLOCK}), j -> slice({array}, {_BLOCK} * j + 1, {_BLOCK}))"
+
+
+def _tiled(pairs: str, kind: str, text: str) -> str:
+    """SQL for structs (kind, s, e, m, before, after) from pairs (gap, hit); before has up to 20 characters, after one."""
+    size, back = "length(p.gap) + length(p.hit)", "right(concat({}, p.gap, p.hit), 20)"
+    starts = (
+        "aggregate(c, array(struct(0 AS pos, '' AS back)), (z, b) -> array_append(z, struct("
+        f"element_at(z, -1).pos + aggregate(b, 0, (n, p) -> n + {size}) AS pos, aggregate(b, element_at(z, -1).back, (y, p) -> {back.format('y')}) AS back)))"
+    )
+    found = "struct(z.pos + length(p.gap) AS s, z.pos + length(p.gap) + length(p.hit) AS e, p.hit AS m, right(concat(z.back, p.gap), 20) AS before)"
+    each = (
+        "aggregate(b, struct(st.pos AS pos, st.back AS back, cast(array() AS array<struct<s int, e int, m string, before string>>) AS found), "
+        f"(z, p) -> struct(z.pos + {size} AS pos, {back.format('z.back')} AS back, array_append(z.found, {found}) AS found), z -> z.found)"
+    )
+    flat = _let(_blocks("t"), "c", f"flatten(zip_with(c, slice({starts}, 1, size(c)), (b, st) -> {each}))")
+    follows = f"IF(i + 1 < size(t), left(IF(element_at(t, i + 2).gap <> '', element_at(t, i + 2).gap, element_at(t, i + 2).hit), 1), substring({text}, f.e + 1, 1))"
+    return _let(pairs, "t", f"transform({flat}, (f, i) -> struct('{kind}' AS kind, f.s AS s, f.e AS e, f.m AS m, f.before AS before, {follows} AS after))")
+
+
+def _votes(x: str) -> str:
     """The five votes on a candidate (1 yes, -1 no, 0 nothing), as an array."""
     m, kind = f"{x}.m", f"{x}.kind"
     digits = _DIGITS.format(m=m)
@@ -80,8 +112,8 @@ def _votes(x: str, text: str) -> str:
         f"WHEN 'card' THEN IF({digits} RLIKE {_lit(_ISSUERS)} AND length({digits}) BETWEEN 14 AND 19, 1, -1) "
         f"WHEN 'phone' THEN IF({m} RLIKE {_lit(_CALLING)}, 1, -1) ELSE IF({m} LIKE 'AKIA%' OR {m} RLIKE '[0-9]', 1, -1) END"
     )
-    before = f"substring({text}, greatest({x}.s - 19, 1), least({x}.s, 20))"
-    around = f"concat(IF({x}.s = 0, ' ', substring({text}, {x}.s, 1)), IF({x}.e >= length({text}), ' ', substring({text}, {x}.e + 1, 1)))"
+    before = f"{x}.before"
+    around = f"concat(IF({x}.s = 0, ' ', right({x}.before, 1)), IF({x}.after = '', ' ', {x}.after))"
     return (
         f"array(IF({x}.base, 1, -1), {gazetteer}, IF({before} RLIKE {_lit(_CUES)}, 1, 0), "
         f"IF({around} RLIKE {_lit(r'^[\s(<,;:x22x27|][\s)>,;:.!?x22x27|]$'.replace('x22', chr(92) + 'x22').replace('x27', chr(92) + 'x27'))}, 1, -1), "
@@ -103,16 +135,14 @@ def candidates(docs: DataFrame, text: str = "text", name: str = "spans") -> Data
         cheap, pattern = _PATTERNS[kind]
         tiled = _lit(rf"(?s)\G(.*?)({pattern})")
         may = f"contains({text}, '@')" if kind == "email" else f"{text} RLIKE {_lit(cheap)}"
-        pairs = f"zip_with(regexp_extract_all({text}, {tiled}, 1), regexp_extract_all({text}, {tiled}, 2), (gap, hit) -> struct(length(gap) AS gap, hit))"
-        placed = (
-            f"aggregate({pairs}, struct(0 AS pos, cast(array() AS array<struct<kind string, s int, e int, m string>>) AS found), "
-            f"(z, p) -> struct(z.pos + p.gap + length(p.hit) AS pos, array_append(z.found, struct('{kind}' AS kind, z.pos + p.gap AS s, z.pos + p.gap + length(p.hit) AS e, p.hit AS m)) AS found), z -> z.found)"
-        )
+        pairs = f"zip_with(regexp_extract_all({text}, {tiled}, 1), regexp_extract_all({text}, {tiled}, 2), (gap, hit) -> struct(gap, hit))"
+        placed = _tiled(pairs, kind, text)
         base = _valid(kind, "c.m") if kind in BASE else "false"
         kept = f"filter({placed}, c -> length({_DIGITS.format(m='c.m')}) BETWEEN 12 AND 19)" if kind == "card" else placed
-        parts.append(f"IF({may}, transform({kept}, c -> struct(c.kind AS kind, c.s AS s, c.e AS e, c.m AS m, {base} AS base)), cast(array() AS array<struct<kind string, s int, e int, m string, base boolean>>))")
+        fields = "c.kind AS kind, c.s AS s, c.e AS e, c.m AS m, c.before AS before, c.after AS after"
+        parts.append(f"IF({may}, transform({kept}, c -> struct({fields}, {base} AS base)), cast(array() AS array<struct<kind string, s int, e int, m string, before string, after string, base boolean>>))")
     found = docs.withColumn(found_in, F.expr(f"concat({', '.join(parts)})"))
-    voted = f"transform({found_in}, c -> struct(c.kind AS kind, c.s AS s, c.e AS e, c.m AS m, c.base AS base, {_votes('c', text)} AS votes, {_shape('c')} AS shape))"
+    voted = f"transform({found_in}, c -> struct(c.kind AS kind, c.s AS s, c.e AS e, c.m AS m, c.base AS base, {_votes('c')} AS votes, {_shape('c')} AS shape))"
     return found.withColumn(name, F.expr(voted)).drop(found_in)
 
 
@@ -205,10 +235,23 @@ def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> D
     found = stored(candidates(docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))), text, spans).drop(text), "spans")
     model = fit(found, spans)
     chosen = _sorted(f"filter({spans}, c -> c.base OR {model.probability('c')} >= {threshold}D)")
-    folded = (
-        f"aggregate({chosen}, struct(0 AS pos, '' AS done), (z, c) -> IF(c.s >= z.pos, "
-        f"struct(c.e AS pos, concat(z.done, substring({text}, z.pos + 1, c.s - z.pos), '<', upper(element_at({_ORDER}, cast(c.k AS int))), '>') AS done), "
-        f"struct(greatest(z.pos, c.e) AS pos, z.done AS done)), z -> concat(z.done, substring({text}, z.pos + 1)))"
+    # each span with the end of all before it: one that begins earlier is covered by their mark
+    starts = "aggregate(c, array(0), (z, b) -> array_append(z, greatest(element_at(z, -1), array_max(transform(b, x -> x.e)))))"
+    each = (
+        "aggregate(b, struct(st AS pos, cast(array() AS array<struct<pos int, s int, k bigint, e int>>) AS done), "
+        "(z, x) -> struct(greatest(z.pos, x.e) AS pos, array_append(z.done, struct(z.pos AS pos, x.s AS s, x.k AS k, x.e AS e)) AS done), z -> z.done)"
+    )
+    marked = _let(chosen, "t", _let(_blocks("t"), "c", f"flatten(zip_with(c, slice({starts}, 1, size(c)), (b, st) -> {each}))"))
+    block = lambda at: f"coalesce(get(w, {at} div {_CHARS}), '')"
+    gap = (
+        f"CASE WHEN x.s = x.pos THEN '' WHEN x.pos div {_CHARS} = (x.s - 1) div {_CHARS} THEN substring({block('x.pos')}, x.pos % {_CHARS} + 1, x.s - x.pos) "
+        f"ELSE concat(substring({block('x.pos')}, x.pos % {_CHARS} + 1), array_join(slice(w, cast(x.pos div {_CHARS} + 2 AS int), cast((x.s - 1) div {_CHARS} - x.pos div {_CHARS} - 1 AS int)), ''), "
+        f"substring({block('(x.s - 1)')}, 1, cast(x.s - (x.s - 1) div {_CHARS} * {_CHARS} AS int))) END"
     )
+    marks = f"array_join(transform(filter(m, x -> x.s >= x.pos), x -> concat({gap}, '<', upper(element_at({_ORDER}, cast(x.k AS int))), '>')), '')"
+    last = "array_max(transform(m, x -> x.e))"
+    tail = _let(last, "e", f"concat(substring({block('e')}, e % {_CHARS} + 1), array_join(slice(w, cast(e div {_CHARS} + 2 AS int), size(w)), ''))")
+    pieces = _lit(rf"(?s).{{1,{_CHARS}}}")
+    folded = _let(marked, "m", f"IF(size(m) = 0, {text}, {_let(f'regexp_extract_all({text}, {pieces}, 0)', 'w', f'concat({marks}, {tail})')})")
     out = found.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return out.withColumn(text_col, F.when(F.size(spans) > 0, F.expr(folded)).otherwise(F.col(text_col))).select(*docs.columns)

@@ -21,6 +21,7 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -352,13 +353,13 @@ def _tries(p: float, prefix: int, limit: int, miss: float) -> int:
     return tries
 
 
-def similar_links(classes: DataFrame, similarity: float, miss: float = 0.02, unit_limit: int = 50_000) -> DataFrame:
+def similar_links(classes: DataFrame, similarity: float, miss: float = 0.02, prefix: int = 14, unit_limit: int = 50_000) -> DataFrame:
     """Candidate links ``(a, b)`` over classes (``fp, wide``): they connect all of at least ``similarity``, and others.
 
     A similarity of 0.8 leaves too many differing bits for four blocks, so there are more tries, each over its
-    own order of 64 of the bits, and a pair is met where it agrees in the first ``prefix`` bits of one. The
-    prefix follows the number of classes, which keeps units small; the number of tries follows from it such
-    that a pair at the threshold is missed with probability ``miss`` at most, and closer pairs far less. The walk
+    own order of 64 of the bits, and a pair is met where it agrees in the first ``prefix`` bits of one. The number of
+    tries follows from the prefix such that a pair of large sets at the threshold is missed with probability ``miss`` at most, and closer pairs
+    far less; neither depends on the table. (Sets of a few shingles, whose votes tie, are ``few_links``' part.) The walk
     allows three standard deviations over the expected bits. A unit above ``unit_limit`` classes is dealt to chunks,
     each pair of which is a unit of its own.
     """
@@ -366,7 +367,6 @@ def similar_links(classes: DataFrame, similarity: float, miss: float = 0.02, uni
     p = differing_share(similarity)
     bits = BITS * WORDS
     budget, wide_budget = (int(np.ceil(m * p + 3 * np.sqrt(m * p * (1 - p)))) for m in (BITS, bits))
-    prefix = int(np.clip(np.ceil(np.log2(max(n, 2))) - 4, 6, 28))
     tries = _tries(p, prefix, wide_budget, miss)
     orders = np.stack([np.random.default_rng(i).permutation(bits)[:BITS] for i in range(tries)])
 
@@ -423,6 +423,32 @@ def similar_links(classes: DataFrame, similarity: float, miss: float = 0.02, uni
     return met.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
+#: Sets of so many shingles are few, and so many common ones of the least are a key.
+FEW, _COMMON = 20, 3
+
+
+def few_keys(h: np.ndarray, similarity: float) -> list[int]:
+    """Keys of a set (sorted hashes) of at most ``FEW`` shingles: every choice of ``_COMMON`` of its first ones.
+
+    Two sets of n and m elements with the similarity share ``o = ceil(similarity * max(n, m))`` elements at least, so their n - o + 3
+    and m - o + 3 smallest have three in common: such a pair meets in a key.
+    """
+    n = len(h)
+    if not _COMMON < n <= FEW:
+        return []  # equal sets are one class, and with three or fewer no other set is similar enough above 0.75
+    first = h[: n - int(np.ceil(similarity * n - 1e-9)) + _COMMON].tolist()
+    return [int(np.uint64(xxhash.xxh3_64_intdigest(np.array(x, "<u8").tobytes())).view(np.int64)) for x in combinations(first, _COMMON)]
+
+
+def few_links(classes: DataFrame) -> DataFrame:
+    """Candidate links ``(a, b)`` over classes (``fp, keys``): they connect all pairs of small sets that are similar enough, without
+    exception. Each class is linked to the smallest one with the same key, so no group becomes pairs."""
+    each = classes.where("size(keys) > 0").select("fp", F.explode("keys").alias("key"))
+    low = stored(each.groupBy("key").agg(F.min("fp").alias("first"), F.count("*").alias("n")).where("n > 1"), "keys")
+    total = low.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_hot(each, low, "key", "n", total).where("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+
+
 def _alike(common: np.ndarray, m: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets of m and n elements with so many common ones reach the similarity."""
     return common >= similarity * (m + n - common) - 1e-9
@@ -451,12 +477,12 @@ def exact_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray,
     return far, root[far]
 
 
-def verified_links(sets: DataFrame, similarity: float, block: int = 512, rounds: int = 4) -> DataFrame:
+def verified_links(sets: DataFrame, similarity: float, block: int = 512, rounds: int = 6) -> DataFrame:
     """Links ``(a, b)`` that connect exactly those classes of one candidate component that links of ``similarity`` connect.
 
     ``sets`` (``root, fp, set``) has the shingles of each class. A component of at most ``block`` classes is one unit
-    of work. In a larger one every class is first compared with one pivot, for some rounds; what then has different
-    pivots is dealt to blocks, and each pair of blocks is a unit.
+    of work. In a larger one every class is first compared with one pivot, for some rounds, each pivot being one that was near to none
+    before; what the pivots don't connect is dealt to blocks, and each pair of blocks of different groups is a unit.
     """
 
     def as_sets(column: pa.Array) -> list[np.ndarray]:
@@ -486,27 +512,31 @@ def verified_links(sets: DataFrame, similarity: float, block: int = 512, rounds:
 
     sizes = stored(sets.groupBy("root").agg(F.count("*").alias("n")), "sizes")
     out = within(sets.join(sizes.where(F.col("n") <= block), "root").withColumn("unit", F.col("root").cast("string")))
-    large = sizes.where(F.col("n") > block).select("root")
-    if large.isEmpty():
+    if sizes.where(F.col("n") > block).isEmpty():
         return out
 
     def by_pivot(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = [bool(_alike(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), similarity)) for a, b in zip(as_sets(batch.column(2)), as_sets(batch.column(4)), strict=True)]
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pa.array(ok, pa.bool_())], ["root", "fp", "pivot", "ok"])
 
-    left = stored(sets.join(large, "root"), "large")
-    labels = None
-    all_large = left
+    # rows of a component are dealt to parts, and its pivot goes to each of them
+    parts = sizes.where(F.col("n") > block).select("root", F.ceil(F.col("n") / 4096).cast("int").alias("parts"))
+    every = stored(sets.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int")), "large")
+    left, edges = every, None
     for _ in range(rounds):
-        pivots = stored(left.groupBy("root").agg(F.min(F.struct("fp", "set")).alias("s")).select("root", F.col("s.fp").alias("pivot"), F.col("s.set").alias("pivot_set")), "pivots")
-        judged = stored(left.join(pivots, "root").select("root", "fp", "set", "pivot", "pivot_set").mapInArrow(per_batch(by_pivot), "root long, fp long, pivot long, ok boolean"), "judged")
-        now = judged.where("ok").select("root", "fp", F.col("pivot").alias("label"))
-        labels = now if labels is None else labels.unionByName(now)
-        left = stored(left.join(judged.where("NOT ok").select("fp"), "fp", "left_semi").select("root", "fp", "set"), "left")
+        pivots = left.groupBy("root").agg(F.min(F.struct("fp", "set")).alias("s"), F.max("parts").alias("parts"))
+        pivots = stored(pivots.select("root", F.col("s.fp").alias("pivot"), F.col("s.set").alias("pivot_set"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "pivots")
+        # all of the component, not only what is left: who is near two pivots joins their groups
+        met = every.join(pivots, ["root", "part"]).select("root", "fp", "set", "pivot", "pivot_set")
+        judged = stored(met.mapInArrow(per_batch(by_pivot), "root long, fp long, pivot long, ok boolean"), "judged").where("ok")
+        now = judged.select("root", "fp", "pivot")
+        edges = now if edges is None else edges.unionByName(now)
+        left = stored(left.join(now.select("fp"), "fp", "left_anti"), "left")
         if left.isEmpty():
             break
-    labels = stored(labels.unionByName(left.select("root", "fp", F.lit(None).cast("long").alias("label"))), "pivoted")
-    out = out.unionByName(labels.where("label <> fp").select(F.col("fp").alias("a"), F.col("label").alias("b")))
+    out = out.unionByName(edges.where("pivot <> fp").select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
+    grouped = components(edges.where("pivot <> fp").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))).select(F.col("node").alias("fp"), F.col("root").alias("label"))
+    labels = stored(every.select("root", "fp").join(grouped, "fp", "left"), "pivoted")
     groups = labels.groupBy("root", "label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     groups = stored(groups.withColumn("others", F.count("*").over(Window.partitionBy("root"))).where("others > 1 OR label IS NULL").drop("others"), "groups")
     blocks = groups.select("root", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).withColumn("block", F.concat_ws(" ", F.coalesce(F.col("label").cast("string"), F.lit("-")), "k"))
@@ -515,28 +545,31 @@ def verified_links(sets: DataFrame, similarity: float, block: int = 512, rounds:
     units = pairs.select(F.concat_ws(" ", "root", "block", "block2").alias("unit"), "root", F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
     placed = labels.join(groups.withColumnRenamed("root", "r").withColumnRenamed("label", "l"), F.expr("root = r AND label <=> l"))
     placed = placed.select("fp", "root", F.concat_ws(" ", F.coalesce(F.col("label").cast("string"), F.lit("-")), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("string")).alias("block"))
-    rows = all_large.select("fp", "set").join(placed, "fp").join(units, ["root", "block"])
+    rows = every.select("fp", "set").join(placed, "fp").join(units, ["root", "block"])
     return out.unionByName(within(rows))
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, miss: float = 0.02, unit_limit: int = 50_000, block: int = 512) -> DataFrame:
-    """``doc_id, fp, component_id`` for links of a Jaccard similarity of at least ``similarity`` between sets of word
-    shingles. fp names the class of equal sets. Candidates come from 256-bit fingerprints, which miss a pair at the
-    threshold with probability ``miss`` at most; the sets themselves decide."""
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, miss: float = 0.02, prefix: int = 14, unit_limit: int = 50_000, block: int = 512) -> DataFrame:
+    """``doc_id, fp, component_id`` for links of a Jaccard similarity of at least ``similarity`` (over 0.75) between sets of word
+    shingles. fp names the class of equal sets. Candidates come from 256-bit fingerprints, which miss a pair of large sets at the
+    threshold with probability ``miss`` at most, and between sets of up to ``FEW`` shingles from common ones, which miss none; the sets
+    themselves decide."""
+    if similarity <= 0.75:
+        raise ValueError("sets of three shingles have no keys, and reach 0.75 with another set")
     source = texts(docs, id_col, text_col)
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(x, shingle) for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_wide(h).astype("<u8").tobytes() for h in sets], pa.binary()), pa.array([_class_of(h) for h in sets], pa.int64())], ["doc_id", "wide", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_wide(h).astype("<u8").tobytes() for h in sets], pa.binary()), pa.array([_class_of(h) for h in sets], pa.int64()), pa.array([few_keys(h, similarity) for h in sets], pa.list_(pa.int64()))], ["doc_id", "wide", "fp", "keys"])
 
     def again(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(x, shingle) for x in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array([_class_of(h) for h in sets], pa.int64()), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], ["of", "set"])
 
-    each = stored(source.mapInArrow(per_batch(run), f"doc_id {id_type}, wide binary, fp long"), "fingerprints")
-    classes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("wide").alias("wide")), "classes")
-    near = components(similar_links(classes, similarity, miss, unit_limit))
+    each = stored(source.mapInArrow(per_batch(run), f"doc_id {id_type}, wide binary, fp long, keys array<long>"), "fingerprints")
+    classes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("wide").alias("wide"), F.min("keys").alias("keys")), "classes")
+    near = components(similar_links(classes, similarity, miss, prefix, unit_limit).unionByName(few_links(classes)))
     near = stored(near.join(classes, near.node == classes.fp).select("fp", "root", "first_id"), "near")
     wanted = near.select(F.col("first_id").alias("wanted_id")).distinct()
     held = source.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("raw")

@@ -97,3 +97,12 @@ def Counter2(items):
     for x in items:
         out[x] = out.get(x, 0) + 1
     return out
+
+
+def test_repeated_ids_do_not_crowd_out_others(spark):
+    """400 rows of 20 ids in two languages: the bound is one of ids first, so all of them train."""
+    rows = [(i % 20, "abc abd " * 5 if i % 2 else "xyz xzz " * 5, "aa" if i % 2 else "xx") for i in range(400)]
+    models = [langid.fit(spark.createDataFrame(rows[::step], "doc_id long, text string, lang string").repartition(n), dims=1 << 10, max_rows=200) for step, n in ((1, 7), (-1, 2))]
+    assert [m.langs for m in models] == [["aa", "xx"]] * 2
+    assert (models[0].weights == models[1].weights).all()
+    assert models[0].predict("abd abc")[0] == "aa" and models[0].predict("xyz")[0] == "xx"

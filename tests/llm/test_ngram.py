@@ -93,3 +93,18 @@ def test_runs_with_one_context_and_range_key_are_kept_apart():
     words = [rng.integers(0, 1 << 63, 200_000).astype(np.uint64) for _ in range(2)]
     words[0][:] = 12345  # one context with many followers
     assert len(np.unique(ngram.run_hash(words))) == 200_000
+
+
+def test_lost_files_are_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c d{i}") for i in range(50)], "doc_id long, text string")
+    model = ngram.train(docs, model_dir=str(tmp_path), parts=40)
+    want = sorted(ngram.score(docs, model).collect())
+    files = sorted(p.name for p in (tmp_path / model.path.rsplit("/", 1)[1]).iterdir())
+    ranges = {"word": 40, "context2": 40, "run2": 40 + len(model.bounds[2])}
+    assert files == sorted(f"{kind}-{p}-{x}.npy" for kind, n in ranges.items() for p in range(n) for x in ("key", "n"))
+    few = ngram.train(docs, model_dir=str(tmp_path), parts=40, tasks=3)
+    assert sorted(ngram.score(docs, few).collect()) == want
+    some = next(p for p in (tmp_path / model.path.rsplit("/", 1)[1]).glob("word-*-key.npy") if len(np.load(p)))
+    some.unlink()
+    with pytest.raises(Exception, match="No such file"):
+        ngram.score(docs, model).collect()

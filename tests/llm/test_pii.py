@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -99,3 +100,44 @@ def test_redaction_keeps_clashing_columns_and_leaks_nothing(spark):
     got = pii.redact(docs).orderBy("doc_id").collect()
     assert got[0].asDict() == {"doc_id": 1, "text": "write to <EMAIL>", "text_in": "a", "spans_in": "b", "found": "c", "__text": "d"}
     assert got[1].text is None
+
+
+def redacted(text, spans):
+    """``text`` with spans (kind:start:end, in order) replaced; overlapping ones become the first one's mark."""
+    out, pos = [], 0
+    for span in filter(None, spans.split(",")):
+        kind, s, e = span.split(":")
+        if int(s) >= pos:
+            out += [text[pos : int(s)], f"<{kind.upper()}>"]
+        pos = max(pos, int(e))
+    return "".join([*out, text[pos:]])
+
+
+def test_redaction_replaces_exactly_the_reported_spans(spark):
+    rng = random.Random(11)
+    long = ["".join(rng.choice(["é", "word ", "😀", "1.2.3.4 ", "a@b.co,", "+1 (988) 555-2485 ", "x" * 5000, "4111 1111 1111 1111 "]) for _ in range(n)) for n in (10, 300, 3000)]
+    texts = [*corpus(), *long, "x" * 4095 + "1.2.3.4", "x" * 4096 + "1.2.3.4" + "y" * 4085 + "1.2.3.4", "1.2.3.4" + "é" * 9000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    spans = {r.doc_id: r.spans for r in pii.detect(docs).collect()}
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (None if t is None else redacted(t, spans[i])), i
+
+
+def test_long_secrets_are_redacted_whole(spark):
+    secret = "Ab9-_/+.=~" * 100_000
+    docs = spark.createDataFrame([(0, f"see api_key = {secret} and more"), (1, "token: eyJhbGciOi.J9.eyJzdWIiOiIx.c2ln~x= end."), (2, "password=hunter2abc.")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {0: "see <SECRET> and more", 1: "<SECRET> end.", 2: "<SECRET>."}
+
+
+def test_many_matches_in_one_text_take_seconds(spark):
+    n = 100_000
+    text = "".join(f"10.{i % 256}.{i // 256 % 256}.7 \n" for i in range(n))
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    began = time.time()
+    (row,) = pii.detect(docs).collect()
+    assert row.n_ip == n
+    assert row.base_spans == ",".join(f"ip:{m.start()}:{m.end()}" for m in re.finditer(r"[0-9.]+", text))
+    (row,) = pii.redact(docs).collect()
+    assert row.text == "<IP> \n" * n
+    assert time.time() - began < 120

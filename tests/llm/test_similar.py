@@ -53,6 +53,38 @@ def test_components_match_brute_force(spark, block, unit_limit):
     assert got == want
 
 
+def test_small_sets_are_never_missed(spark):
+    """Sets of up to 25 shingles with a word more, fewer or changed at an end or inside: every pair of up to 20 shingles is found."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(3, 24))]
+        copies = [words, words[1:], words[:-1], [*words, "new"], ["new", *words], words[2:], [*words, "x", "y"], ["z", *words[1:]]]
+        rows += [(100 * g + k, " ".join(w)) for k, w in enumerate(copies)]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = {}
+    for g in range(400):
+        own = [r for r in rows if r[0] // 100 == g]
+        want |= dict(zip([i for i, _ in own], brute(own), strict=True))
+    near = {i for i, t in rows if len(t.split()) <= 24}
+    assert {i: c for i, c in got.items() if i in near and want[i] in near} == {i: c for i, c in want.items() if i in near and c in near}
+    with pytest.raises(ValueError, match="three shingles"):
+        simhash.similar(spark.createDataFrame(rows[:1], "doc_id long, text string"), similarity=0.75)
+
+
+def test_groups_that_pivots_connect(spark):
+    """A long chain of texts, each near its neighbours only, and a large group of edited copies."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    chain = [word() for _ in range(700)]
+    rows = [(i, " ".join(chain[5 * i : 5 * i + 100])) for i in range(100)]
+    base = [word() for _ in range(150)]
+    rows += [(1000 + i, " ".join(word() if rng.random() < 0.012 else w for w in base)) for i in range(500)]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block=16).collect()}
+    assert got == dict(zip([i for i, _ in rows], brute(rows), strict=True))
+
+
 def test_exact_links():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [1, 2, 3, 9], [], [9, 10])]
     a, b = simhash.exact_links(sets, 0.8)
