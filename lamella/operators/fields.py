@@ -16,8 +16,12 @@ WEIGHTS = {"title": 3.0, "category": 2.0, "tags": 2.0, "keywords": 1.0}
 
 def field_terms(docs: DataFrame, fields: dict[str, Column], weights: dict[str, float], id_col: str = "doc_id", tokenise: Callable[[Column], Column] = tokens, keep: list[str] | None = None) -> DataFrame:
     """``doc_id, length, terms, tfs``: for every distinct word of a field an entry with the field's weight. Null fields have none."""
-    entries = [F.transform(F.array_distinct(tokenise(F.coalesce(c, F.lit("")))), lambda t, w=weights[name]: F.struct(t.alias("term"), F.lit(float(w)).alias("weight"))) for name, c in fields.items()]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.flatten(F.array(*entries)).alias("e"), *(keep or []))
+
+    def entries(field: Column, weight: float) -> Column:
+        return F.transform(F.array_distinct(tokenise(F.coalesce(field, F.lit("")))), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("weight")))
+
+    every = F.flatten(F.array(*(entries(c, weights[name]) for name, c in fields.items())))
+    rows = docs.select(F.col(id_col).alias("doc_id"), every.alias("e"), *(keep or []))
     return rows.select("doc_id", F.size("e").alias("length"), F.col("e.term").alias("terms"), F.col("e.weight").alias("tfs"), *(keep or []))
 
 

@@ -12,6 +12,7 @@ from ..functions.metadata import document_type
 from ..functions.query import analysis, route
 from ..functions.text import clean_text, tokens
 from ..operators import assembly, bm25, chunking, dense, fusion
+from .dialogue import alpha_by_type
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,12 @@ def analysed(queries: DataFrame, id_col: str = "query_id", text_col: str = "quer
     return queries.select(F.col(id_col).alias("query_id"), q.alias("query"), tokenise(q).alias("tokens"), analysis(q).alias("analysis"), route(q).alias("route"))
 
 
+def leg_weights(asked: DataFrame, fields: float = 0.25) -> DataFrame:
+    """``query_id, bm25, dense, fields``: each question's weights of the three legs for ``fusion.fused``; the first two follow its type."""
+    alpha = alpha_by_type(F.col("analysis.query_type"))
+    return asked.select("query_id", alpha.alias("bm25"), (1 - alpha).alias("dense"), F.lit(fields).alias("fields"))
+
+
 def hybrid(toks: DataFrame, vectors: DataFrame | None, queries: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
     """Both legs, fused. ``queries`` has query_id, tokens and vector; without ``vectors`` the sparse leg stands alone."""
     wide = config.top_k * config.widen

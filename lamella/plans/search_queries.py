@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import segment
-from ..operators import assembly, bm25, cells, dense, postings
-from . import chain, dialogue, incremental, index
+from ..functions.metadata import title
+from ..operators import assembly, bm25, cells, dense, fields, fusion, postings
+from . import chain, dialogue, engine, incremental, index
 from .chunk_queries import _BELOW, _CHUNKS, _FUSED, QUERIES, _index, _path
 from .engine import Config
 from .queries import _ASKED, _BM25, _DENSE, _RANKED, _messages, _query, _questions, _table, _vector_queries
@@ -100,14 +101,14 @@ _DOMAIN = "CASE WHEN item_id % 2 = 0 THEN 'ที่ดิน ' || text ELSE tex
 @_query(
     _CHUNKS.replace("text, list_filter(string_split_regex(lower(text), '[^\\pL\\pM\\pN]+'), lambda x: x <> '') AS toks FROM benchmark", f"text, list_filter(string_split_regex(lower(text), '[^\\pL\\pM\\pN]+'), lambda x: x <> '') AS toks FROM (SELECT item_id, {_DOMAIN} AS text FROM benchmark)")
     + _BELOW
-    + f""", x AS (SELECT query_id, rank, 'source: ' || document_id || chr(10) || 'section: {assembly.NO_SECTION}' || chr(10) || 'level: 0' || chr(10) || text || chr(10) || array_to_string(list_transform(texts[:2], lambda c: left(c, 200) || '...'), chr(10)) AS t FROM h JOIN k USING (document_id) WHERE rank <= 3),
-    told AS (SELECT query_id, left(string_agg(t, chr(10) || chr(10) ORDER BY rank), 500) AS answer FROM x GROUP BY query_id),
-    r AS (SELECT item_id AS query_id, item_id % 7 AS session_id, {_DOMAIN} AS query FROM benchmark),
-    routed AS (SELECT r.*, CASE WHEN regexp_matches(lower(query), 'hello|hi') THEN 'ABOUT_BOT' WHEN contains(query, 'ที่ดิน') THEN 'RAG' ELSE 'OUT_OF_SCOPE' END AS route FROM r),
-    done AS (SELECT routed.*, CASE route WHEN 'ABOUT_BOT' THEN '{dialogue.ABOUT_ANSWER}' WHEN 'RAG' THEN coalesce(answer, '{dialogue.NO_CONTEXT_ANSWER.replace("'", "''")}') ELSE '{dialogue.OUT_OF_SCOPE_ANSWER.replace("'", "''")}' END AS answer FROM routed LEFT JOIN told USING (query_id)),
-    m AS (SELECT conv_id AS session_id, max(turn) AS seq FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id),
-    turns AS (SELECT done.*, coalesce(m.seq, -1) + 2 * row_number() OVER (PARTITION BY session_id ORDER BY query_id) AS last FROM done LEFT JOIN m USING (session_id))
-    SELECT session_id, (last - 1)::BIGINT AS seq, 'user' AS role, query AS content FROM turns UNION ALL SELECT session_id, last::BIGINT, 'assistant', answer FROM turns"""
+    + f""", z_x AS (SELECT query_id, rank, 'source: ' || document_id || chr(10) || 'section: {assembly.NO_SECTION}' || chr(10) || 'level: 0' || chr(10) || text || chr(10) || array_to_string(list_transform(texts[:2], lambda c: left(c, 200) || '...'), chr(10)) AS t FROM h JOIN k USING (document_id) WHERE rank <= 3),
+    z_told AS (SELECT query_id, left(string_agg(t, chr(10) || chr(10) ORDER BY rank), 500) AS answer FROM z_x GROUP BY query_id),
+    z_r AS (SELECT item_id AS query_id, item_id % 7 AS session_id, {_DOMAIN} AS query FROM benchmark),
+    z_routed AS (SELECT z_r.*, CASE WHEN regexp_matches(lower(query), 'hello|hi') THEN 'ABOUT_BOT' WHEN contains(query, 'ที่ดิน') THEN 'RAG' ELSE 'OUT_OF_SCOPE' END AS route FROM z_r),
+    z_done AS (SELECT z_routed.*, CASE route WHEN 'ABOUT_BOT' THEN '{dialogue.ABOUT_ANSWER}' WHEN 'RAG' THEN coalesce(answer, '{dialogue.NO_CONTEXT_ANSWER.replace("'", "''")}') ELSE '{dialogue.OUT_OF_SCOPE_ANSWER.replace("'", "''")}' END AS answer FROM z_routed LEFT JOIN z_told USING (query_id)),
+    z_m AS (SELECT conv_id AS session_id, max(turn) AS seq FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id),
+    z_turns AS (SELECT z_done.*, coalesce(z_m.seq, -1) + 2 * row_number() OVER (PARTITION BY session_id ORDER BY query_id) AS last FROM z_done LEFT JOIN z_m USING (session_id))
+    SELECT session_id, (last - 1)::BIGINT AS seq, 'user' AS role, query AS content FROM z_turns UNION ALL SELECT session_id, last::BIGINT, 'assistant', answer FROM z_turns"""
 )
 def dialogue_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is remembered of the benchmark's items as requests, half of them about the collection: search, expansion, prompt and answer in one plan."""
@@ -117,3 +118,50 @@ def dialogue_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _messages(spark, sf_dir)
     told = chain.answered(built, requests, messages, index.letters, level=0, mode="sparse", rerank=False)
     return dialogue.appended(messages, requests, told)
+
+
+_OWN = "SELECT query_id, doc_id, round(sum(qw.weight * w.weight), 6) AS score FROM qw JOIN w USING (term) JOIN documents d USING (doc_id) WHERE {} GROUP BY query_id, doc_id"
+
+
+@_query(
+    _ASKED
+    + _RANKED.format(_OWN.format("CASE query_id % 3 WHEN 0 THEN lang = 'en' WHEN 1 THEN lang IN ('de', 'fr') AND source IN ('src1', 'src2', 'src3', 'src8') ELSE true END"), "score > 0", 10)
+)
+def filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scan for all questions, each with filters of its own."""
+    docs, asked = _table(spark, sf_dir, "documents"), _questions(spark, sf_dir)
+    model = bm25.fit(bm25.tokenised(docs, keep=["lang", "source"]), _path(spark, "bm25"))
+    wanted = F.when(F.col("query_id") % 3 == 0, F.array(F.struct(F.lit("lang").alias("column"), F.lit("en").alias("value")))).when(
+        F.col("query_id") % 3 == 1, F.array(*(F.struct(F.lit(c).alias("column"), F.lit(v).alias("value")) for c, v in [("lang", "de"), ("lang", "fr"), *(("source", f"src{i}") for i in (1, 2, 3, 8))]))
+    )
+    filters = asked.select("query_id", F.explode(wanted).alias("f")).select("query_id", "f.column", "f.value")
+    return model.search(asked, filters=filters)
+
+
+@_query(
+    _ASKED
+    + f", b AS ({_RANKED.format(_BM25.format('weight'), 'score > 0', 60)}), d AS ({_RANKED.format(_DENSE, 'score IS NOT NULL', 60)}), "
+    + r"""f0 AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(string_split(text, chr(10))[1], '^\s+|\s+$', '', 'g')), '[^\pL\pM\pN]+'), lambda x: x <> '')) AS title, [lang, source] AS category FROM documents),
+    fs AS (SELECT query_id, doc_id, round(sum(x), 6) AS score FROM (SELECT query_id, doc_id, 3.0 * len(list_intersect(list_distinct(toks), title)) + 2.0 * len(list_intersect(list_distinct(toks), category)) AS x FROM q, f0) GROUP BY query_id, doc_id),
+    m AS ("""
+    + _RANKED.format("SELECT * FROM fs", "score > 0", 60)
+    + """),
+    everyone AS (SELECT query_id, doc_id FROM b UNION SELECT query_id, doc_id FROM d UNION SELECT query_id, doc_id FROM m),
+    joint AS (SELECT query_id, doc_id, b.rank AS br, d.rank AS dr, m.rank AS mr FROM everyone LEFT JOIN b USING (query_id, doc_id) LEFT JOIN d USING (query_id, doc_id) LEFT JOIN m USING (query_id, doc_id)),
+    sized AS (SELECT *, count(br) OVER p AS nb, count(dr) OVER p AS nd, count(mr) OVER p AS nm, query_id IN (SELECT item_id FROM benchmark) AS known, CASE WHEN query_id % 2 = 0 THEN 0.35 ELSE 0.5 END::DOUBLE AS alpha FROM joint WINDOW p AS (PARTITION BY query_id)),
+    fused AS (SELECT query_id, doc_id, round(CASE WHEN known THEN alpha ELSE 1 END / (coalesce(br, nb + 60) + 60) + CASE WHEN known THEN 1 - alpha ELSE 1 END / (coalesce(dr, nd + 60) + 60) + CASE WHEN known THEN 0.25 ELSE 1 END / (coalesce(mr, nm + 60) + 60), 9) AS score FROM sized)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 10"""
+)
+def three_leg_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, vectors and metadata fields as three rankings, weighted by the type of each question."""
+    docs = _table(spark, sf_dir, "documents")
+    asked = _questions(spark, sf_dir)
+    typed = _table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("ขั้นตอน "), "text")).otherwise(F.col("text")).alias("query"))
+    weights = engine.leg_weights(engine.analysed(typed, "item_id"), fields=0.25)
+    named = {"title": title(F.col("text")), "category": F.concat_ws(" ", "lang", "source")}
+    legs = {
+        "bm25": bm25.fit(bm25.tokenised(docs), _path(spark, "bm25")).search(asked, 60),
+        "dense": dense.search(_table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir), 60),
+        "fields": fields.search(fields.field_terms(docs, named, fields.WEIGHTS), asked, 60),
+    }
+    return fusion.fused(legs, 10, weights).select("query_id", "doc_id", "score", "rank")
