@@ -228,3 +228,25 @@ def statistics(chunks: DataFrame) -> DataFrame:
     by_level = [F.count_if(F.col("hierarchy_level") == i).alias(f"level{i}_chunks") for i in range(3)]
     total = chunks.agg(F.count("*").alias("total_chunks"), F.count_if(F.col("hierarchy_level") == 0).alias("total_documents"), *by_level)
     return total.withColumn("avg_chunks", F.col("total_chunks") / F.nullif(F.col("total_documents"), F.lit(0)))
+
+
+def coverage(docs: DataFrame, chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_lines, lost_lines, lost_chars, repeated_lines, n_orphans``: what the chunks make of each document.
+
+    Lines are distinct, stripped and not blank. A line is lost if no chunk below the summary has it as a line (windows over sentences
+    break lines: there the loss is told from above); repeated if several chunks of the lowest level have it. An orphan is a chunk whose
+    parent is not among its document's chunks. A document without chunks has lost all its lines. Ids of documents must differ.
+    """
+    stripped = F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")
+    own = chunks.select("doc_id", "chunk_id", "parent_chunk_id", "hierarchy_level", F.when(F.col("hierarchy_level") > 0, F.array_distinct(stripped)).alias("lines"))
+    low = F.array_sort(F.flatten(F.collect_list(F.when(F.col("hierarchy_level") == 2, F.col("lines")))))
+    held = own.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("held"), low.alias("low"), F.collect_set("chunk_id").alias("ids"), F.collect_list("parent_chunk_id").alias("parents"))
+    again = F.size(F.array_distinct(F.filter("low", lambda x, i: (i > 0) & (x == F.get(F.col("low"), i - 1)))))
+    held = held.select(F.col("doc_id").alias("of"), "held", again.alias("again"), F.size(F.filter("parents", lambda p: ~F.array_contains(F.col("ids"), p))).alias("n_orphans"))
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("doc_id", F.array_distinct(stripped).alias("lines"))
+    met = lines.join(held, F.col("doc_id") == F.col("of"), "left").withColumn("lost", F.array_except("lines", F.coalesce("held", F.array().cast("array<string>"))))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return met.select(
+        "doc_id", count(F.size("lines")).alias("n_lines"), count(F.size("lost")).alias("lost_lines"), count(F.aggregate("lost", F.lit(0), lambda z, x: z + F.length(x))).alias("lost_chars"),
+        count(F.col("again")).alias("repeated_lines"), count(F.col("n_orphans")).alias("n_orphans"),
+    )

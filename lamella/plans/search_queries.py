@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import segment
 from ..functions.metadata import title
-from ..operators import assembly, bm25, cells, dense, fields, fusion, postings
+from ..functions.text import clean_text
+from ..operators import assembly, bm25, cells, chunking, dense, fields, fusion, postings
 from . import chain, dialogue, engine, incremental, index
 from .chunk_queries import _BELOW, _CHUNKS, _FUSED, QUERIES, _index, _path
 from .engine import Config
@@ -165,3 +166,15 @@ def three_leg_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fields": fields.search(fields.field_terms(docs, named, fields.WEIGHTS), asked, 60),
     }
     return fusion.fused(legs, 10, weights).select("query_id", "doc_id", "score", "rank")
+
+
+@_query(
+    _CHUNKS
+    + """, held AS (SELECT doc_id, line, bool_or(pos < sp + 20) AS held FROM (SELECT *, min(pos) OVER (PARTITION BY doc_id, section_id) AS sp FROM n) WHERE line <> '' GROUP BY doc_id, line)
+    SELECT d.doc_id, count(line) AS n_lines, count(line) FILTER (NOT held) AS lost_lines, coalesce(sum(length(line)) FILTER (NOT held), 0)::BIGINT AS lost_chars, 0::BIGINT AS repeated_lines, 0::BIGINT AS n_orphans
+    FROM main.documents d LEFT JOIN held USING (doc_id) GROUP BY d.doc_id"""
+)
+def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that summaries and section heads leave out, of whole documents."""
+    clean = _table(spark, sf_dir, "documents").select("doc_id", clean_text(F.coalesce("text", F.lit(""))).alias("text"))
+    return chunking.coverage(clean, chunking.chunk_tree(clean, levels=2))

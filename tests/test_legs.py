@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.functions import query
-from lamella.operators import bm25, dense, fields, fusion
+from lamella.operators import bm25, chunking, dense, fields, fusion
 from lamella.plans import engine
 
 
@@ -74,3 +74,17 @@ def test_fusion_of_any_number_of_rankings(spark):
 def test_weights_by_type_of_question(spark):
     asked = engine.analysed(spark.createDataFrame([(0, "ค่าธรรมเนียม"), (1, "ขั้นตอน"), (2, "plain"), (3, "เท่าไหร่")], "query_id long, query string"))
     assert {r.query_id: (r.bm25, round(r.dense, 2), r.fields) for r in engine.leg_weights(asked).collect()} == {0: (0.5, 0.5, 0.25), 1: (0.35, 0.65, 0.25), 2: (0.5, 0.5, 0.25), 3: (0.65, 0.35, 0.25)}
+
+
+def test_coverage_of_chunks(spark):
+    long = "\n".join(f"line {i}" for i in range(30))
+    listed = "preamble that no rule takes\nขั้นตอน\nstray words\n" + "\n".join(f"{i}. step {i}" for i in range(1, 9))
+    docs = spark.createDataFrame([(0, long), (1, listed), (2, None), (3, "gone")], "doc_id long, text string")
+    two = chunking.chunk_tree(docs.where("doc_id <> 3"), levels=2)
+    got = {r.doc_id: tuple(r)[1:] for r in chunking.coverage(docs, two).collect()}
+    assert got[0] == (30, 10, sum(len(f"line {i}") for i in range(20, 30)), 0, 0)
+    assert got[1][:2] == (11, 0) and got[2] == (0, 0, 0, 0, 0) and got[3] == (1, 1, 4, 0, 0)
+    three = chunking.chunk_tree(docs)
+    got = {r.doc_id: tuple(r)[1:] for r in chunking.coverage(docs, three.where("hierarchy_level <> 1")).collect()}
+    # without sections: lists repeat steps between their parts and drop the words before the first; passages have lost their parents
+    assert got[1][1] >= 2 and got[1][3] >= 1 and got[1][4] == three.where("doc_id = 1 AND hierarchy_level = 2").count()
