@@ -120,3 +120,15 @@ THAI_STOPWORDS = [
     "ถึง", "ทั้ง", "ทั้งนี้", "ที่", "ที่สุด", "นอกจาก", "นั้น", "นี้", "ใน", "บาง", "เป็น", "แบบ", "โดย", "ไป", "พร้อม", "เพราะ", "เพื่อ", "มา", "มาก", "มี", "เมื่อ", "แม้", "ไม่", "ยัง",
     "ระหว่าง", "รวม", "เรา", "เรื่อง", "แล้ว", "และ", "ว่า", "ส่วน", "สำหรับ", "หนึ่ง", "หรือ", "หลัง", "หาก", "ให้", "อยู่", "อย่าง", "อีก", "เอง", "อาจ",
 ]
+
+# Things that texts of this collection name, by type, and words that mark what a passage holds.
+ENTITIES = {
+    "document": ["โฉนดที่ดิน", "หนังสือรับรองการทำประโยชน์", "หนังสือกรรมสิทธิ์ห้องชุด", "บัตรประชาชน"],
+    "organization": ["กรมที่ดิน", "สำนักงานที่ดิน", "กระทรวงมหาดไทย"],
+    "location": ["สำนักงานที่ดินกรุงเทพมหานคร", "สำนักงานที่ดินจังหวัด"],
+    "person": ["ผู้โอน", "ผู้รับโอน", "เจ้าพนักงานที่ดิน", "คู่สมรส", "คนต่างด้าว"],
+    "law": ["พระราชบัญญัติ", "พ.ร.บ.", "กฎกระทรวง", "มาตรา", "ประมวลกฎหมาย"],
+    "condition": ["หาก", "ถ้า", "กรณี"],
+    "exception": ["เว้นแต่", "ยกเว้น"],
+    "example": ["ตัวอย่าง", "เช่น"],
+}

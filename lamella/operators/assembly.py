@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import fresh
+
 
 #: What stands for a missing source and section; our own wording.
 NO_SOURCE, NO_SECTION = "unknown source", "general"
@@ -42,7 +44,8 @@ def block(source: Column, section: Column, level: Column, bm25: Column, dense: C
 def citations(hits: DataFrame, source: str, rerank: str = "rerank_score", score: str = "score") -> DataFrame:
     """The first hit of each source; a re-rank score of zero falls back to the score."""
     shown = F.when(F.coalesce(F.col(rerank), F.lit(0.0)) != 0, F.col(rerank)).otherwise(F.col(score))
-    first = hits.withColumn("__n", F.expr(f"row_number() OVER (PARTITION BY query_id, {source} ORDER BY rank)")).where("__n = 1")
+    place = fresh("place", hits.columns)
+    first = hits.withColumn(place, F.expr(f"row_number() OVER (PARTITION BY query_id, {source} ORDER BY rank)")).where(F.col(place) == 1)
     return first.select("query_id", F.col(source), "rank", F.format_string("%.4f", shown).alias("shown_score"))
 
 

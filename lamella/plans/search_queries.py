@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import segment
+from ..functions import entities, segment
 from ..functions.metadata import title
-from ..functions.text import clean_text
-from ..operators import assembly, bm25, cells, chunking, dense, fields, fusion, postings
+from ..functions.text import TOKEN_BREAK, clean_text
+from ..operators import assembly, bm25, cells, chunking, dense, fields, fusion, memory, postings
 from . import chain, dialogue, engine, incremental, index
-from .chunk_queries import _BELOW, _CHUNKS, _FUSED, QUERIES, _index, _path
+from .chunk_queries import _BELOW, _CHUNKS, _FUSED, _LETTERS, QUERIES, _index, _path
 from .engine import Config
 from .queries import _ASKED, _BM25, _DENSE, _RANKED, _messages, _query, _questions, _table, _vector_queries
 
@@ -178,3 +178,29 @@ def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that summaries and section heads leave out, of whole documents."""
     clean = _table(spark, sf_dir, "documents").select("doc_id", clean_text(F.coalesce("text", F.lit(""))).alias("text"))
     return chunking.coverage(clean, chunking.chunk_tree(clean, levels=2))
+
+
+@_query(f"""
+    WITH m AS (SELECT conv_id AS session_id, turn AS seq, {_LETTERS.format("text")} AS e FROM conversations WHERE role IN ('user', 'assistant')),
+    o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS k FROM m),
+    p AS (SELECT a.session_id, a.seq, b.seq AS earlier_seq, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM o a JOIN o b ON a.session_id = b.session_id AND b.k < a.k AND b.k >= a.k - 5 WHERE list_sum(a.e) > 0 AND list_sum(b.e) > 0)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, seq ORDER BY score DESC, earlier_seq) AS rank FROM p) WHERE rank <= 2""")
+def similar_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a session of five remembered messages has nearest to each message."""
+    return memory.similar_turns(_messages(spark, sf_dir), index.letters(F.col("content")), k=2, window=5)
+
+
+@_query(r"""
+    WITH needles AS (SELECT DISTINCT term FROM (SELECT unnest(string_split_regex(lower(text), '[^\pL\pM\pN]+')) AS term FROM benchmark) WHERE length(term) >= 5),
+    hits AS (SELECT doc_id, term, instr(lower(text), term) - 1 AS first FROM documents, needles WHERE contains(lower(text), term))
+    SELECT d.doc_id, count(term) AS n_needles, count(DISTINCT length(term) % 2) AS n_types, coalesce(min(first), -1)::BIGINT AS first, md5(coalesce(string_agg(term, ' ' ORDER BY term), '')) AS needles_md5 FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY d.doc_id""")
+def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's longer words in whole documents, all at once."""
+    words = _table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), TOKEN_BREAK)).alias("needle")).where(F.length("needle") >= 5)
+    find = entities.finder(spark, entities.collected(words.withColumn("type", (F.length("needle") % 2).cast("string"))))
+    found = _table(spark, sf_dir, "documents").select("doc_id", find(F.lower("text")).alias("f"))
+    needles = F.array_sort(F.transform("f", lambda x: x["needle"]))
+    return found.select(
+        "doc_id", F.size("f").cast("long").alias("n_needles"), F.size(F.array_distinct(F.transform("f", lambda x: x["type"]))).cast("long").alias("n_types"),
+        F.coalesce(F.array_min(F.transform("f", lambda x: x["first"])), F.lit(-1)).cast("long").alias("first"), F.md5(F.array_join(needles, " ")).alias("needles_md5"),
+    )

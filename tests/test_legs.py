@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.functions import query
-from lamella.operators import bm25, chunking, dense, fields, fusion
+from lamella.operators import bm25, chunking, dense, fields, fusion, memory
 from lamella.plans import engine
 
 
@@ -88,3 +88,19 @@ def test_coverage_of_chunks(spark):
     got = {r.doc_id: tuple(r)[1:] for r in chunking.coverage(docs, three.where("hierarchy_level <> 1")).collect()}
     # without sections: lists repeat steps between their parts and drop the words before the first; passages have lost their parents
     assert got[1][1] >= 2 and got[1][3] >= 1 and got[1][4] == three.where("doc_id = 1 AND hierarchy_level = 2").count()
+
+
+def test_nearest_earlier_turns(spark):
+    rng = random.Random(2)
+    rows = [(s, i, "user", [rng.choice([0.0, 1.0]) for _ in range(3)]) for s in ("a", "b") for i in range(40)] + [("c", 0, "user", [1.0, 0.0, 0.0]), ("a", 99, "user", None)]
+    df = spark.createDataFrame(rows, "session_id string, seq long, role string, v array<double>").repartition(4)
+    got = sorted((r.session_id, r.seq, r["rank"], r.earlier_seq, r.score) for r in memory.similar_turns(df, F.col("v"), 2, 6).collect())
+    want = []
+    for s in ("a", "b"):
+        mine = [(i, v) for t, i, _, v in rows if t == s]
+        for place, (i, v) in enumerate(mine):
+            if not v or not any(v):
+                continue
+            near = [(-round(sum(x * y for x, y in zip(v, u, strict=True)) / (sum(x * x for x in v) * sum(x * x for x in u)) ** 0.5, 6), j) for j, u in mine[max(place - 6, 0) : place] if u and any(u)]
+            want += [(s, i, n + 1, j, abs(x)) for n, (x, j) in enumerate(sorted(near)[:2])]
+    assert [(*r[:4], abs(r[4])) for r in got] == want

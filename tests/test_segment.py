@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.functions import fixed_values as fv
-from lamella.functions import segment
+from lamella.functions import entities, segment
 from lamella.plans import index
 
 LATIN = r"[^\W\d_]"
@@ -91,3 +91,29 @@ def test_all_short_stretches_and_null(spark):
     df = spark.createDataFrame([(s,) for s in [*stretches, None]], "t string")
     got = {r.t: r.tokens for r in df.select("t", cut(F.col("t")).alias("tokens")).collect()}
     assert got == {None: [], **{s: brute(s, set(words)) for s in stretches}}
+
+
+def test_entities_are_those_of_a_search_for_each(spark):
+    rng = random.Random(3)
+    table = [("t%d" % rng.randrange(3), "".join(rng.choice("abก") for _ in range(rng.randrange(1, 5)))) for _ in range(40)]
+    texts = ["".join(rng.choice("abก ") for _ in range(rng.randrange(0, 60))) for _ in range(100)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    find = entities.finder(spark, entities.collected(spark.createDataFrame([*table, ("x", ""), ("x", None)], "type string, needle string")))
+    got = {r.t: [tuple(f) for f in r.f] for r in df.select("t", find(F.col("t")).alias("f")).collect()}
+    for t in [*texts, None]:
+        want = []
+        for kind, needle in sorted(set(table)):
+            places = [i for i in range(len(t or "")) if t.startswith(needle, i)]
+            want += [(kind, needle, len(places), places[0])] if places else []
+        assert got[t] == want
+    assert entities.automaton([])("abc") == []
+    with pytest.raises(ValueError, match="more than 1"):
+        entities.collected(spark.createDataFrame(table, "type string, needle string"), most=1)
+
+
+def test_flags_of_a_chunk(spark):
+    text = "หากผู้โอนเป็นคนต่างด้าว เว้นแต่กรณีตามมาตรา 5\n1. โฉนดที่ดิน\n๒) บัตรประชาชน\na | b\n--- | ---"
+    find = entities.finder(spark, entities.default_table())
+    row = spark.createDataFrame([(text,), (None,)], "t string").select("t", find(F.col("t")).alias("f")).select("t", "f", entities.flags(F.col("f"), F.col("t")).alias("g")).orderBy(F.desc("t")).first()
+    assert [(f.type, f.needle) for f in row.f if f.type in ("person", "document")] == [("document", "บัตรประชาชน"), ("document", "โฉนดที่ดิน"), ("person", "คนต่างด้าว"), ("person", "ผู้โอน")]
+    assert tuple(row.g) == (True, True, 2, True, 1, False, True, 2, True, 1)
