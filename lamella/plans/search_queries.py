@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import entities, segment
 from ..functions.metadata import title
 from ..functions.text import TOKEN_BREAK, clean_text
-from ..operators import assembly, bm25, cells, chunking, dense, fields, fusion, memory, postings
+from ..operators import assembly, bm25, cells, chunking, dense, fields, fusion, memory, postings, tables
 from . import chain, dialogue, engine, incremental, index
 from .chunk_queries import _BELOW, _CHUNKS, _FUSED, _LETTERS, QUERIES, _index, _path
 from .engine import Config
@@ -204,3 +204,18 @@ def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("f").cast("long").alias("n_needles"), F.size(F.array_distinct(F.transform("f", lambda x: x["type"]))).cast("long").alias("n_types"),
         F.coalesce(F.array_min(F.transform("f", lambda x: x["first"])), F.lit(-1)).cast("long").alias("first"), F.md5(F.array_join(needles, " ")).alias("needles_md5"),
     )
+
+
+@_query(r"""
+    WITH l AS (SELECT doc_id, k, line FROM (SELECT doc_id, string_split(replace(text, chr(1), ''), chr(10)) AS ls FROM documents), unnest(ls) WITH ORDINALITY AS u(line, k)),
+    g AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS g FROM l WHERE contains(line, '|')),
+    t AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS table_no, row_number() OVER (PARTITION BY doc_id, g ORDER BY k) AS n, regexp_matches(line, '^[\s|:]*-[\s|:-]*$') AS rule,
+             list_transform(string_split(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '^\||\|$', '', 'g'), '|'), lambda c: regexp_replace(c, '^\s+|\s+$', '', 'g')) AS cs FROM g),
+    h AS (SELECT a.doc_id, a.table_no, a.cs AS headers FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.table_no = b.table_no AND a.n = 1 AND b.n = 2 AND b.rule),
+    r AS (SELECT doc_id, table_no, n, cs, headers, row_number() OVER (PARTITION BY doc_id, table_no ORDER BY n) - 1 AS row_no FROM t LEFT JOIN h USING (doc_id, table_no) WHERE NOT rule AND (headers IS NULL OR n > 2)),
+    f AS (SELECT *, last_value(nullif(cs[1], '') IGNORE NULLS) OVER (PARTITION BY doc_id, table_no ORDER BY row_no) AS first FROM r),
+    c AS (SELECT doc_id, table_no, row_no, j - 1 AS column_no, headers[j] AS header, CASE WHEN j = 1 THEN first ELSE nullif(cs[j], '') END AS value FROM f, unnest(range(1, len(cs) + 1)) AS u(j))
+    SELECT doc_id, table_no, row_no, column_no, header, value, TRY_CAST(replace(nullif(regexp_extract(value, '([0-9][0-9,]*(?:\.[0-9]+)?)', 1), ''), ',', '') AS DOUBLE) AS number, CASE WHEN contains(value, 'บาท') THEN 'บาท' WHEN contains(value, '%') THEN '%' END AS unit FROM c""")
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of all pipe tables of whole documents."""
+    return tables.rows(_table(spark, sf_dir, "documents")).withColumns({c: F.col(c).cast("long") for c in ("table_no", "row_no", "column_no")})

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.functions import query
-from lamella.operators import bm25, chunking, dense, fields, fusion, memory
+from lamella.operators import bm25, chunking, dense, fields, fusion, memory, tables
 from lamella.plans import engine
 
 
@@ -104,3 +104,15 @@ def test_nearest_earlier_turns(spark):
             near = [(-round(sum(x * y for x, y in zip(v, u, strict=True)) / (sum(x * x for x in v) * sum(x * x for x in u)) ** 0.5, 6), j) for j, u in mine[max(place - 6, 0) : place] if u and any(u)]
             want += [(s, i, n + 1, j, abs(x)) for n, (x, j) in enumerate(sorted(near)[:2])]
     assert [(*r[:4], abs(r[4])) for r in got] == want
+
+
+def test_cells_of_tables(spark):
+    text = "fees\n| item | baht |\n|---|:--|\n| deed | ๑,๒๐๐.๕ บาท |\n| | 2 % | more |\n\nsteps\na | b\n\x01c|\nend |"
+    got = [tuple(r)[1:] for r in tables.rows(spark.createDataFrame([(1, text), (2, None), (3, "none")], "doc_id long, text string")).orderBy("table_no", "row_no", "column_no").collect()]
+    assert got == [
+        (0, 0, 0, "item", "deed", None, None), (0, 0, 1, "baht", "๑,๒๐๐.๕ บาท", 1200.5, "บาท"),
+        (0, 1, 0, "item", "deed", None, None), (0, 1, 1, "baht", "2 %", 2.0, "%"), (0, 1, 2, None, "more", None, None),
+        (1, 0, 0, None, "a", None, None), (1, 0, 1, None, "b", None, None), (1, 1, 0, None, "c", None, None), (1, 2, 0, None, "end", None, None),
+    ]
+    many = "\n".join(f"x | {i}" for i in range(20_000))
+    assert tables.rows(spark.createDataFrame([(1, many)], "doc_id long, text string")).where("column_no = 1").agg(F.sum("number")).first()[0] == sum(range(20_000))
