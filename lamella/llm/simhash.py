@@ -535,7 +535,12 @@ def verified_links(sets: DataFrame, similarity: float, block: int = 512, rounds:
         if left.isEmpty():
             break
     out = out.unionByName(edges.where("pivot <> fp").select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
-    grouped = components(edges.where("pivot <> fp").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))).select(F.col("node").alias("fp"), F.col("root").alias("label"))
+    # a class has at most ``rounds`` pivots, so a component has few different sets of them; sets that overlap are one group
+    near = stored(edges.groupBy("root", "fp").agg(F.array_sort(F.collect_set("pivot")).alias("near")), "near")
+    reach = F.expr(f"aggregate(sequence(1, {rounds}), near, (z, i) -> array_distinct(flatten(filter(sets, s -> arrays_overlap(s, z)))))")
+    named = near.groupBy("root").agg(F.collect_set("near").alias("sets")).select("root", "sets", F.explode("sets").alias("near"))
+    named = named.select(F.col("root").alias("r"), F.col("near").alias("s"), F.array_min(reach).alias("label"))
+    grouped = near.join(named, (F.col("root") == F.col("r")) & (F.col("near") == F.col("s"))).select("fp", "label")
     labels = stored(every.select("root", "fp").join(grouped, "fp", "left"), "pivoted")
     groups = labels.groupBy("root", "label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     groups = stored(groups.withColumn("others", F.count("*").over(Window.partitionBy("root"))).where("others > 1 OR label IS NULL").drop("others"), "groups")

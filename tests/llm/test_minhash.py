@@ -52,7 +52,7 @@ def corpus(seed, groups, copies):
 
 @pytest.mark.parametrize("limits", [{}, {"unit_limit": 7, "block": 5, "few": 0}])
 def test_components_are_those_of_all_pairs(spark, limits):
-    rows = corpus(5, 60, 12)
+    rows = corpus(5, 45, 9)
     rows += [(5000, None), (5001, ""), (5002, " \n"), (5003, "A b"), (5004, "a  B"), (5005, "a b c"), (None, "null id one two three four"), (None, "null id one two three four"), (7000, rows[0][1]), (7000, rows[0][1].upper())]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, fp string").repartition(6)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, similarity=0.85, **limits).collect()), key=repr)
@@ -66,8 +66,8 @@ def test_empty_table(spark):
 def test_a_large_group_of_edited_copies(spark):
     rng = random.Random(9)
     base = ["w%d" % rng.randrange(10**6) for _ in range(300)]
-    rows = [(i, " ".join(edited(rng, base, 0.01))) for i in range(3000)]
-    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), similarity=0.85, unit_limit=1000)
+    rows = [(i, " ".join(edited(rng, base, 0.01))) for i in range(1500)]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), similarity=0.85, unit_limit=500)
     assert out.where("component_id <> 0").count() == brute_count(rows)
 
 
