@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by an inverted file of quantised vectors, with exact re-ranking.
 
 A coarse quantiser (k-means over a bounded sample of unit vectors) deals vectors to cells, which are folders; what is left of a vector
-in its cell is quantised in ``parts`` pieces, one byte each. A search reads the codes of the cells nearest to each question and, from
-tables of products, each vector's cosine up to the stored length of its quantisation error. That error bounds the cosine from
-both sides, so all vectors whose upper bound reaches the k-th lower bound are kept, and only their vectors are
-read and compared exactly: inside the probed cells nothing is lost, and probing all cells is an exact search.
+in its cell is quantised in ``parts`` pieces, one byte each. A search reads the cells nearest to each question. From tables of
+products it has each vector's cosine up to the stored length of its quantisation error, so an upper bound; a vector is compared exactly
+where that reaches the question's k-th score so far. A task keeps the best k of each question and hands on only those, so pairs of question
+and vector are never rows, however loose the bounds are: inside the probed cells nothing is lost, and probing all cells is an exact search.
 
 Every row is indexed, the sample only places the centres. A cell with a third of all rows is many files of one folder, read by many tasks.
 Vectors that are null, zero, hold nulls or differ in length from the sample's are left out, as the exact search leaves them.
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.work import settled
 from .bm25 import ranked
-from .dense import cosine
+from .topk import Best
 
 CODES = 256
+_SLACK = 1e-6  # scores are rounded to six digits before they are compared
 
 
 def kmeans(rows: np.ndarray, k: int, rounds: int = 15, seed: int = 7) -> np.ndarray:
@@ -159,7 +159,8 @@ class Cells:
         return self.vectors if value is None else self.vectors.where(F.col("of") == value)
 
     def candidates(self, queries: DataFrame, part: list[tuple[object, list[float]]], k: int, probes: int | None, value: object = None) -> DataFrame:
-        """``query_id, doc_id, cell, low, high`` with all of the k best vectors of the probed cells."""
+        """``query_id, doc_id, cell, low, high`` with all of the k best vectors of the probed cells, from
+        the codes alone. Where bounds are loose these are many rows, so ``search`` decides by the vectors in the task."""
         unit = np.array([v for _, v in part], float)
         unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
         near = unit @ self.quantiser.centres.T
@@ -194,6 +195,50 @@ class Cells:
         rows = self._of(value).where(F.col("cell").isin(sorted(asking))).select("doc_id", "cell", "code", "error")
         return rows.mapInArrow(run, f"query_id {id_type}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, cell int, low double, high double")
 
+    def nearest(self, queries: DataFrame, part: list[tuple[object, list[float]]], k: int, probes: int | None, value: object = None) -> DataFrame:
+        """``query_id, doc_id, score``: the k best vectors of the probed cells in each task for some queries."""
+        unit = np.array([v for _, v in part], float)
+        unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        near = unit @ self.quantiser.centres.T
+        probed = np.argsort(-near, axis=1, kind="stable")[:, : probes or near.shape[1]]
+        asking = {int(c): np.flatnonzero((probed == c).any(axis=1)) for c in np.unique(probed)}
+        ids = [i for i, _ in part]
+        id_type = queries.schema["query_id"].dataType.simpleString()
+        kind = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())
+        shared = self.vectors.sparkSession.sparkContext.broadcast((ids, unit, near, asking, self.quantiser.tables(unit)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, unit, near, asking, tables = shared.value
+            best = Best(ids, kind, k)
+            for batch in batches:
+                cells = batch.column(1).to_numpy()
+                for c in np.unique(cells).tolist():
+                    rows, q = np.flatnonzero(cells == c), asking[c]
+                    for at in range(0, len(rows), 1024):
+                        piece = batch.take(pa.array(rows[at : at + 1024]))
+                        v = piece.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, unit.shape[1]).astype(float)
+                        v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+                        code = np.frombuffer(b"".join(piece.column(2).to_pylist()), np.uint8).reshape(piece.num_rows, -1)
+                        error = piece.column(3).to_numpy()
+                        for lo in range(0, len(q), 64):
+                            some = q[lo : lo + 64]
+                            if np.isinf(best.floor[some]).all():  # nothing to beat yet
+                                best.add(piece.column(0), unit[some] @ v.T, some)
+                                continue
+                            most = near[some, c][:, None] + error
+                            for m in range(tables.shape[1]):
+                                most += tables[some, m][:, code[:, m]]
+                            open_ = most >= best.floor[some][:, None] - _SLACK
+                            mine, there = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+                            if len(mine):
+                                best.add(piece.column(0).take(pa.array(there)), unit[some[mine]] @ v[there].T, some[mine])
+            got = best.batch()
+            if got is not None:
+                yield got
+
+        rows = self._of(value).where(F.col("cell").isin(sorted(asking))).select("doc_id", "cell", "code", "error", "v")
+        return rows.mapInArrow(run, f"query_id {id_type}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = 8, value: object = None, block: int = 1000) -> DataFrame:
         """``query_id, doc_id, score, rank`` as ``dense.search`` gives, from the ``probes`` cells nearest to each question (``query_id,
         vector``), or from all of them (None); ``value`` is that of the ``by`` column. Questions without a usable vector of the same length find nothing."""
@@ -207,13 +252,7 @@ class Cells:
             part = [(r["query_id"], r["vector"]) for r in mine.collect()]
             if not part:
                 continue
-            found = self.candidates(usable, part, k, probes, value)
-            found = settled(found, "candidates")
-            kth = found.withColumn("place", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY low DESC)")).where(F.col("place") == k).select("query_id", F.col("low").alias("kth"))
-            kept = found.join(F.broadcast(kth), "query_id", "left").where("kth IS NULL OR high >= kth").select("query_id", "doc_id", "cell").distinct()
-            near = self._of(value).where(F.col("cell").isin([r[0] for r in kept.select("cell").distinct().collect()])).select("doc_id", "cell", "v")
-            met = near.join(kept, ["cell", "doc_id"]).join(F.broadcast(mine), "query_id")
-            out.append(met.select("query_id", "doc_id", F.round(cosine(F.col("vector"), F.col("v")), 6).alias("score")))
+            out.append(self.nearest(usable, part, k, probes, value))
         if not out:
             kinds = queries.schema["query_id"].dataType.simpleString(), self.vectors.schema["doc_id"].dataType.simpleString()
             return self.vectors.sparkSession.createDataFrame([], f"query_id {kinds[0]}, doc_id {kinds[1]}, score double, rank int")

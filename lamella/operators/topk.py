@@ -18,15 +18,15 @@ class Best:
         self.held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
         self.size = 0
 
-    def add(self, ids: pa.Array, scores: np.ndarray) -> None:
-        """``scores`` has a row for each query and a column for each id; NaN is no score."""
+    def add(self, ids: pa.Array, scores: np.ndarray, of: np.ndarray | None = None) -> None:
+        """``scores`` has a row for each query, or for each of the queries ``of``, and a column for each id; NaN is no score."""
         scores = np.round(scores, DIGITS)
-        keep = scores >= self.floor[:, None]
+        keep = scores >= (self.floor if of is None else self.floor[of])[:, None]
         if self.above is not None:
             keep &= scores > self.above
         q, d = np.nonzero(keep)
         if len(q):
-            self.held.append((q, ids.take(pa.array(d)), scores[q, d]))
+            self.held.append((q if of is None else of[q], ids.take(pa.array(d)), scores[q, d]))
             self.size += len(q)
             if self.size > 4 * self.k * len(self.floor) + 100_000:
                 self._cut()

@@ -100,3 +100,15 @@ def test_small_tables(spark, tmp_path):
     assert [(r.doc_id, r.score) for r in files.search(asked).orderBy("rank").collect()] == [(2, 1.0), (2, 1.0), (1, 0.0)]
     none = cells.write(few.where("false"), str(tmp_path / "none"))
     assert none.search(asked).count() == 0
+
+
+def test_loose_bounds_keep_no_pairs(spark, tmp_path):
+    """Vectors without structure, whose bounds tell nothing: results are those of a scan, and a task hands on k rows of a question."""
+    rng = np.random.default_rng(11)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(3000, 48)))], "vec_id long, embedding array<float>")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    files = cells.write(vectors, str(tmp_path), cells=8, parts=2)
+    part = [(r.query_id, r.vector) for r in asked.collect()]
+    found = files.nearest(asked, part, 5, None)
+    assert found.count() <= 5 * len(part) * found.rdd.getNumPartitions()
+    assert pairs(files.search(asked, k=5, probes=None)) == pairs(dense.search(vectors, asked, k=5))
