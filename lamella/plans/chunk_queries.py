@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as T
 from ..functions.metadata import metadata
 from ..operators import assembly, bm25, chunking, fusion
-from ..sources.work import work_dir
+from ..sources.work import settled, work_dir
 from . import index
 from .queries import _ASKED, _BM25, _RANKED, _SECTIONS, QUERIES, _query, _questions, _table
 
@@ -154,15 +154,22 @@ def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n, kind, text``: a regulation with steps, fees, required documents, a special case and Thai-numbered articles."""
     docs = _table(spark, sf_dir, "documents")
     n = (3 + F.col("doc_id") % 20).cast("int")
-    split = F.split(F.coalesce("text", F.lit("")), " ")
-    word = lambda i: F.regexp_replace(F.coalesce(F.get(split, i - 1), F.lit("")), "[^A-Za-z]", "")
-    each = lambda fn: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: fn(i.cast("string"), word(i))), "\n")
     thai = lambda i: F.translate(i, "0123456789", _THAI)
-    parts = [
-        F.lit("intro\nขั้นตอน"), each(lambda i, w: F.concat(i, F.lit(". "), w)), F.lit("ค่าธรรมเนียม\na | b\n--- | ---"), each(lambda i, w: F.concat(w, F.lit(" | "), i)),
-        F.lit("รายการเอกสาร"), each(lambda i, w: F.concat(i, F.lit(") "), w)), F.lit("*** กรณี x\nonce\nหมวด ๑"), each(lambda i, w: F.concat(F.lit("ข้อ "), thai(i), F.lit(" "), w)),
-    ]
-    return docs.select("doc_id", n.alias("n"), F.lit(fv.REGULATION_TYPE).alias("kind"), F.concat_ws("\n", *parts).alias("text"))
+
+    def first_words(split: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), n), lambda i: F.regexp_replace(F.coalesce(F.get(split, i - 1), F.lit("")), "[^A-Za-z]", ""))
+
+    def text(words: Column) -> Column:
+        each = lambda fn: F.array_join(F.transform(words, lambda w, i: fn((i + 1).cast("string"), w)), "\n")
+        parts = [
+            F.lit("intro\nขั้นตอน"), each(lambda i, w: F.concat(i, F.lit(". "), w)), F.lit("ค่าธรรมเนียม\na | b\n--- | ---"), each(lambda i, w: F.concat(w, F.lit(" | "), i)),
+            F.lit("รายการเอกสาร"), each(lambda i, w: F.concat(i, F.lit(") "), w)), F.lit("*** กรณี x\nonce\nหมวด ๑"), each(lambda i, w: F.concat(F.lit("ข้อ "), thai(i), F.lit(" "), w)),
+        ]
+        return F.concat_ws("\n", *parts)
+
+    # a text is split once, not for each item
+    words = chunking.once(F.split(F.coalesce("text", F.lit("")), " "), first_words)
+    return docs.select("doc_id", n.alias("n"), F.lit(fv.REGULATION_TYPE).alias("kind"), chunking.once(words, text).alias("text"))
 
 
 _ITEMS = f"""
@@ -223,6 +230,7 @@ def child_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def section_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = chunking.chunk_tree(structured(spark, sf_dir), type_col="kind", levels=2)
+    tree = settled(tree.select("chunk_id", "parent_chunk_id", "chunk_index", "hierarchy_level", "text"), "tree")  # every join below reads it
     hits = tree.where("hierarchy_level = 1").select("chunk_id")
     return fusion.with_context(hits, tree, siblings=True).select("chunk_id", F.array_join("sibling_ids", ",").alias("sibling_ids"))
 
