@@ -30,15 +30,27 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     return docs.select(F.col(id_col).alias("doc_id"), tokenise(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"), *(keep or []))
 
 
+#: Tokens, and cells of a table of questions and documents, that a task works on at a time.
+_PIECE = 1 << 18
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in pieces of at most about ``_PIECE`` tokens (second column), so that a task's memory doesn't follow the batch."""
+    size = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _PIECE, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def counted(toks: DataFrame) -> DataFrame:
-    """``doc_id, length, terms, tfs``: each document's distinct terms in the order of their first occurrence in the batch, and how often
-    they occur; other columns than tokens stay."""
+    """``doc_id, length, terms, tfs``: each document's distinct terms in the order of their first occurrence in the piece of a batch, and
+    how often they occur; other columns than tokens stay."""
     others = [c for c in toks.columns if c not in ("doc_id", "tokens")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             lists = batch.column(1)
             row = pc.list_parent_indices(lists).to_numpy()
             flat = pc.list_flatten(lists).dictionary_encode()
@@ -156,7 +168,8 @@ def load(spark: SparkSession, path: str) -> Model:
 
 
 def _blocks(queries: DataFrame, block: int) -> Iterator[list[tuple[object, list[str]]]]:
-    """Queries as (id, tokens), collected block by block."""
+    """Queries as (id, tokens), collected block by block; those without a token find nothing and are left out."""
+    queries = queries.where(F.size("tokens") > 0)
     n = max(1, -(-queries.count() // block))
     for i in range(n):
         yield [(r["query_id"], r["tokens"] or []) for r in queries.where(F.coalesce(F.pmod(F.xxhash64("query_id"), F.lit(n)), F.lit(0)) == i).collect()]
@@ -184,9 +197,10 @@ def _scored(rows: DataFrame, queries: DataFrame, part: list[tuple[object, list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, idf_, first, query, wq, ids, mask = shared.value
         best = Best(ids, out_type, k, 0.0)
+        step = min(64, max(1, _PIECE // max(len(ids), 1)))
         for batch in batches:
-            for at in range(0, batch.num_rows if len(terms) else 0, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows if len(terms) else 0, step):
+                piece = batch.slice(at, step)
                 row = pc.list_parent_indices(piece.column(2)).to_numpy()
                 number = pc.index_in(pc.list_flatten(piece.column(2)), value_set=terms)
                 known = number.is_valid().to_numpy(zero_copy_only=False)

@@ -62,9 +62,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
             def run(batches: Iterator[pa.RecordBatch], shared=shared, size=size) -> Iterator[pa.RecordBatch]:
                 ids, q, mask = shared.value
                 best = Best(ids, query_type, k)
+                step = min(2048, max(64, (1 << 19) // len(ids)))  # vectors at a time, so that a table of scores stays small
                 for batch in batches:
-                    for at in range(0, batch.num_rows, 2048):
-                        piece = batch.slice(at, 2048)
+                    for at in range(0, batch.num_rows, step):
+                        piece = batch.slice(at, step)
                         v = piece.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(float)
                         norm = np.sqrt((v * v).sum(axis=1))
                         score = (q @ v.T) / np.where(norm > 0, norm, np.nan)

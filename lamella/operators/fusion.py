@@ -70,11 +70,13 @@ def rerank(hits: DataFrame, score: Column, k: int) -> DataFrame:
 def with_context(hits: DataFrame, chunks: DataFrame, siblings: bool = False) -> DataFrame:
     """Hits (``chunk_id``, ...) with ``parent_text``, ``children_texts`` in order and, if asked for, ``sibling_ids``.
     Missing relatives are left out. Only hits' relatives are read from ``chunks``, by joins on ids."""
-    own = chunks.select("chunk_id", "parent_chunk_id")
+    found = hits.select("chunk_id").distinct()
+    own = chunks.select("chunk_id", "parent_chunk_id").join(found, "chunk_id", "left_semi")
     out = hits.join(own, "chunk_id", "left")
     parents = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), F.col("text").alias("parent_text"))
+    parents = parents.join(own.select("parent_chunk_id").distinct(), "parent_chunk_id", "left_semi")
     out = out.join(parents, "parent_chunk_id", "left")
-    ids = hits.select(F.col("chunk_id").alias("of")).distinct()
+    ids = found.select(F.col("chunk_id").alias("of"))
     below = chunks.select(F.col("parent_chunk_id").alias("of"), "chunk_index", "text").join(ids, "of", "left_semi")
     children = below.groupBy("of").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]).alias("children_texts"))
     out = out.join(children.withColumnRenamed("of", "chunk_id"), "chunk_id", "left").withColumn("children_texts", F.coalesce("children_texts", F.array().cast("array<string>")))

@@ -12,6 +12,7 @@ from ..functions.metadata import metadata
 from ..functions.text import clean_text, tokens
 from ..operators import assembly, bm25, cells, chunking, dense, fusion, postings
 from ..sources import index_store
+from ..sources.work import settled
 from .engine import Config, analysed
 
 Embedder = Callable[[Column], Column]
@@ -20,8 +21,11 @@ Tokeniser = Callable[[Column], Column]
 
 def letters(text: Column) -> Column:
     """A small embedder without a model: how often each letter occurs."""
-    low = F.lower(text)
-    return F.array(*(F.regexp_count(low, F.lit(c)).cast("float") for c in "abcdefghijklmnopqrstuvwxyz"))
+
+    def count(low: Column) -> Column:
+        return F.array(*((F.octet_length(low) - F.octet_length(F.replace(low, F.lit(c), F.lit("")))).cast("float") for c in "abcdefghijklmnopqrstuvwxyz"))
+
+    return chunking.once(F.lower(text), count)
 
 
 def hashed(text: Column) -> Column:
@@ -107,7 +111,7 @@ def chunk_hits(index: Index, asked: DataFrame, level: int | str | None = None, m
 
 def retrieve(index: Index, asked: DataFrame, level: int | str | None = None, mode: str = "hybrid", score: fusion.Scorer = fusion.overlap_score, rerank: bool = True, config: Config = Config()) -> DataFrame:  # noqa: B008
     """Candidates with their chunk's columns, re-ranked to the best ``top_k``. Without ``rerank`` the fused order is cut."""
-    hits = chunk_hits(index, asked, level, mode, config)
+    hits = settled(chunk_hits(index, asked, level, mode, config), "hits")  # small: chunks are met where they lie, and searched once
     if not rerank:
         hits = hits.where(F.col("rank") <= config.top_k)
     rows = index.chunks.select(F.col("chunk_id").alias("doc_id"), F.col("doc_id").alias("document_id"), "parent_chunk_id", "hierarchy_level", "chunk_type", "section_title", "text")
@@ -120,8 +124,8 @@ def retrieve(index: Index, asked: DataFrame, level: int | str | None = None, mod
 
 
 def expanded(index: Index, hits: DataFrame, siblings: bool = False) -> DataFrame:
-    """Hits with parent and children, and siblings if asked for."""
-    return fusion.with_context(hits.drop("parent_chunk_id"), index.chunks, siblings)
+    """Hits with parent and children, and siblings if asked for. Hits are written before they are joined to their relatives."""
+    return fusion.with_context(settled(hits.drop("parent_chunk_id"), "expanded"), index.chunks, siblings)
 
 
 def prompts(hits: DataFrame, shown: int = 3) -> DataFrame:

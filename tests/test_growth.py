@@ -1,5 +1,10 @@
 """What a job does once, and what a task holds."""
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from lamella.operators import bm25
+from lamella.plans import index
 from lamella.plans.chunk_queries import structured
 
 SF = "/root/testdata/sf0.001"
@@ -11,3 +16,33 @@ def plan(df):
 
 def test_structured_texts_are_split_once(spark):
     assert plan(structured(spark, SF).select("text")).count("split(") == 1
+
+
+def test_tokens_are_counted_in_pieces(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([["a"] * 200_000, None, ["b"] * 100_000, ["c"] * 300_000, []])], ["doc_id", "tokens"])
+    got = list(bm25._pieces(batch))
+    assert [p.column(0).to_pylist() for p in got] == [[0, 1], [2], [3], [4]]
+    toks = spark.createDataFrame([(1, ["b", "a", "b"]), (2, None), (3, [])], "doc_id long, tokens array<string>")
+    assert sorted((r.doc_id, r.length, sorted(zip(r.terms, r.tfs, strict=True))) for r in bm25.counted(toks).collect()) == [(1, 3, [("a", 1), ("b", 2)]), (2, 0, []), (3, 0, [])]
+
+
+def test_questions_without_words_cost_no_block(spark):
+    asked = spark.createDataFrame([(i, ["a"] if i == 7 else []) for i in range(10)] + [(10, None)], "query_id long, tokens array<string>")
+    assert list(bm25._blocks(asked, 2)) == [[(7, ["a"])]]
+
+
+def test_letters(spark):
+    got = spark.createDataFrame([("AabZ é",), ("",)], "t string").select(index.letters(F.col("t")).alias("v"))
+    assert [(r.v[0], r.v[1], r.v[25], sum(r.v[2:25])) for r in got.collect()] == [(2.0, 1.0, 1.0, 0.0), (0.0, 0.0, 0.0, 0.0)]
+    assert "regexp" not in plan(got).lower()
+
+
+def test_hits_are_searched_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two\nthree"), (2, "two four")], "doc_id long, text string")
+    built = index.build(docs, str(tmp_path), embed=index.letters, levels=2)
+    asked = index.questions(spark.createDataFrame([(1, "two")], "query_id long, query string"), index.letters)
+    hits = index.retrieve(built, asked, level=0, mode="sparse", rerank=False)
+    assert "MapInArrow" not in plan(hits)
+    got = index.expanded(built, hits)
+    assert plan(got).count("hits-") <= 1
+    assert sorted((r.document_id, r.children_texts) for r in got.collect()) == [(1, ["one two\nthree"]), (2, ["two four"])]
