@@ -112,7 +112,7 @@ _DOMAIN = "CASE WHEN item_id % 2 = 0 THEN 'ที่ดิน ' || text ELSE tex
     SELECT session_id, (last - 1)::BIGINT AS seq, 'user' AS role, query AS content FROM z_turns UNION ALL SELECT session_id, last::BIGINT, 'assistant', answer FROM z_turns"""
 )
 def dialogue_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is remembered of the benchmark's items as requests, half of them about the collection: search, expansion, prompt and answer in one plan."""
+    """What is remembered of the benchmark's items as requests, half of them about the collection: search, expansion, prompt and answer in one call."""
     built, _ = _index(spark, sf_dir)
     query = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("ที่ดิน "), "text")).otherwise(F.col("text"))
     requests = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 7).alias("session_id"), query.alias("query"))
