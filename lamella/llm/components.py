@@ -17,12 +17,8 @@ def _large_star(e: DataFrame, total: int) -> DataFrame:
 def _small_star(e: DataFrame, total: int) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    return (
-        join_hot(down, low, "a", "n", total)
-        .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("s"))
-        .select("s.a", "s.b")
-        .where("a <> b")
-    )
+    # a node is linked to its least neighbour once, and each of the others to that one
+    return join_hot(down, low, "a", "n", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

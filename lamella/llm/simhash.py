@@ -86,6 +86,15 @@ def _link(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, a, b)
 
 
+def stars(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """A forest's links (``a`` to its root ``b``, as indices) as links ``a, b`` of each name to its component's smallest one: units that
+    meet the same classes then give the same links, whatever order they hold them in."""
+    hub = names.copy()
+    np.minimum.at(hub, b, names[a])
+    ends, hubs = np.concatenate([names[a], names[np.unique(b)]]), np.concatenate([hub[b], hub[np.unique(b)]])
+    return pa.RecordBatch.from_arrays([pa.array(ends[ends != hubs]), pa.array(hubs[ends != hubs])], ["a", "b"])
+
+
 def _grid(alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All leaf pairs of pairs of ranges: the pair's number and the two leaves."""
     nb = bhi - blo
@@ -239,9 +248,7 @@ def links(fps: DataFrame, budget: int = 3, node_limit: int = 20_000) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in whole_units(batches):
             unit, side, v, fp = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(4))
-            a, b = trie_links(unit, side, v.view(np.uint64), budget)
-            lo, hi = np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])
-            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], ["a", "b"])
+            yield stars(fp, *trie_links(unit, side, v.view(np.uint64), budget))
 
     return met.select("unit", "side", "v", "fp").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
@@ -416,8 +423,7 @@ def similar_links(classes: DataFrame, similarity: float, miss: float = 0.02, pre
         for got in whole_units(batches):
             unit, side, v, fp = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(4))
             wide = np.frombuffer(b"".join(x for b in got for x in b.column(4).to_pylist()), "<u8").reshape(len(fp), WORDS)
-            a, b = trie_links(unit, side, v.view(np.uint64), budget, 64, 1 << 15, wide, wide_budget)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(fp[a], fp[b])), pa.array(np.minimum(fp[a], fp[b]))], ["a", "b"])
+            yield stars(fp, *trie_links(unit, side, v.view(np.uint64), budget, 64, 1 << 15, wide, wide_budget))
 
     met = classes.select("fp", "wide").mapInArrow(spread, "unit long, side int, v long, fp long, wide binary")
     return met.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
@@ -493,8 +499,7 @@ def verified_links(sets: DataFrame, similarity: float, block: int = 512, rounds:
 
         def done() -> pa.RecordBatch:
             a, b = exact_links(held, similarity) if len(held) > 1 else (np.zeros(0, np.int64),) * 2
-            names = np.array(fps, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
+            return stars(np.array(fps, np.int64), a, b)
 
         for batch in batches:
             for u, fp, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_sets(batch.column(2)), strict=True):

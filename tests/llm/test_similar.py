@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lamella.llm import simhash
+from lamella.llm.components import _small_star, components
 
 
 def graded(seed=0, n=40, words=320):
@@ -99,3 +100,22 @@ def test_paths_alike_do_not_fill_memory():
     wide[-1, 1:] = ~np.uint64(0)
     a, b = simhash.trie_links(np.zeros(n, np.int64), np.zeros(n, np.int64), wide[:, 0].copy(), 18, 64, 1 << 15, wide, 56)
     assert len(set(a.tolist()) | set(b.tolist())) == n - 1
+
+
+def test_near_copies_have_few_candidate_links(spark):
+    """A group of near copies meets in many tries; a class is linked to the smallest of its unit, which is mostly the same one."""
+    rng = np.random.default_rng(5)
+    bits = np.tile(rng.integers(0, 2, 64 * simhash.WORDS).astype(np.uint8), (400, 1))
+    for row in bits:
+        row[rng.choice(len(row), 6, replace=False)] ^= 1
+    rows = [(int(fp), bytearray(np.packbits(b, bitorder="little").tobytes())) for fp, b in zip(rng.permutation(400), bits, strict=True)]
+    links = {(r.a, r.b) for r in simhash.similar_links(spark.createDataFrame(rows, "fp long, wide binary"), 0.8).collect()}
+    assert len(links) < 12 * 400
+    assert {r.root for r in components(spark.createDataFrame(sorted(links), "a long, b long")).collect()} == {0}
+
+
+def test_a_small_star_makes_no_row_twice(spark):
+    edges = spark.createDataFrame([(1000, i) for i in range(300)] + [(2000, i) for i in range(300)], "a long, b long")
+    got = [(r.a, r.b) for r in _small_star(edges, 600).collect()]
+    assert len(got) == 600
+    assert set(got) == {(i, 0) for i in range(1, 300)} | {(1000, 0), (2000, 0)}
