@@ -7,6 +7,9 @@ weights, without postings: their sum over a question's terms bounds every score
 are scored, which gives each question a k-th score to beat; of the others only those whose bound reaches it are read. The result is the
 same as that of a scan of all documents (``bm25.Model.search``), ties included.
 
+The blocks of a segment meet in one task, which scores all questions that chose it and hands on the best k of each: a posting is dealt
+once, however many questions have its term, and a pair of question and document is never a row.
+
 A question costs a row for each segment that has one of its terms. For thousands of questions at a time the scan, which reads everything
 once, is the better choice. No document's terms are numbered or sorted by one task; a term that every document has is as many
 blocks as there are segments.
@@ -15,15 +18,21 @@ blocks as there are segments.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.work import settled
 from . import bm25
+from .topk import Best
 
 SEGMENT_DOCS, BUCKETS = 4096, 64
 _SLACK = 1e-6  # scores are rounded to six digits before they are compared
@@ -33,14 +42,55 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
+def _stretches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[pa.RecordBatch]]:
+    """Rows sorted by their first ``n`` columns, as lists of slices with equal ones."""
+    key, held = None, []
+    for batch in batches:
+        at = 0
+        for now, same in groupby(zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True)):
+            size = sum(1 for _ in same)
+            if now != key and held:
+                yield held
+                held = []
+            key = now
+            held.append(batch.slice(at, size))
+            at += size
+    if held:
+        yield held
+
+
+def _segment_blocks(parts: list[pa.RecordBatch], avg: float) -> list[pa.Array] | None:
+    """The columns of one segment's blocks, from its documents (last columns ``doc_id, length, terms, tfs``)."""
+    *place, doc, length, terms, tfs = (pa.concat_arrays([p.column(i) for p in parts]) for i in range(parts[0].num_columns))
+    owner, flat = pc.list_parent_indices(terms).to_numpy(), pc.list_flatten(terms).dictionary_encode()
+    if not len(flat):
+        return None
+    tf, code = pc.list_flatten(tfs).to_numpy().astype(float), flat.indices.to_numpy()
+    part = tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * length.to_numpy().astype(float)[owner] / avg))
+    order = np.argsort(code, kind="stable")
+    offsets = np.searchsorted(code[order], np.arange(len(flat.dictionary) + 1)).astype(np.int32)
+    postings = pa.StructArray.from_arrays([doc.take(pa.array(owner[order])), pa.array(part[order])], ["doc_id", "part"])
+    same = pa.array(np.zeros(len(flat.dictionary), np.int64))
+    return [*(c.take(same) for c in place), flat.dictionary, pa.array(np.maximum.reduceat(part[order], offsets[:-1])), pa.ListArray.from_arrays(pa.array(offsets), postings)]
+
+
 def write(model: bm25.Model, path: str, by: str | None = None, segment_docs: int = SEGMENT_DOCS, buckets: int = BUCKETS) -> Postings:
     """Keep the postings of a fitted model under ``path``; ``by`` is a column of its documents that searches may filter by."""
     segments = max(1, -(-model.doc_count // segment_docs))
     keys = [by] if by else []
-    each = model.documents.select("doc_id", "length", *keys, F.explode(F.arrays_zip("terms", "tfs")).alias("p"), F.pmod(F.xxhash64("doc_id"), F.lit(segments)).alias("segment"))
-    part = bm25.weight(F.col("p.tfs").cast("double"), F.col("length"), F.lit(float(model.avg_doc_length or 1)), F.lit(1.0))
-    rows = each.select(*keys, F.col("p.terms").alias("term"), "segment", F.struct("doc_id", part.alias("part")).alias("posting"))
-    blocks = rows.groupBy(*keys, "term", "segment").agg(F.max("posting.part").alias("most"), F.collect_list("posting").alias("postings")).withColumn("bucket", _bucket(buckets))
+    kinds = [f"`{c}` {model.documents.schema[c].dataType.simpleString()}" for c in keys]
+    posting = f"struct<doc_id: {model.documents.schema['doc_id'].dataType.simpleString()}, part: double>"
+    avg = float(model.avg_doc_length or 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _stretches(batches, 1 + len(keys)):
+            if (got := _segment_blocks(parts, avg)) is not None:
+                yield pa.RecordBatch.from_arrays(got, ["segment", *keys, "term", "most", "postings"])
+
+    # documents are dealt to segments whole, so that an id is shuffled once and not with each of its terms
+    dealt = model.documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(segments)).alias("segment"), *keys, "doc_id", "length", "terms", "tfs")
+    rows = dealt.repartition("segment").sortWithinPartitions("segment", *keys).mapInArrow(run, ", ".join(["segment long", *kinds, "term string", "most double", f"postings array<{posting}>"]))
+    blocks = rows.select(*keys, "term", "segment", "most", "postings").withColumn("bucket", _bucket(buckets))
     order = [*keys, "bucket", "term", "segment"]
     blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(*keys, "bucket").parquet(f"{path}/blocks")
     terms = model.terms.select("term", "idf").withColumn("bucket", _bucket(buckets))
@@ -108,6 +158,60 @@ class Postings:
         met = self._blocks(buckets, words, value).join(wanted, ["term", *self._place]).select("query_id", "weight", F.explode("postings").alias("p"))
         return met.groupBy("query_id", F.col("p.doc_id").alias("doc_id")).agg(F.round(F.sum(F.col("weight") * F.col("p.part")), 6).alias("score"))
 
+    def best(self, asked: DataFrame, chosen: DataFrame, k: int, buckets: list[int], words: list[str], value: object = None) -> DataFrame:
+        """``query_id, doc_id, score``: the k best documents of each question in each task, in its chosen segments
+        (``query_id, (by,) segment``); what ``scored`` gives, less those that can't be among the k best."""
+        own = [r for r in asked.collect() if r["query_id"] is not None]  # a block of questions' own terms
+        ids, terms = list(dict.fromkeys(r["query_id"] for r in own)), sorted({r["term"] for r in own})
+        number, term_no = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(terms)}
+        own.sort(key=lambda r: r["term"])
+        first = np.searchsorted([term_no[r["term"]] for r in own], np.arange(len(terms) + 1))
+        query, weight = np.array([number[r["query_id"]] for r in own], np.int64), np.array([r["weight"] for r in own], float)
+        id_type = asked.schema["query_id"].dataType.simpleString()
+        kind = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())
+        shared = self.blocks.sparkSession.sparkContext.broadcast((ids, terms, number, first, query, weight))
+        place, n_place = self._place, len(self._place)
+
+        def segment(parts: list[pa.RecordBatch], found: Best) -> None:
+            _, terms, number, first, query, weight = shared.value
+            asking = parts[0].column(n_place + 2)[0].as_py()  # the row without a term comes first
+            if asking is None:
+                return
+            some = np.array(sorted(number[q] for q in asking if q in number), np.int64)
+            row = np.full(len(number), -1)
+            row[some] = np.arange(len(some))
+            lists = pa.concat_arrays([p.column(n_place + 1) for p in parts])
+            code = pc.fill_null(pc.index_in(pa.concat_arrays([p.column(n_place) for p in parts]), value_set=pa.array(terms, pa.string())), 0).to_numpy()
+            code, flat = code[pc.list_parent_indices(lists).to_numpy()], pc.list_flatten(lists)
+            if not len(flat) or not len(some):
+                return
+            docs, part = pc.struct_field(flat, "doc_id").dictionary_encode(null_encoding="encode"), pc.struct_field(flat, "part").to_numpy()
+            at, size = docs.indices.to_numpy(), len(docs.dictionary)
+            n = first[code + 1] - first[code]
+            piece = np.cumsum(n) // bm25._PIECE
+            scores = np.zeros(len(some) * size)
+            for lo, hi in zip(*(lambda c: (c, [*c[1:], len(n)]))(np.searchsorted(piece, np.unique(piece)).tolist()), strict=True):
+                m = n[lo:hi]
+                where = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[code[lo:hi]], m)
+                mine = row[query[where]]
+                cell, add = mine * size + np.repeat(at[lo:hi], m), weight[where] * np.repeat(part[lo:hi], m)
+                scores += np.bincount(cell[mine >= 0], add[mine >= 0], len(scores))
+            found.add(docs.dictionary, scores.reshape(len(some), size), some)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = Best(shared.value[0], kind, k, 0.0)
+            for parts in _stretches(batches, n_place):
+                segment(parts, found)
+            if (got := found.batch()) is not None:
+                yield got
+
+        heads = chosen.groupBy(*place).agg(F.collect_set("query_id").alias("queries"))
+        blocks = self._blocks(buckets, words, value).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+        blocks = blocks.join(F.broadcast(heads.select(*place)), place, "left_semi").select(*place, "term", "postings", F.lit(None).cast(f"array<{id_type}>").alias("queries"))
+        heads = heads.select(*place, F.lit(None).cast("string").alias("term"), F.lit(None).cast(self.blocks.schema["postings"].dataType).alias("postings"), "queries")
+        rows = blocks.unionByName(heads).repartition(*place).sortWithinPartitions(*place, "term")
+        return rows.mapInArrow(run, f"query_id {id_type}, doc_id {self._id_type}, score double")
+
     def search(self, queries: DataFrame, k: int = 10, classic: bool = False, value: object = None, seeds: int = 4, block: int = 200) -> DataFrame:
         """``query_id, doc_id, score, rank`` as ``bm25.Model.search`` gives, for questions (``query_id, tokens``); ``value`` is that of the
         ``by`` column. ``seeds`` segments are scored first."""
@@ -130,8 +234,8 @@ class Postings:
         order = ", ".join(self._place)
         numbered = bounds.withColumn("place", F.expr(f"row_number() OVER (PARTITION BY query_id ORDER BY bound DESC, {order})"))
         first = settled(numbered.where(F.col("place") <= seeds).drop("place"), "seeds")
-        seeded = settled(self.scored(asked, first, buckets, words, value).where("score > 0"), "seeded")
+        seeded = settled(self.best(asked, first, k, buckets, words, value), "seeded")
         kth = bm25.ranked(seeded, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
         rest = bounds.join(F.broadcast(kth), "query_id", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - _SLACK)).drop("kth")
         rest = rest.join(F.broadcast(first.select("query_id", *self._place)), ["query_id", *self._place], "left_anti")
-        return seeded.unionByName(self.scored(asked, rest, buckets, words, value).where("score > 0"))
+        return seeded.unionByName(self.best(asked, rest, k, buckets, words, value))

@@ -50,6 +50,18 @@ def test_a_question_reads_its_blocks_only(spark, kept):
     assert max(r.score for r in scored) == max(best.values()) <= max(top.values()) + 1e-6
 
 
+def test_a_posting_is_dealt_once(kept):
+    """However many questions have its term, and a task hands on k rows of a question."""
+    _, files, asked = kept
+    part = [(r.query_id, ["w1", "w2", "w3"]) for r in asked.collect()]
+    own, buckets, terms = files.asked(part, "bigint")
+    everywhere = files.bounds(own, buckets, terms).select("query_id", "level", "segment")
+    found = files.best(own, everywhere, 3, buckets, terms)
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() <= 3 * len(part) * found.rdd.getNumPartitions() < files.scored(own, everywhere, buckets, terms).count()
+    assert pairs(bm25.ranked(found, 3)) == pairs(bm25.ranked(files.scored(own, everywhere, buckets, terms).where("score > 0"), 3))
+
+
 def test_other_ids_and_no_documents(spark, tmp_path):
     toks = spark.createDataFrame([("x", ["a", "b"]), ("y", ["b"])], "doc_id string, tokens array<string>")
     files = postings.write(bm25.fit(toks, str(tmp_path / "m")), str(tmp_path / "p"))
