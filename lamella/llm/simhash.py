@@ -516,9 +516,9 @@ def verified_links(sets: DataFrame, similarity: float, block: int = 512, rounds:
         return rows.select("unit", "fp", "set").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
     sizes = stored(sets.groupBy("root").agg(F.count("*").alias("n")), "sizes")
-    out = within(sets.join(sizes.where(F.col("n") <= block), "root").withColumn("unit", F.col("root").cast("string")))
+    small = sets.join(sizes.where(F.col("n") <= block), "root").select(F.col("root").cast("string").alias("unit"), "fp", "set")
     if sizes.where(F.col("n") > block).isEmpty():
-        return out
+        return within(small)
 
     def by_pivot(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = [bool(_alike(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), similarity)) for a, b in zip(as_sets(batch.column(2)), as_sets(batch.column(4)), strict=True)]
@@ -539,7 +539,7 @@ def verified_links(sets: DataFrame, similarity: float, block: int = 512, rounds:
         left = stored(left.join(now.select("fp"), "fp", "left_anti"), "left")
         if left.isEmpty():
             break
-    out = out.unionByName(edges.where("pivot <> fp").select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
+    pivoted = edges.where("pivot <> fp").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
     # a class has at most ``rounds`` pivots, so a component has few different sets of them; sets that overlap are one group
     near = stored(edges.groupBy("root", "fp").agg(F.array_sort(F.collect_set("pivot")).alias("near")), "near")
     reach = F.expr(f"aggregate(sequence(1, {rounds}), near, (z, i) -> array_distinct(flatten(filter(sets, s -> arrays_overlap(s, z)))))")
@@ -556,7 +556,7 @@ def verified_links(sets: DataFrame, similarity: float, block: int = 512, rounds:
     placed = labels.join(groups.withColumnRenamed("root", "r").withColumnRenamed("label", "l"), F.expr("root = r AND label <=> l"))
     placed = placed.select("fp", "root", F.concat_ws(" ", F.coalesce(F.col("label").cast("string"), F.lit("-")), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("string")).alias("block"))
     rows = every.select("fp", "set").join(placed, "fp").join(units, ["root", "block"])
-    return out.unionByName(within(rows))
+    return pivoted.unionByName(within(small.unionByName(rows.select("unit", "fp", "set"))))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, miss: float = 0.02, prefix: int = 14, unit_limit: int = 50_000, block: int = 512) -> DataFrame:

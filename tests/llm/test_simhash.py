@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from lamella.llm import simhash
+from lamella.llm.common import stored
 from lamella.llm.components import components
 
 
@@ -121,3 +122,16 @@ def test_hot_classes_and_stars(spark):
     assert {got[i] for i in range(3000)} == {0} and len(got) == 3600 and fps
     edges = spark.createDataFrame([(i, 5000) for i in range(1, 3000)] + [(7000, 7001)], "a long, b long")
     assert {(r.node, r.root) for r in components(edges).collect()} == {(i, 1) for i in [*range(1, 3000), 5000]} | {(7000, 7000), (7001, 7000)}
+
+
+def test_stars_need_no_round_and_none_is_made_twice(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr("lamella.llm.components.stored", lambda df, label: made.append(label) or stored(df, label))
+    for links, roots, rounds in (
+        ([(i, 1) for i in range(2, 40)] + [(1, 7), (50, 60), (60, 50)], {i: 1 for i in range(1, 40)} | {50: 50, 60: 50}, 0),
+        ([(1, 9), (2, 9), (2, 8), (3, 8)], {i: 1 for i in (1, 2, 3, 8, 9)}, 2),
+        ([], {}, 0),
+    ):
+        made.clear()
+        assert {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == roots
+        assert made.count("nodes") == 1 + rounds and len(made) == 2 + 4 * rounds
