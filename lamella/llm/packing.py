@@ -48,21 +48,24 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
         from lamella.llm.packing import _tokenizer  # the worker's own module holds the memory
 
         tok = _tokenizer(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                owner, rows = [], []
-                for i, ids in enumerate(tok.encode(part.column(1).to_pylist())):
-                    data = ids.astype("<u4").tobytes() + end
-                    for k, b in enumerate(range(0, len(data), step)):
-                        cut = data[b : b + step]
-                        owner.append(i)
-                        rows.append((k, b // 4, len(cut) // 4, zlib.crc32(cut)))
-                cols = np.array(rows, np.int64).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(owner)), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, j]) for j in (1, 2, 3))],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    owner, rows = [], []
+                    for i, ids in enumerate(tok.encode(part.column(1).to_pylist())):
+                        data = ids.astype("<u4").tobytes() + end
+                        for k, b in enumerate(range(0, len(data), step)):
+                            cut = data[b : b + step]
+                            owner.append(i)
+                            rows.append((k, b // 4, len(cut) // 4, zlib.crc32(cut)))
+                    cols = np.array(rows, np.int64).reshape(-1, 4)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(owner)), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, j]) for j in (1, 2, 3))],
+                        ["doc_id", "piece", "start", "length", "ids_crc32"],
+                    )
+        finally:
+            tok.forget()  # a worker outlives its task and serves other stages
 
     return source.mapInArrow(run, PIECE_SCHEMA.format(id=source.schema["doc_id"].dataType.simpleString()))
 

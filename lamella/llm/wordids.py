@@ -128,9 +128,10 @@ class WordTokenizer:
             and all(x["content"].startswith("<|") for x in told["added_tokens"])
         )
         self._letters = _byte_letters()
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Let go of all words met so far."""
         self._table = WordTable()
         self._letter_ids: dict[str, bytes] = {}
         self._mark_ids: dict[str, bytes] = {"": b""}
@@ -205,7 +206,7 @@ class WordTokenizer:
     def _joined(self, raws: list[bytes]) -> list[np.ndarray]:
         """Ids of each text; all texts are taken together."""
         if self._table.n > self._limit:
-            self._forget()
+            self.forget()
         start, number = self._numbers(b"\n".join(raws))
         table = self._table
         first = table.first[number]

@@ -113,3 +113,18 @@ def test_pack_documents(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(packing.pieces(docs, PATH)).count() == 0
+
+
+def test_workers_keep_no_words_after_their_tasks(spark):
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, f"alpha beta gamma{i} delta") for i in range(200)], "doc_id long, text string").repartition(4)
+    assert packing.pieces(docs, PATH).agg({"length": "sum"}).first()[0] > 800
+
+    def held(batches):
+        from lamella.llm import packing as own
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(t._table.n for t in own._TOKENIZERS.values())])], ["n"])
+
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}
