@@ -142,3 +142,58 @@ def test_cosines_of_passages_with_repeated_words(spark):
     got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (1, 0), (2, 0), (3, 1)}
     assert all(0 <= r.cosine <= 1 for r in got)
+
+
+def topics(rng, n=220):
+    """Documents of two words each, which no other document has, and items that have all of these words."""
+    vocab = [f"t{i}" for i in range(2 * n)]
+    docs = [" ".join(rng.choice(vocab[2 * i : 2 * i + 2]) for _ in range(48)) for i in range(n)]
+    rng.shuffle(vocab)
+    return docs, [" ".join(vocab[i::5]) for i in range(5)]
+
+
+def fitted(spark, docs, items):
+    rows = lambda ts: spark.createDataFrame([(t,) for t in ts], "raw string").selectExpr("cast(raw AS binary) AS raw")
+    return dc.fit(rows(docs).repartition(3), rows(items))
+
+
+def kept(space, text):
+    """The share of a passage's vector that the space keeps."""
+    h = dc.features(dc.word_hashes(text.encode()))
+    _, col, x = dc.vectors(h, np.array([0]), np.array([len(h)]), space.idf)
+    some = space.index[col] >= 0
+    return float(np.linalg.norm(x[some] @ space.basis[space.index[col[some]]]))
+
+
+def test_the_space_is_fitted_on_all_documents(spark, monkeypatch):
+    docs, items = topics(random.Random(2))
+    space = fitted(spark, docs, items)
+    assert min(kept(space, t) for t in docs) > 0.99
+    monkeypatch.setattr(dc, "_GRAM", 0, raising=False)  # by passes over the texts instead of products of features
+    space = fitted(spark, docs, items)
+    assert min(kept(space, t) for t in docs) > 0.99
+
+
+def test_products_of_features_against_brute_force():
+    rng = random.Random(4)
+    raws = [" ".join(f"w{min(rng.randint(0, 60), rng.randint(0, 60))}" for _ in range(n)).encode() for n in (0, 1, 3, 47, 48, 49, 65, 300, 2000)]
+    idf = np.random.default_rng(1).random(dc.DIMS) + 0.1
+    used = np.unique(dc.features(dc.word_hashes(b" ".join(b"w%d" % i for i in range(0, 60, 2)))))
+    index = np.full(dc.DIMS, -1)
+    index[used] = np.arange(len(used))
+    want = np.zeros((len(used), len(used)))
+    for raw in raws:
+        h = dc.features(dc.word_hashes(raw))
+        if len(h):
+            row, col, x = dc.vectors(h, *dc.passages(len(h)), idf)
+            a = np.zeros((row.max() + 1, len(used)))
+            a[row[index[col] >= 0], index[col[index[col] >= 0]]] = x[index[col] >= 0]
+            want += a.T @ a
+    n = len(used)
+    order, square = np.zeros(dc.DIMS + 1, np.uint16), np.zeros(dc.DIMS + 1)
+    order[np.concatenate([used, np.setdiff1d(np.arange(dc.DIMS), used), [dc.DIMS]])] = np.arange(dc.DIMS + 1)
+    square[order[: dc.DIMS]] = idf**2
+    total = np.zeros((n + 1) ** 2)
+    dc.add_products(raws, order, square, n, total)
+    got = total.reshape(n + 1, n + 1)[:n, :n] * idf[used] * idf[used][:, None]
+    assert np.allclose(got + got.T, want)
