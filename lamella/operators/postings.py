@@ -1,7 +1,8 @@
 """An inverted index for BM25 at rest, with the largest weight of every block.
 
 Documents are dealt by hash to segments of about ``segment_docs``; a block holds one term's postings in one segment, and
-how much of a score it can give at most. Blocks lie in folders by the term's bucket (and by a column such as a chunk's
+how much of a score it can give at most. A posting is a document's place in its segment and how often it has the term; ids and lengths
+are kept once a segment, in a row without a term. Blocks lie in folders by the term's bucket (and by a column such as a chunk's
 level), sorted by term, so a question reads its terms' folders and row groups only. A search first reads the blocks' largest
 weights, without postings: their sum over a question's terms bounds every score in a segment. The segments of the highest bounds
 are scored, which gives each question a k-th score to beat; of the others only those whose bound reaches it are read. The result is the
@@ -35,6 +36,7 @@ from . import bm25
 from .topk import Best
 
 SEGMENT_DOCS, BUCKETS = 4096, 64
+_MEMBERS = -1  # the bucket of segments' own rows
 _SLACK = 1e-6  # scores are rounded to six digits before they are compared
 
 
@@ -59,19 +61,27 @@ def _stretches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[pa.Re
         yield held
 
 
-def _segment_blocks(parts: list[pa.RecordBatch], avg: float) -> list[pa.Array] | None:
-    """The columns of one segment's blocks, from its documents (last columns ``doc_id, length, terms, tfs``)."""
+def _part(tf: np.ndarray, length: np.ndarray, avg: float) -> np.ndarray:
+    """What a posting adds to a score, less the question's weight of the term."""
+    return tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * length / avg))
+
+
+def _segment_blocks(parts: list[pa.RecordBatch], avg: float) -> list[list[pa.Array]]:
+    """The columns of one segment's row and of its blocks, from its documents (last columns ``doc_id, length, terms, tfs``)."""
     *place, doc, length, terms, tfs = (pa.concat_arrays([p.column(i) for p in parts]) for i in range(parts[0].num_columns))
     owner, flat = pc.list_parent_indices(terms).to_numpy(), pc.list_flatten(terms).dictionary_encode()
     if not len(flat):
-        return None
-    tf, code = pc.list_flatten(tfs).to_numpy().astype(float), flat.indices.to_numpy()
-    part = tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * length.to_numpy().astype(float)[owner] / avg))
+        return []
+    count, code = pc.list_flatten(tfs), flat.indices.to_numpy()
+    part = _part(count.to_numpy().astype(float), length.to_numpy().astype(float)[owner], avg)
     order = np.argsort(code, kind="stable")
-    offsets = np.searchsorted(code[order], np.arange(len(flat.dictionary) + 1)).astype(np.int32)
-    postings = pa.StructArray.from_arrays([doc.take(pa.array(owner[order])), pa.array(part[order])], ["doc_id", "part"])
-    same = pa.array(np.zeros(len(flat.dictionary), np.int64))
-    return [*(c.take(same) for c in place), flat.dictionary, pa.array(np.maximum.reduceat(part[order], offsets[:-1])), pa.ListArray.from_arrays(pa.array(offsets), postings)]
+    size = len(flat.dictionary)
+    offsets = np.searchsorted(code[order], np.arange(size + 1)).astype(np.int32)
+    at, tf = (pa.ListArray.from_arrays(pa.array(offsets), c) for c in (pa.array(owner[order].astype(np.int32)), count.take(pa.array(order)).cast(pa.int32())))
+    ids, lengths = (pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (doc, length.cast(pa.int32())))
+    same = pa.array(np.zeros(size, np.int64))
+    own = [*(c.slice(0, 1) for c in place), pa.nulls(1, pa.string()), pa.nulls(1, pa.float64()), pa.nulls(1, at.type), pa.nulls(1, tf.type), ids, lengths]
+    return [own, [*(c.take(same) for c in place), flat.dictionary, pa.array(np.maximum.reduceat(part[order], offsets[:-1])), at, tf, pa.nulls(size, ids.type), pa.nulls(size, lengths.type)]]
 
 
 def write(model: bm25.Model, path: str, by: str | None = None, segment_docs: int = SEGMENT_DOCS, buckets: int = BUCKETS) -> Postings:
@@ -79,18 +89,21 @@ def write(model: bm25.Model, path: str, by: str | None = None, segment_docs: int
     segments = max(1, -(-model.doc_count // segment_docs))
     keys = [by] if by else []
     kinds = [f"`{c}` {model.documents.schema[c].dataType.simpleString()}" for c in keys]
-    posting = f"struct<doc_id: {model.documents.schema['doc_id'].dataType.simpleString()}, part: double>"
+    id_type = model.documents.schema["doc_id"].dataType.simpleString()
+    columns = ["term string", "most double", "at array<int>", "tf array<int>", f"ids array<{id_type}>", "lengths array<int>"]
     avg = float(model.avg_doc_length or 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _stretches(batches, 1 + len(keys)):
-            if (got := _segment_blocks(parts, avg)) is not None:
-                yield pa.RecordBatch.from_arrays(got, ["segment", *keys, "term", "most", "postings"])
+            for got in _segment_blocks(parts, avg):
+                yield pa.RecordBatch.from_arrays(got, ["segment", *keys, *(c.split()[0] for c in columns)])
 
-    # documents are dealt to segments whole, so that an id is shuffled once and not with each of its terms
+    # documents are dealt to segments whole, in an order of their own, so that a task that runs again gives them the same places
     dealt = model.documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(segments)).alias("segment"), *keys, "doc_id", "length", "terms", "tfs")
-    rows = dealt.repartition("segment").sortWithinPartitions("segment", *keys).mapInArrow(run, ", ".join(["segment long", *kinds, "term string", "most double", f"postings array<{posting}>"]))
-    blocks = rows.select(*keys, "term", "segment", "most", "postings").withColumn("bucket", _bucket(buckets))
+    dealt = dealt.repartition("segment").sortWithinPartitions("segment", *keys, "doc_id", F.xxhash64("terms", "tfs"))
+    rows = dealt.mapInArrow(run, ", ".join(["segment long", *kinds, *columns]))
+    bucket = F.when(F.col("term").isNull(), F.lit(_MEMBERS)).otherwise(_bucket(buckets))
+    blocks = rows.select(*keys, "term", "segment", "most", "at", "tf", "ids", "lengths").withColumn("bucket", bucket)
     order = [*keys, "bucket", "term", "segment"]
     blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(*keys, "bucket").parquet(f"{path}/blocks")
     terms = model.terms.select("term", "idf").withColumn("bucket", _bucket(buckets))
@@ -143,6 +156,11 @@ class Postings:
             rows = rows.where(F.col(self.by) == value)
         return rows
 
+    def _members(self, value: object) -> DataFrame:
+        """``(by,) segment, ids, lengths`` of the segments' documents, in the order of their places."""
+        rows = self.blocks.where(F.col("bucket") == _MEMBERS)
+        return (rows if value is None else rows.where(F.col(self.by) == value)).select(*self._place, "ids", "lengths")
+
     @property
     def _place(self) -> list[str]:
         return [*([self.by] if self.by else []), "segment"]
@@ -155,8 +173,13 @@ class Postings:
     def scored(self, asked: DataFrame, chosen: DataFrame, buckets: list[int], words: list[str], value: object = None) -> DataFrame:
         """``query_id, doc_id, score`` of all documents in chosen segments (``query_id, (by,) segment``)."""
         wanted = chosen.join(F.broadcast(asked), "query_id")
-        met = self._blocks(buckets, words, value).join(wanted, ["term", *self._place]).select("query_id", "weight", F.explode("postings").alias("p"))
-        return met.groupBy("query_id", F.col("p.doc_id").alias("doc_id")).agg(F.round(F.sum(F.col("weight") * F.col("p.part")), 6).alias("score"))
+        met = self._blocks(buckets, words, value).drop("ids", "lengths").join(wanted, ["term", *self._place])
+        met = met.select("query_id", "weight", *self._place, F.explode(F.arrays_zip("at", "tf")).alias("p"))
+        of = self._members(value).select(*self._place, F.posexplode(F.arrays_zip("ids", "lengths")).alias("at", "d")).select(*self._place, "at", F.col("d.ids").alias("doc_id"), F.col("d.lengths").alias("length"))
+        tf = F.col("tf").cast("double")
+        part = tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * F.col("length") / self.avg_doc_length))
+        met = met.select("query_id", "weight", *self._place, "p.at", "p.tf").join(of, [*self._place, "at"])
+        return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * part), 6).alias("score"))
 
     def best(self, asked: DataFrame, chosen: DataFrame, k: int, buckets: list[int], words: list[str], value: object = None) -> DataFrame:
         """``query_id, doc_id, score``: the k best documents of each question in each task, in its chosen segments
@@ -170,23 +193,24 @@ class Postings:
         id_type = asked.schema["query_id"].dataType.simpleString()
         kind = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())
         shared = self.blocks.sparkSession.sparkContext.broadcast((ids, terms, number, first, query, weight))
-        place, n_place = self._place, len(self._place)
+        place, n_place, avg = self._place, len(self._place), self.avg_doc_length
 
         def segment(parts: list[pa.RecordBatch], found: Best) -> None:
             _, terms, number, first, query, weight = shared.value
-            asking = parts[0].column(n_place + 2)[0].as_py()  # the row without a term comes first
+            asking = parts[0].column(n_place + 3)[0].as_py()  # the row without a term comes first
             if asking is None:
                 return
             some = np.array(sorted(number[q] for q in asking if q in number), np.int64)
             row = np.full(len(number), -1)
             row[some] = np.arange(len(some))
-            lists = pa.concat_arrays([p.column(n_place + 1) for p in parts])
+            lists, counts = (pa.concat_arrays([p.column(n_place + i) for p in parts]) for i in (1, 2))
             code = pc.fill_null(pc.index_in(pa.concat_arrays([p.column(n_place) for p in parts]), value_set=pa.array(terms, pa.string())), 0).to_numpy()
-            code, flat = code[pc.list_parent_indices(lists).to_numpy()], pc.list_flatten(lists)
-            if not len(flat) or not len(some):
+            code, at = code[pc.list_parent_indices(lists).to_numpy()], pc.list_flatten(lists).to_numpy()
+            if not len(at) or not len(some):
                 return
-            docs, part = pc.struct_field(flat, "doc_id").dictionary_encode(null_encoding="encode"), pc.struct_field(flat, "part").to_numpy()
-            at, size = docs.indices.to_numpy(), len(docs.dictionary)
+            docs, length = (parts[0].column(n_place + i)[0].values for i in (4, 5))
+            size = len(docs)
+            part = _part(pc.list_flatten(counts).to_numpy().astype(float), length.to_numpy().astype(float)[at], avg)
             n = first[code + 1] - first[code]
             piece = np.cumsum(n) // bm25._PIECE
             scores = np.zeros(len(some) * size)
@@ -196,7 +220,7 @@ class Postings:
                 mine = row[query[where]]
                 cell, add = mine * size + np.repeat(at[lo:hi], m), weight[where] * np.repeat(part[lo:hi], m)
                 scores += np.bincount(cell[mine >= 0], add[mine >= 0], len(scores))
-            found.add(docs.dictionary, scores.reshape(len(some), size), some)
+            found.add(docs, scores.reshape(len(some), size), some)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = Best(shared.value[0], kind, k, 0.0)
@@ -207,8 +231,8 @@ class Postings:
 
         heads = chosen.groupBy(*place).agg(F.collect_set("query_id").alias("queries"))
         blocks = self._blocks(buckets, words, value).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-        blocks = blocks.join(F.broadcast(heads.select(*place)), place, "left_semi").select(*place, "term", "postings", F.lit(None).cast(f"array<{id_type}>").alias("queries"))
-        heads = heads.select(*place, F.lit(None).cast("string").alias("term"), F.lit(None).cast(self.blocks.schema["postings"].dataType).alias("postings"), "queries")
+        blocks = blocks.join(F.broadcast(heads.select(*place)), place, "left_semi").select(*place, "term", "at", "tf", F.lit(None).cast(f"array<{id_type}>").alias("queries"), "ids", "lengths")
+        heads = heads.join(self._members(value), place).select(*place, F.lit(None).cast("string").alias("term"), *(F.lit(None).cast("array<int>").alias(c) for c in ("at", "tf")), "queries", "ids", "lengths")
         rows = blocks.unionByName(heads).repartition(*place).sortWithinPartitions(*place, "term")
         return rows.mapInArrow(run, f"query_id {id_type}, doc_id {self._id_type}, score double")
 
@@ -226,7 +250,7 @@ class Postings:
 
     @property
     def _id_type(self) -> str:
-        return self.blocks.schema["postings"].dataType.elementType["doc_id"].dataType.simpleString()
+        return self.blocks.schema["ids"].dataType.elementType.simpleString()
 
     def _search(self, part: list[tuple[object, list[str]]], id_type: str, k: int, classic: bool, value: object, seeds: int) -> DataFrame:
         asked, buckets, words = self.asked(part, id_type, classic)

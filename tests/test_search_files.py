@@ -124,3 +124,19 @@ def test_loose_bounds_keep_no_pairs(spark, tmp_path):
     found = files.nearest(asked, part, 5, None)
     assert found.count() <= 5 * len(part) * found.rdd.getNumPartitions()
     assert pairs(files.search(asked, k=5, probes=None)) == pairs(dense.search(vectors, asked, k=5))
+
+
+def test_an_id_lies_once_in_the_files(spark, tmp_path):
+    """Not with each of its document's terms; repeated ids stay documents of their own, as in a scan."""
+    rng = random.Random(3)
+    rows = [(f"{i:064d}", words(rng, 120)) for i in range(400)]
+    toks = spark.createDataFrame([*rows, (rows[5][0], rows[5][1]), (rows[6][0], ["w1"])], "doc_id string, tokens array<string>").repartition(3)
+    model = bm25.fit(toks, str(tmp_path / "m"))
+    files = postings.write(model, str(tmp_path / "p"), segment_docs=32, buckets=4)
+    size = lambda path: sum(f.stat().st_size for f in path.rglob("*.parquet"))
+    assert size(tmp_path / "p" / "blocks") < 2 * size(tmp_path / "m" / "documents")
+    told = files.blocks.where("ids IS NOT NULL").selectExpr("explode(ids) AS doc_id")
+    assert told.count() == 402
+    asked = spark.createDataFrame([(q, words(rng, 5)) for q in range(20)], "query_id long, tokens array<string>")
+    assert pairs(files.search(asked)) == pairs(model.search(asked))
+    assert pairs(postings.opened(spark, str(tmp_path / "p")).search(asked, 3)) == pairs(model.search(asked, 3))
