@@ -45,7 +45,7 @@ PRIMARY_KEYWORDS = ["โอน", "ขาย", "ที่ดิน", "ห้อ
 
 MINUTES_PATTERN = r"(\d+)\s*นาที"
 DAYS_PATTERN = r"(\d+)\s*วัน"
-MINUTES_UNIT = "นาที"
+MINUTES_UNIT, DAYS_UNIT = "นาที", "วัน"
 QUEUE_MARKS = ["e-QLands", "e-Qlands"]
 QUEUE_TIME_PATTERN = r"(?is)e-QLands.*?(\d+)\s*นาที"
 QUEUE_NOTE = " นาที (จองคิวล่วงหน้า)"
@@ -65,7 +65,7 @@ LAW, MINISTERIAL, SECTION, ORDER = "พ.ร.บ.", "กฎกระทรวง"
 BAHT_PATTERN = r"(\d+(?:\.\d+)?)\s*บาท"
 PERCENT_PATTERN = r"(\d+(?:\.\d+)?)\s*%"
 PERCENT_WORD_PATTERN = r"ร้อยละ\s*(\d+(?:\.\d+)?)"
-BAHT = "บาท"
+BAHT, PERCENT, PERCENT_WORD = "บาท", "%", "ร้อยละ"
 DOCUMENT_LIST_PATTERN = r"(?s)รายการเอกสาร\s+หลักฐานประกอบ(.*?)(?:ค่าธรรมเนียม|แบบฟอร์ม|$)"
 
 SECTION_HEADERS = [

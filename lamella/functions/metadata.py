@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,12 +11,23 @@ from . import fixed_values as fv
 from .text import digits, first_of, has_any, squeeze, strip, unicode
 
 
+def _begins(pattern: str) -> str:
+    """The plain text that each match of a pattern begins with."""
+    return re.match(r"[^\\()\[\].*+?|^${}]*", pattern)[0]
+
+
+def _extract(text: Column, pattern: str, flags: str = "") -> Column:
+    """The first group of the first match, or an empty text; only texts that have the match's beginning are searched."""
+    return F.when(~F.contains(text, F.lit(_begins(pattern))), F.lit("")).otherwise(F.regexp_extract(text, unicode(flags + pattern), 1))
+
+
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, unicode(pattern), group), F.lit(""))
 
 
-def _all(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(unicode(pattern)), group)
+def _all(text: Column, pattern: str, needs: str, group: int = 1) -> Column:
+    """All matches; only texts that have ``needs``, a part of each match, are searched for the pattern."""
+    return F.when(~F.contains(text, F.lit(needs)), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(unicode(pattern)), group))
 
 
 def _number(x: Column, kind: str = "bigint") -> Column:
@@ -23,8 +36,8 @@ def _number(x: Column, kind: str = "bigint") -> Column:
 
 
 def title(text: Column) -> Column:
-    tried = [F.nullif(squeeze(F.regexp_extract(text, unicode("(?s)" + p), 1)), F.lit("")) for p in fv.TITLE_PATTERNS]
-    return F.coalesce(*tried, F.nullif(strip(F.element_at(F.split(text, "\n"), 1)), F.lit("")))
+    tried = [F.nullif(squeeze(_extract(text, p, "(?s)")), F.lit("")) for p in fv.TITLE_PATTERNS]
+    return F.coalesce(*tried, F.nullif(strip(F.substring_index(text, "\n", 1)), F.lit("")))
 
 
 def tags(text: Column) -> Column:
@@ -35,17 +48,17 @@ def kept(text: Column, needles: list[str]) -> Column:
     return F.filter(F.array(*map(F.lit, needles)), lambda n: F.contains(text, n))
 
 
-def least_number(text: Column, pattern: str) -> Column:
-    return F.array_min(F.transform(_all(text, pattern), lambda x: _number(x)))
+def least_number(text: Column, pattern: str, unit: str) -> Column:
+    return F.array_min(F.transform(_all(text, pattern, unit), lambda x: _number(x)))
 
 
 def fees(text: Column) -> Column:
     """All fees, first occurrence of each (amount, unit)."""
 
-    def of(pattern: str, unit: str, kind: str) -> Column:
-        return F.transform(_all(text, pattern), lambda x: F.struct(_number(x, "double").alias("amount"), F.lit(unit).alias("unit"), F.lit(kind).alias("type")))
+    def of(pattern: str, needs: str, unit: str, kind: str) -> Column:
+        return F.transform(_all(text, pattern, needs), lambda x: F.struct(_number(x, "double").alias("amount"), F.lit(unit).alias("unit"), F.lit(kind).alias("type")))
 
-    return F.array_distinct(F.concat(of(fv.BAHT_PATTERN, fv.BAHT, "fixed"), of(fv.PERCENT_PATTERN, "%", "percentage"), of(fv.PERCENT_WORD_PATTERN, "%", "percentage")))
+    return F.array_distinct(F.concat(of(fv.BAHT_PATTERN, fv.BAHT, fv.BAHT, "fixed"), of(fv.PERCENT_PATTERN, fv.PERCENT, "%", "percentage"), of(fv.PERCENT_WORD_PATTERN, fv.PERCENT_WORD, "%", "percentage")))
 
 
 def legal_references(text: Column) -> Column:
@@ -57,10 +70,10 @@ def legal_references(text: Column) -> Column:
     def part(x: Column, pattern: str, group: int) -> Column:
         return F.nullif(F.regexp_extract(x, unicode(pattern), group), F.lit(""))
 
-    laws = F.transform(_all(text, fv.LAW_PATTERN, 0), lambda x: ref(fv.LAW, strip(F.regexp_extract(x, unicode(fv.LAW_PATTERN), 1)), part(x, fv.LAW_PATTERN, 2)))
-    rules = F.transform(_all(text, fv.MINISTERIAL_PATTERN, 0), lambda x: ref(fv.MINISTERIAL, year=part(x, fv.MINISTERIAL_PATTERN, 2), number=part(x, fv.MINISTERIAL_PATTERN, 1)))
-    sections = F.transform(F.array_distinct(F.transform(_all(text, fv.SECTION_PATTERN), strip)), lambda x: ref(fv.SECTION, section=x))
-    orders = F.transform(_all(text, fv.ORDER_PATTERN), lambda x: ref(fv.ORDER, number=x))
+    laws = F.transform(_all(text, fv.LAW_PATTERN, fv.LAW[0], 0), lambda x: ref(fv.LAW, strip(F.regexp_extract(x, unicode(fv.LAW_PATTERN), 1)), part(x, fv.LAW_PATTERN, 2)))
+    rules = F.transform(_all(text, fv.MINISTERIAL_PATTERN, fv.MINISTERIAL, 0), lambda x: ref(fv.MINISTERIAL, year=part(x, fv.MINISTERIAL_PATTERN, 2), number=part(x, fv.MINISTERIAL_PATTERN, 1)))
+    sections = F.transform(F.array_distinct(F.transform(_all(text, fv.SECTION_PATTERN, fv.SECTION), strip)), lambda x: ref(fv.SECTION, section=x))
+    orders = F.transform(_all(text, fv.ORDER_PATTERN, fv.ORDER), lambda x: ref(fv.ORDER, number=x))
     return F.concat(laws, rules, sections, orders)
 
 
@@ -80,16 +93,16 @@ def metadata(text: Column, path: Column | None = None) -> Column:
     """The whole struct; every group is an expression on the text, so unused groups are pruned."""
     head = F.substring(text, 1, 500)
     marked = F.contains(text, F.lit(fv.VERSION_MARK)) | (F.contains(path, F.lit(fv.VERSION_MARK)) if path is not None else F.lit(False))
-    minutes, days = least_number(text, fv.MINUTES_PATTERN), least_number(text, fv.DAYS_PATTERN)
+    minutes, days = least_number(text, fv.MINUTES_PATTERN, fv.MINUTES_UNIT), least_number(text, fv.DAYS_PATTERN, fv.DAYS_UNIT)
     queue = F.when(has_any(text, fv.QUEUE_MARKS), _first(text, fv.QUEUE_TIME_PATTERN))
-    required = F.regexp_count(F.regexp_extract(text, unicode(fv.DOCUMENT_LIST_PATTERN), 1), F.lit(unicode(r"(?md)^\d+\)")))
+    required = F.regexp_count(_extract(text, fv.DOCUMENT_LIST_PATTERN.removeprefix("(?s)"), "(?s)"), F.lit(unicode(r"(?md)^\d+\)")))
     locations = kept(text, fv.SERVICE_LOCATIONS)
     all_fees = fees(text)
     return F.struct(
         document_type(text).alias("document_type"),
         title(text).alias("title"),
-        F.struct(F.lit(fv.DEFAULT_ORGANIZATION).alias("primary"), F.coalesce(strip(_first(text, fv.ORGANIZATION_PATTERN)), F.lit(fv.DEFAULT_ORGANIZATION)).alias("full"), F.when(F.size(locations) > 0, locations).otherwise(F.array(F.lit(fv.DEFAULT_LOCATION))).alias("service_location")).alias("organization"),
-        F.struct(F.when(marked, "N").otherwise("").alias("version"), marked.alias("is_latest"), _first(text, fv.YEAR_PATTERN).alias("law_year")).alias("version_info"),
+        F.struct(F.lit(fv.DEFAULT_ORGANIZATION).alias("primary"), F.coalesce(strip(F.nullif(_extract(text, fv.ORGANIZATION_PATTERN), F.lit(""))), F.lit(fv.DEFAULT_ORGANIZATION)).alias("full"), F.when(F.size(locations) > 0, locations).otherwise(F.array(F.lit(fv.DEFAULT_LOCATION))).alias("service_location")).alias("organization"),
+        F.struct(F.when(marked, "N").otherwise("").alias("version"), marked.alias("is_latest"), F.nullif(_extract(text, fv.YEAR_PATTERN), F.lit("")).alias("law_year")).alias("version_info"),
         F.struct(first_of(head, fv.CATEGORIES).alias("level1"), F.lit(None).cast("string").alias("level2"), F.lit(None).cast("string").alias("level3"), tags(text).alias("tags"), first_of(head, [([k], k) for k in fv.SERVICE_CATEGORIES]).alias("service_category")).alias("categories"),
         F.struct(
             F.struct(

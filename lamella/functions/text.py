@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 TOKEN_BREAK = r"[^\p{L}\p{M}\p{N}]+"
 
+#: Unicode white space, what ``(?U)\s`` takes.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def has_any(text: Column, needles: list[str]) -> Column:
     """Whether the text contains one of the needles, as plain text."""
@@ -26,7 +29,7 @@ def first_of(text: Column, table: list[tuple[list[str], str]], default: Column |
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def squeeze(text: Column) -> Column:

@@ -69,10 +69,14 @@ def rerank(hits: DataFrame, score: Column, k: int) -> DataFrame:
 
 def with_context(hits: DataFrame, chunks: DataFrame, siblings: bool = False) -> DataFrame:
     """Hits (``chunk_id``, ...) with ``parent_text``, ``children_texts`` in order and, if asked for, ``sibling_ids``.
-    Missing relatives are left out. Only hits' relatives are read from ``chunks``, by joins on ids."""
+    Missing relatives are left out. Only hits' relatives are read from ``chunks``, by joins on ids. Hits that have their
+    ``parent_chunk_id`` are not looked up for it."""
     found = hits.select("chunk_id").distinct()
-    own = chunks.select("chunk_id", "parent_chunk_id").join(found, "chunk_id", "left_semi")
-    out = hits.join(own, "chunk_id", "left")
+    if "parent_chunk_id" in hits.columns:
+        own, out = hits.select("chunk_id", "parent_chunk_id").distinct(), hits
+    else:
+        own = chunks.select("chunk_id", "parent_chunk_id").join(found, "chunk_id", "left_semi")
+        out = hits.join(own, "chunk_id", "left")
     parents = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), F.col("text").alias("parent_text"))
     parents = parents.join(own.select("parent_chunk_id").distinct(), "parent_chunk_id", "left_semi")
     out = out.join(parents, "parent_chunk_id", "left")

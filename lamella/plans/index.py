@@ -18,14 +18,22 @@ from .engine import Config, analysed
 Embedder = Callable[[Column], Column]
 Tokeniser = Callable[[Column], Column]
 
+_FREQUENT = "enitrasoudlhcmgpvbfwyzkxjq"
+
 
 def letters(text: Column) -> Column:
-    """A small embedder without a model: how often each letter occurs."""
+    """A small embedder without a model: how often each letter occurs. Letters are taken out one after another, frequent ones first, so
+    that less and less is looked through; sizes before and after tell how many there were."""
+    start = F.struct(F.lower(text).alias("rest"), F.array().cast("array<int>").alias("sizes"))
+
+    def step(s: Column, c: Column) -> Column:
+        return F.struct(F.replace(s["rest"], c, F.lit("")).alias("rest"), F.array_append(s["sizes"], F.octet_length(s["rest"])).alias("sizes"))
 
-    def count(low: Column) -> Column:
-        return F.array(*((F.octet_length(low) - F.octet_length(F.replace(low, F.lit(c), F.lit("")))).cast("float") for c in "abcdefghijklmnopqrstuvwxyz"))
+    def counts(sizes: Column) -> Column:
+        return F.array(*((F.get(sizes, F.lit(i)) - F.get(sizes, F.lit(i + 1))).cast("float") for i in (_FREQUENT.index(c) for c in "abcdefghijklmnopqrstuvwxyz")))
 
-    return chunking.once(F.lower(text), count)
+    left = F.aggregate(F.array(*map(F.lit, _FREQUENT)), start, step, lambda s: F.array_append(s["sizes"], F.octet_length(s["rest"])))
+    return F.when(text.isNotNull(), chunking.once(left, counts)).otherwise(F.array(*[F.lit(None).cast("float")] * 26))
 
 
 def hashed(text: Column) -> Column:
@@ -56,17 +64,22 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", em
     """Documents (``doc_id, text, metadata, embedding``) and their chunks with embeddings, as an index keeps them."""
     clean = docs.select(F.col(id_col).alias("doc_id"), clean_text(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     described = clean.withColumn("metadata", metadata(F.col("text"))).withColumn("embedding", embed(F.col("text")))
-    chunks = chunking.chunk_tree(clean.withColumn("kind", metadata(F.col("text"))["document_type"]), type_col="kind", levels=levels)
-    return described, chunks.withColumn("embedding", embed(F.col("text")))
+    return described, chunked(clean.select("doc_id", "text", metadata(F.col("text"))["document_type"].alias("kind")), embed, levels)
+
+
+def chunked(clean: DataFrame, embed: Embedder = hashed, levels: int = 3) -> DataFrame:
+    """Chunks with embeddings of clean documents (``doc_id, text, kind``)."""
+    return chunking.chunk_tree(clean, type_col="kind", levels=levels).withColumn("embedding", embed(F.col("text")))
 
 
 def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", embed: Embedder = hashed, levels: int = 3, tokenise: Tokeniser = tokens) -> Index:
     """Clean, describe, chunk, embed and count documents, and keep everything under ``path``. Chunks lie by level, so that
     a level is a pruned scan."""
     spark = docs.sparkSession
-    described, chunks = prepared(docs, id_col, text_col, embed, levels)
+    described, _ = prepared(docs, id_col, text_col, embed, levels)
     index_store.create(spark, f"{path}/documents", described)
-    index_store.write_chunks(chunks, f"{path}/chunks")
+    clean = index_store.read(spark, f"{path}/documents").select("doc_id", "text", F.col("metadata.document_type").alias("kind"))  # clean-up is done once
+    index_store.write_chunks(chunked(clean, embed, levels), f"{path}/chunks")
     stored = index_store.read(spark, f"{path}/chunks")
     bm25.fit(bm25.tokenised(stored, "chunk_id", keep=["hierarchy_level"], tokenise=tokenise), f"{path}/bm25")
     return opened(spark, path, tokenise)
@@ -125,7 +138,7 @@ def retrieve(index: Index, asked: DataFrame, level: int | str | None = None, mod
 
 def expanded(index: Index, hits: DataFrame, siblings: bool = False) -> DataFrame:
     """Hits with parent and children, and siblings if asked for. Hits are written before they are joined to their relatives."""
-    return fusion.with_context(settled(hits.drop("parent_chunk_id"), "expanded"), index.chunks, siblings)
+    return fusion.with_context(settled(hits, "expanded"), index.chunks, siblings)
 
 
 def prompts(hits: DataFrame, shown: int = 3) -> DataFrame:
