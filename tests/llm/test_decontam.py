@@ -197,3 +197,12 @@ def test_products_of_features_against_brute_force():
     dc.add_products(raws, order, square, n, total)
     got = total.reshape(n + 1, n + 1)[:n, :n] * idf[used] * idf[used][:, None]
     assert np.allclose(got + got.T, want)
+
+
+def test_clean_rows_fits_on_all_documents(spark, monkeypatch):
+    docs, items = topics(random.Random(3), 230)
+    seen, gram = [], dc._gram
+    monkeypatch.setattr(dc, "_gram", lambda docs, *rest: (seen.append(docs.count()), gram(docs, *rest))[1])
+    d = spark.createDataFrame([*enumerate(docs), (900, f"x y z {items[0]}")], "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in dc.clean_rows(d, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()} == set(range(230))
+    assert seen == [231]
